@@ -148,8 +148,15 @@ def with_views(*names: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered) + "\n"
 
 
+_loaded: dict[str, str] = {}
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> None:
-    """Register the given tables as temporary views."""
+    """Register the given tables as temporary views, once per session and folder."""
+    app = spark.sparkContext.applicationId
+    if _loaded.get(app) == sf_dir:
+        return
+    _loaded[app] = sf_dir
     for name in TABLES:
         frame = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name == "documents":

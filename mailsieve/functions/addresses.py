@@ -54,4 +54,7 @@ def normalize_domain(item: Column) -> Column:
 
 def normalize_item(item: Column, kind: Column) -> Column:
     """Canonical form by kind, NULL when invalid or of an unknown kind."""
-    return F.when(kind == "email", normalize_email(item)).when(kind == "domain", normalize_domain(item))
+    return tx.let(
+        F.struct(item.alias("item"), kind.alias("kind")),
+        lambda t: F.when(t["kind"] == "email", normalize_email(t["item"])).when(
+            t["kind"] == "domain", normalize_domain(t["item"])))

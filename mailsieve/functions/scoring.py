@@ -70,15 +70,21 @@ def ml_verdict(p_spam: Column, marketing: Column, config: EngineConfig, failed:
 
 
 def mismatched_brand(subject: Column, sender_email: Column, brands: Sequence[str] = fv.BRANDS) -> Column:
-    """First brand named in the subject that the sender address does not carry; NULL if none."""
-    subj, addr = F.lower(tx.or_empty(subject)), F.lower(tx.or_empty(sender_email))
-    chain = None
-    for brand in brands:
-        joined = brand.replace(" ", "")
-        named = F.contains(subj, F.lit(brand)) | F.contains(subj, F.lit(joined))
-        hit = named & ~F.contains(addr, F.lit(joined.replace("-", "")))
-        chain = F.when(hit, F.lit(brand)) if chain is None else chain.when(hit, F.lit(brand))
-    return chain
+    """First brand named in the subject that the sender address does not carry; NULL if none.
+
+    A filter over a constant array: a chain of 39 conditions would outgrow generated code.
+    """
+    known = F.array(*[F.struct(
+        F.lit(b).alias("name"), F.lit(b.replace(" ", "")).alias("joined"),
+        F.lit(b.replace(" ", "").replace("-", "")).alias("bare")) for b in brands])
+
+    def first_of(mail: Column) -> Column:
+        hits = F.filter(known, lambda b: (F.contains(mail["s"], b["name"]) | F.contains(mail["s"], b["joined"]))
+                        & ~F.contains(mail["a"], b["bare"]))
+        return F.get(hits, F.lit(0))["name"]
+
+    lowered = F.struct(F.lower(tx.or_empty(subject)).alias("s"), F.lower(tx.or_empty(sender_email)).alias("a"))
+    return tx.let(lowered, first_of)
 
 
 def header_signals(sender_email: Column) -> dict[str, Column]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,6 +25,15 @@ def words(col: Column) -> Column:
     return F.array_remove(F.split(F.translate(col, fv.WHITESPACE_CHARS, _BLANKS), " ", -1), "")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often and wherever the result is repeated.
+
+    The optimiser repeats an expression wherever a filter on it is pushed down; long nested ones outgrow
+    generated code that way. As the argument of an array function they stay one expression.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(col: Column) -> Column:
     """Without whitespace of any kind at both ends."""
     return F.trim(col, F.lit(fv.WHITESPACE_CHARS))
