@@ -36,6 +36,10 @@ def score_messages(messages: DataFrame, model: PipelineModel | None, history: Da
     return training.forest_score(frame, model).select(*names)
 
 
+def with_fingerprint(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("fingerprint", identity.fingerprint(F.col("sender_email"), F.col("subject"), F.col("body")))
+
+
 def skip_listed_texts(messages: DataFrame, sender_list: DataFrame) -> DataFrame:
     """Blank the texts of listed senders: their verdict does not depend on them.
 
@@ -44,8 +48,7 @@ def skip_listed_texts(messages: DataFrame, sender_list: DataFrame) -> DataFrame:
     """
     if sender_list.limit(EARLY_LIST_ITEMS + 1).count() > EARLY_LIST_ITEMS:
         return messages
-    keyed = messages.withColumn("fingerprint", identity.fingerprint(F.col("sender_email"), F.col("subject"), F.col("body")))
-    matched = lists.match_lists(keyed, sender_list, broadcast=True)
+    matched = lists.match_lists(with_fingerprint(messages), sender_list, broadcast=True)
     listed = F.col("whitelist_reason").isNotNull() | F.col("blacklist_reason").isNotNull()
     return matched.withColumns({
         "subject": F.when(~listed, F.col("subject")), "body": F.when(~listed, F.col("body"))}).drop(

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,33 +68,37 @@ def export_list(current: DataFrame, list_type: str, path: str) -> None:
     chosen.agg(items("email").alias("emails"), items("domain").alias("domains")).coalesce(1).write.json(path)
 
 
-# versioned keyed tables
+# versioned keyed tables: data/version=N folders, and a commits folder naming the finished ones
+
+def version_path(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/data/version={version:010d}"
+
 
 def write_version(frame: DataFrame, root: str, version: int) -> None:
-    frame.write.mode("overwrite").parquet(f"{root.rstrip('/')}/version={version:010d}")
+    """Write one version and then commit it. Writing it again replaces it."""
+    frame.write.mode("overwrite").parquet(version_path(root, version))
+    frame.sparkSession.createDataFrame([(version,)], "version bigint").coalesce(1).write.mode("append").json(
+        f"{root.rstrip('/')}/commits")
 
 
-def read_latest(spark: SparkSession, root: str, schema: str, version: int | None = None) -> DataFrame:
-    """A given version, or the newest complete one; an empty table when there is none."""
+def read_latest(spark: SparkSession, root: str, schema: str | None = None, version: int | None = None) -> DataFrame:
+    """A given version, or the newest committed one; an empty table when there is none."""
     if version is None:
         version = latest_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/version={version:010d}")
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(version_path(root, version))
 
 
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Newest version folder with a finished write."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "_SUCCESS").option(
-        "recursiveFileLookup", "true")
     try:
-        paths = found.load(f"{root.rstrip('/')}/version=*/_SUCCESS").select("path")
-        version = paths.agg(F.max(F.regexp_extract("path", r"version=(\d+)", 1).cast("bigint"))).first()[0]
-    except Exception as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
+        commits = spark.read.schema("version bigint").json(f"{root.rstrip('/')}/commits")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        version = None
-    return version
+        return None
+    return commits.agg(F.max("version")).first()[0]
 
 
 CACHE_SCHEMA = (
