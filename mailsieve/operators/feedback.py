@@ -58,17 +58,25 @@ def sender_counters(feedback: DataFrame, prior: DataFrame | None = None) -> Data
 
     Earlier state joins as more partial sums, so one map-side combined shuffle does both.
     """
+    return _counters(feedback, prior).drop("new_spam", "new_ham")
+
+
+def _counters(feedback: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """``sender_counters`` plus how many corrections this feedback holds (new_spam, new_ham)."""
+    kind = F.col("feedback_type")
     fresh = feedback.select(
         F.lower(tx.or_empty(F.col("sender_email"))).alias("sender_email"),
         F.col("sender_domain"),
-        *[(F.col("feedback_type") == kind).cast("bigint").alias(name) for kind, name in COUNTERS.items()],
+        *[(kind == name).cast("bigint").alias(column) for name, column in COUNTERS.items()],
         F.col("at").cast("timestamp_ntz").alias("first_seen"), F.col("at").cast("timestamp_ntz").alias("last_seen"),
+        (kind == "is_spam").cast("bigint").alias("new_spam"), (kind == "not_spam").cast("bigint").alias("new_ham"),
     )
     if prior is not None:
-        fresh = fresh.unionByName(prior.select(*fresh.columns))
+        fresh = fresh.unionByName(prior.withColumns({"new_spam": F.lit(0).cast("bigint"), "new_ham": F.lit(0).cast("bigint")}).select(
+            *fresh.columns))
     return fresh.groupBy("sender_email").agg(
         F.min("sender_domain").alias("sender_domain"),
-        *[F.sum(name).alias(name) for name in COUNTERS.values()],
+        *[F.sum(name).alias(name) for name in (*COUNTERS.values(), "new_spam", "new_ham")],
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
     )
 
@@ -132,19 +140,29 @@ def _target(use_domain: Column, email: Column, domain: Column) -> Column:
         F.when(use_domain, domain).otherwise(email).alias("raw_item"))
 
 
-def explicit_targets(feedback: DataFrame) -> DataFrame:
-    """Whitelist/blacklist feedback with the list item it asks for (item NULL when invalid)."""
+def _asked(feedback: DataFrame) -> DataFrame:
+    """Whitelist/blacklist feedback with the list item it asks for."""
     email, domain, kind = F.col("sender_email"), F.col("sender_domain"), F.col("feedback_type")
-    asked = feedback.filter(kind.isin("whitelist", "blacklist"))
     target = F.when(kind == "whitelist", whitelist_target(email, domain)).otherwise(blacklist_target(email, domain))
-    return asked.withColumn("_t", target).select(
-        *feedback.columns, kind.alias("list_type"), "_t.item_type", "_t.raw_item",
-        ad.normalize_item(F.col("_t.raw_item"), F.col("_t.item_type")).alias("item"))
+    return feedback.filter(kind.isin("whitelist", "blacklist")).withColumn("_t", target).select(
+        *feedback.columns, kind.alias("list_type"), "_t.item_type", "_t.raw_item")
+
+
+def explicit_targets(feedback: DataFrame) -> DataFrame:
+    """Explicit feedback with the list item it asks for; ``item`` is NULL when that is invalid."""
+    return _asked(feedback).withColumn("item", ad.normalize_item(F.col("raw_item"), F.col("item_type")))
 
 
 def apply_explicit_feedback(feedback: DataFrame, current: DataFrame) -> DataFrame:
-    """List with the items of explicit feedback inserted; invalid ones are in ``rejected_targets``."""
-    fresh = explicit_targets(feedback).filter(F.col("item").isNotNull()).select(*lists.LIST_COLUMNS)
+    """List with the items of explicit feedback inserted; invalid ones are in ``rejected_targets``.
+
+    Requests are reduced to distinct items before they are checked, so the check runs once per item and
+    not once per feedback.
+    """
+    asked = _asked(feedback).groupBy("list_type", "item_type", F.lower("raw_item").alias("_l")).agg(
+        F.min("raw_item").alias("raw_item"))
+    fresh = asked.withColumn("item", ad.normalize_item(F.col("raw_item"), F.col("item_type"))).filter(
+        F.col("item").isNotNull()).select(*lists.LIST_COLUMNS)
     return current.select(*lists.LIST_COLUMNS).unionByName(fresh).dropDuplicates(list(lists.LIST_COLUMNS))
 
 
@@ -160,31 +178,30 @@ def auto_list_items(feedback: DataFrame, current: DataFrame, prior: DataFrame |
     very same item. So whether a sender passes a threshold during the run is decided by its totals at the
     last correction, and one aggregate per sender replaces the row-by-row walk.
     """
-    listed = apply_explicit_feedback(feedback, current)
-    totals = sender_counters(feedback, prior)
+    return _automatic(feedback, apply_explicit_feedback(feedback, current), prior, config)
+
+
+def _automatic(feedback: DataFrame, listed: DataFrame, prior: DataFrame | None, config: EngineConfig) -> DataFrame:
     spam = F.col("spam_count") + F.col("blacklist_count")
     ham = F.col("ham_count") + F.col("whitelist_count")
-    corrected = feedback.groupBy(F.lower(tx.or_empty(F.col("sender_email"))).alias("_key")).agg(
-        F.count_if(F.col("feedback_type") == "is_spam").alias("_new_spam"),
-        F.count_if(F.col("feedback_type") == "not_spam").alias("_new_ham"))
-    due = totals.join(corrected, F.col("sender_email") == F.col("_key"))
     email, domain = F.col("sender_email"), F.col("sender_domain")
-    spammers = due.filter((F.col("_new_spam") > 0) & (spam >= config.auto_blacklist_threshold)).select(
-        email, domain, F.lit("blacklist").alias("list_type"), blacklist_target(email, domain, automatic=True).alias("_t"))
-    trusted = due.filter((F.col("_new_ham") > 0) & (ham >= config.auto_whitelist_threshold)).select(
-        email, domain, F.lit("whitelist").alias("list_type"), whitelist_target(email, domain).alias("_t"))
-    open_rows = lists.not_already_listed(spammers, listed, "blacklist").unionByName(
-        lists.not_already_listed(trusted, listed, "whitelist"))
-    return open_rows.select("list_type", "_t.item_type", ad.normalize_item(
-        F.col("_t.raw_item"), F.col("_t.item_type")).alias("item")).filter(F.col("item").isNotNull()).distinct()
+    black = F.when((F.col("new_spam") > 0) & (spam >= config.auto_blacklist_threshold), F.struct(
+        F.lit("blacklist").alias("list_type"), blacklist_target(email, domain, automatic=True).alias("target")))
+    white = F.when((F.col("new_ham") > 0) & (ham >= config.auto_whitelist_threshold), F.struct(
+        F.lit("whitelist").alias("list_type"), whitelist_target(email, domain).alias("target")))
+    due = _counters(feedback, prior).select(
+        "sender_email", "sender_domain", F.explode(F.array_compact(F.array(black, white))).alias("_e"))
+    due = due.select("sender_email", "sender_domain", "_e.list_type", "_e.target.item_type", "_e.target.raw_item")
+    fresh = lists.not_on_same_list(due, listed)
+    return fresh.select("list_type", "item_type", ad.normalize_item(F.col("raw_item"), F.col("item_type")).alias("item")).filter(
+        F.col("item").isNotNull()).distinct()
 
 
 def apply_feedback(feedback: DataFrame, current: DataFrame, prior: DataFrame | None = None,
                    config: EngineConfig = EngineConfig()) -> DataFrame:
     """The sender list after a whole feedback run: explicit items, then automatic ones."""
-    explicit = apply_explicit_feedback(feedback, current)
-    automatic = auto_list_items(feedback, current, prior, config)
-    return explicit.unionByName(automatic).dropDuplicates(list(lists.LIST_COLUMNS))
+    listed = apply_explicit_feedback(feedback, current)
+    return listed.unionByName(_automatic(feedback, listed, prior, config)).dropDuplicates(list(lists.LIST_COLUMNS))
 
 
 def feedback_samples(feedback: DataFrame) -> DataFrame:

@@ -120,7 +120,16 @@ def match_blacklist(messages: DataFrame, current: DataFrame) -> DataFrame:
 
 def not_already_listed(senders: DataFrame, current: DataFrame, list_type: str) -> DataFrame:
     """Rows whose sender is on the list by neither address nor domain."""
-    only = current.filter(F.col("list_type") == list_type)
-    reason = f"{list_type}_reason"
-    matched = match_lists(senders, only)
-    return matched.filter(F.col(reason).isNull()).drop("whitelist_reason", "blacklist_reason")
+    return not_on_same_list(senders.withColumn("list_type", F.lit(list_type)), current).drop("list_type")
+
+
+def not_on_same_list(senders: DataFrame, current: DataFrame) -> DataFrame:
+    """``not_already_listed`` with the list named per row in list_type."""
+    known = current.select(F.col("list_type").alias("_lt"), F.col("item_type").alias("_lk"), F.col("item").alias("_li"))
+    email = F.lower(tx.or_empty(F.col("sender_email")))
+    domain = ad.lookup_domain(F.col("sender_email"), F.col("sender_domain"))
+    out = senders
+    for kind, key in (("email", email), ("domain", domain)):
+        side = known.filter(F.col("_lk") == kind)
+        out = out.join(side, (F.col("list_type") == F.col("_lt")) & (key == F.col("_li")), "left_anti")
+    return out
