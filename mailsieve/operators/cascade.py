@@ -50,7 +50,12 @@ def stage_verdicts(frame: DataFrame, sender_list: DataFrame, cache: DataFrame |
 
     ``frame`` needs sender_email, sender_domain, fingerprint, p_spam and marketing_score.
     """
-    frame = lists.match_lists(frame, sender_list)
+    failed = F.col("ml_failed") if "ml_failed" in frame.columns else None
+    frame = lists.match_lists(frame, sender_list).withColumn(
+        "_ml", sc.ml_verdict(F.col("p_spam"), F.col("marketing_score"), config, failed))
+    listed = F.col("whitelist_reason").isNotNull() | F.col("blacklist_reason").isNotNull()
+    if "prompt" in frame.columns:  # not carried through the join for rows that are decided without it
+        frame = frame.withColumn("prompt", F.when(~listed & ~accept_if_confident(F.col("_ml"), config), F.col("prompt")))
     if cache is None:
         frame = frame.withColumn("_c", F.lit(None).cast("struct<action:string,reason:string,confidence:double,method:string,override:boolean>"))
     else:
@@ -62,8 +67,6 @@ def stage_verdicts(frame: DataFrame, sender_list: DataFrame, cache: DataFrame |
     def stored(suffix: str) -> Column:
         return sc.verdict(cached["action"], F.concat(cached["reason"], F.lit(suffix)), cached["confidence"], cached["method"])
 
-    failed = F.col("ml_failed") if "ml_failed" in frame.columns else None
-    frame = frame.withColumn("_ml", sc.ml_verdict(F.col("p_spam"), F.col("marketing_score"), config, failed))
     chain = (
         F.when(F.col("whitelist_reason").isNotNull(), sc.verdict(
             "KEEP", F.concat(F.lit("WHITELIST: "), F.col("whitelist_reason")), 1.0, "whitelist"))
@@ -135,7 +138,7 @@ def classify(frame: DataFrame, sender_list: DataFrame, cache: DataFrame | None =
         return _flatten(staged.withColumn("decision", F.coalesce("decision", "_scored", missing)).drop("_scored"))
     if scorer is None:
         return _flatten(staged.withColumn("decision", F.coalesce("decision", sc.verdict(*sc.UNAVAILABLE))))
-    staged = materialize(staged, "staged")
+    staged = materialize(staged.withColumn("prompt", F.when(F.col("decision").isNull(), F.col("prompt"))), "staged")
     scored = materialize(
         external_score(staged.filter("decision IS NULL").select("fingerprint", "prompt"), scorer, provider, concurrency), "scored")
     side = scored.select(F.col("fingerprint").alias("_rfp"), F.col("decision").alias("_scored"))

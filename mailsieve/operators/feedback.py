@@ -88,7 +88,7 @@ def running_counters(feedback: DataFrame, prior: DataFrame | None = None, config
         "sender_key": F.lower(tx.or_empty(F.col("sender_email"))),
         "folder_rank": folder_rank(F.col("feedback_type"), config),
     })
-    bucket = F.floor(F.col("seq") / F.lit(bucket_width))
+    bucket = F.col("seq") - F.pmod("seq", F.lit(bucket_width))
     placed = running_position(
         keyed, ["sender_key", "feedback_type"], bucket, [F.col("seq").desc()], F.col("_bucket").desc(), "_position")
     totals = sender_counters(feedback).select(

@@ -28,13 +28,19 @@ def local_session(cores: int | str = "*", app: str = "mailsieve", memory: str =
     return builder.getOrCreate()
 
 
+_own_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach. Only where none is configured, a local one is made."""
+    """The folder every executor can reach, as the cluster names it. Only where none is named (tests, one
+    machine) a temporary one is made, once per application."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="mailsieve-")
-        spark.conf.set(CHECKPOINT_KEY, folder)
-    return folder
+    if folder:
+        return folder
+    app = spark.sparkContext.applicationId
+    if app not in _own_folders:
+        _own_folders[app] = tempfile.mkdtemp(prefix="mailsieve-")
+    return _own_folders[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

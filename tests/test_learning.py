@@ -254,17 +254,18 @@ def test_late_rows_and_duplicates(spark, tmp_path):
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
 
-    def add(name, *rows):
+    def add(_, *rows):
         spark.createDataFrame(list(rows), schema).coalesce(1).write.mode("append").parquet(source)
 
     day = dt.datetime(2024, 1, 10)
     add("a", ("f1", day, "SPAM"), ("f1", day, "SPAM"))
     add("b", ("f2", day + dt.timedelta(days=5), "KEEP"))
+    add("b", ("f5", day + dt.timedelta(days=5), "KEEP"))  # lateness counts from the batch before last
     add("c", ("f3", day, "SPAM"), ("f2", day + dt.timedelta(days=5), "KEEP"))
     add("d", ("f4", day + dt.timedelta(days=12), "KEEP"))
     out, daily = str(tmp_path / "dedup"), str(tmp_path / "daily")
     sj.start_to_table(sj.dedup_stream(stream), out, available_now=True).awaitTermination()
-    assert sorted(r.fingerprint for r in spark.read.parquet(out).collect()) == ["f1", "f2", "f3", "f4"]
+    assert sorted(r.fingerprint for r in spark.read.parquet(out).collect()) == ["f1", "f2", "f3", "f4", "f5"]
     sj.start_to_table(sj.daily_stats_stream(stream), daily, available_now=True).awaitTermination()
     got = {str(r.day): r.emails_processed for r in spark.read.parquet(daily).collect()}
-    assert got["2024-01-10"] == 2 and got["2024-01-15"] == 2  # the row that came five days late is left out
+    assert got["2024-01-10"] == 2 and got["2024-01-15"] == 3  # the row that came five days late is left out
