@@ -44,18 +44,7 @@ MESSAGE_GROUPS = ("metadata", "subject", "content", "newsletter", "sender", "hea
 ALL_GROUPS = MESSAGE_GROUPS + ("history", "interaction")
 
 
-# Substrings without which a pattern cannot match; looked up among the phrase hits.
-_MARKS = ("http", "www.", "src=", "alt=", "%", *AMOUNTS)
-
-
-def body_phrases(lexicons: dict) -> list[str]:
-    """Every phrase that is counted in, or looked up in, the lowercase body."""
-    return [
-        *(p for words in lexicons.values() for p in words), *fv.TRACKING_TOKENS, *fv.NEWSLETTER_PHRASES, *fv.SOCIAL_PHRASES,
-        *fv.CTA_PHRASES, *fv.IMAGE_PLACEHOLDERS, *fv.PRICE_WORDS, *_MARKS]
-
-
-def prepare(messages: DataFrame, lexicons: dict | None = None) -> DataFrame:
+def prepare(messages: DataFrame) -> DataFrame:
     """Add the derived texts the feature groups read. Unused ones are pruned by the optimiser."""
     body = F.col("body")
     if "text_content" in messages.columns:
@@ -74,7 +63,7 @@ def prepare(messages: DataFrame, lexicons: dict | None = None) -> DataFrame:
         "_blen": F.length("_body"),
         # the text between tags: one piece more than there are tags
         "_between": F.split("_body", TAG, -1),
-        "_hits": tx.phrase_hits(F.col("_lbody"), body_phrases(lexicons or fv.LEXICONS)),
+        "_linked": F.contains("_lbody", F.lit("http")) | F.contains("_lbody", F.lit("www.")),
     })
     return listed.withColumn("_words", F.sort_array(F.concat("_swords", "_bwords")))
 
@@ -122,7 +111,7 @@ def extract_features(
     wanted = [g for g in ALL_GROUPS if g in groups]
     needed = set(wanted) | ({"subject", "content", "newsletter", "headers", "history"}
                             if "interaction" in wanted else set())
-    frame = prepare(messages, lexicons)
+    frame = prepare(messages)
     built: dict[str, Column] = {}
     for group in MESSAGE_GROUPS:
         if group in needed:
@@ -199,8 +188,7 @@ def _subject(lexicons: dict) -> dict[str, Column]:
 
 
 def _content(lexicons: dict) -> dict[str, Column]:
-    body, low, blen, hits = F.col("_body"), F.col("_lbody"), F.col("_blen"), F.col("_hits")
-    linked = tx.hit(hits, "http") | tx.hit(hits, "www.")
+    body, low, blen, linked = F.col("_body"), F.col("_lbody"), F.col("_blen"), F.col("_linked")
     newlines = tx.occurrences(body, "\n")
     filled = blen > 0
     out = {
@@ -216,32 +204,26 @@ def _content(lexicons: dict) -> dict[str, Column]:
         "content_avg_line_length": F.when(filled, (blen - newlines) / (newlines + 1)).otherwise(0.0),
     }
     for category in fv.LEXICONS:
-        out[f"content_{category}_keywords"] = tx.hit_occurrences(low, hits, lexicons[category])
+        out[f"content_{category}_keywords"] = tx.total_occurrences(low, lexicons[category])
     out["content_html_tag_count"] = F.size("_between") - 1
     return out
 
 
 def _newsletter() -> dict[str, Column]:
-    low, hits = F.col("_lbody"), F.col("_hits")
-
-    def total(phrases: Sequence[str]) -> Column:
-        return tx.hit_occurrences(low, hits, phrases)
-
-    def guarded(mark: str, pattern: str) -> Column:
-        return F.when(tx.hit(hits, mark), tx.matches(low, pattern)).otherwise(0)
-
+    low = F.col("_lbody")
     images = (
         F.when(F.size("_between") > 1, tx.matches(low, IMAGE_TAG)).otherwise(0)
-        + guarded("src=", QUOTED_SRC) + guarded("alt=", QUOTED_ALT) + total(fv.IMAGE_PLACEHOLDERS))
-    prices = guarded("%", PERCENT_OFF) + total(fv.PRICE_WORDS)
+        + tx.matches(low, QUOTED_SRC, "src=") + tx.matches(low, QUOTED_ALT, "alt=")
+        + tx.total_occurrences(low, fv.IMAGE_PLACEHOLDERS))
+    prices = tx.matches(low, PERCENT_OFF, "%") + tx.total_occurrences(low, fv.PRICE_WORDS)
     for sign, pattern in AMOUNTS.items():
-        prices = prices + guarded(sign, pattern)
+        prices = prices + tx.matches(low, pattern, sign)
     return {
-        "content_tracking_urls": total(fv.TRACKING_TOKENS),
-        "content_newsletter_phrases": total(fv.NEWSLETTER_PHRASES),
+        "content_tracking_urls": tx.total_occurrences(low, fv.TRACKING_TOKENS),
+        "content_newsletter_phrases": tx.total_occurrences(low, fv.NEWSLETTER_PHRASES),
         "content_image_count": images,
-        "content_social_links": total(fv.SOCIAL_PHRASES),
-        "content_cta_count": total(fv.CTA_PHRASES),
+        "content_social_links": tx.total_occurrences(low, fv.SOCIAL_PHRASES),
+        "content_cta_count": tx.total_occurrences(low, fv.CTA_PHRASES),
         "content_price_indicators": prices,
     }
 
@@ -310,7 +292,7 @@ def _temporal(as_of: Column | None) -> dict[str, Column]:
 
 def _text() -> dict[str, Column]:
     total, stat = F.size("_words"), F.col("_wstat")
-    unique = tx.ratio(total - stat["repeats"], total)
+    unique = tx.ratio(F.size(F.array_distinct("_words")), total)
     return {
         "text_entropy": F.when(total > 0, F.greatest(F.log2(total) - stat["clogc"] / total, F.lit(0.0))).otherwise(0.0),
         "text_unique_word_ratio": unique,
@@ -331,7 +313,7 @@ def _rich() -> dict[str, Column]:
         "rich_has_images": has_tag("img"),
         "rich_has_forms": has_tag("form"),
         "rich_has_scripts": has_tag("script"),
-        "rich_link_density": tx.ratio(F.when(tx.hit(F.col("_hits"), "http"), tx.matches(body, WEB_LINK)).otherwise(0) * 100, blen),
+        "rich_link_density": tx.ratio(F.when(F.col("_linked"), tx.matches(body, WEB_LINK)).otherwise(0) * 100, blen),
     }
 
 

@@ -55,64 +55,6 @@ def total_occurrences(col: Column, phrases: Sequence[str]) -> Column:
     return F.aggregate(_literals(phrases), F.lit(0), lambda acc, p: acc + occurrences(col, p))
 
 
-def phrase_hits(col: Column, phrases: Sequence[str]) -> Column:
-    """The text reduced to its phrases: one line per position at which a phrase starts, holding the
-    longest phrase there.
-
-    One pass over the text. Counting each of a hundred phrases on the few remaining lines is then almost
-    free, whereas a hundred scans of the text are most of the work of all features together.
-    """
-    known = _first_letter_groups(sorted(set(phrases)))
-    return F.regexp_replace(col, f"(?s)(?:(?!{known}).)*+(?:(?=({known})).|$)", "\n$1")
-
-
-def hit_occurrences(col: Column, hits: Column, phrases: Sequence[str]) -> Column:
-    """``total_occurrences`` of phrases that ``hits`` was made from.
-
-    A phrase occurs where a line starts with it. One whose end equals its own start could overlap itself;
-    such phrases are counted in the text, if there are any.
-    """
-    plain = [p for p in phrases if not _overlaps_itself(p)]
-    count = F.aggregate(_literals([f"\n{p}" for p in plain]), F.lit(0), lambda acc, p: acc + occurrences(hits, p))
-    for p in phrases:
-        if p not in plain:
-            count = count + F.when(hit(hits, p), occurrences(col, p)).otherwise(0)
-    return count
-
-
-def hit(hits: Column, phrase: str) -> Column:
-    return F.contains(hits, F.lit(f"\n{phrase}"))
-
-
-def _overlaps_itself(phrase: str) -> bool:
-    return any(phrase.startswith(phrase[-n:]) for n in range(1, len(phrase)))
-
-
-def _first_letter_groups(phrases: Sequence[str], size: int = 5) -> str:
-    """``_alternatives`` in groups behind a look at the first letter: few steps to rule a position out."""
-    letters = sorted({p[0] for p in phrases})
-    groups = [letters[i:i + size] for i in range(0, len(letters), size)]
-    return "(?:" + "|".join(
-        f"(?=[{''.join(_literal(c) for c in group)}])" + _alternatives([p for p in phrases if p[0] in group])
-        for group in groups) + ")"
-
-
-def _literal(char: str) -> str:
-    return char if char.isalnum() else f"\\{char}"
-
-
-def _alternatives(phrases: Sequence[str]) -> str:
-    """Regex for any of the phrases, the longest first, common starts written once."""
-    tails: dict[str, list[str]] = {}
-    for p in phrases:
-        if p:
-            tails.setdefault(p[0], []).append(p[1:])
-    if not tails:
-        return ""
-    parts = "|".join(_literal(c) + _alternatives(rest) for c, rest in tails.items())
-    return f"(?:{parts})" + ("?" if "" in phrases else "")
-
-
 def phrases_present(col: Column, phrases: Sequence[str]) -> Column:
     """Number of distinct phrases that occur."""
     return F.aggregate(_literals(phrases), F.lit(0), lambda acc, p: acc + F.contains(col, p).cast("int"))
@@ -147,16 +89,15 @@ def flag(condition: Column) -> Column:
 
 
 def word_statistics(word_list: Column) -> Column:
-    """struct(last, run, repeats, repeated, clogc) from a *sorted* word array.
+    """struct(last, run, repeated, clogc) from a *sorted* word array.
 
     Equal words are neighbours after sorting, so one pass over the array finds every run. No shuffle is
-    needed, and the whole text is used whatever its length. repeats: words that occurred before; repeated:
-    distinct words with more than three occurrences; clogc: sum of c * log2(c) over distinct words.
+    needed, and the whole text is used whatever its length. repeated: distinct words with more than
+    three occurrences; clogc: sum of c * log2(c) over distinct words.
     """
     start = F.struct(
         F.lit(None).cast("string").alias("last"),
         F.lit(0).alias("run"),
-        F.lit(0).alias("repeats"),
         F.lit(0).alias("repeated"),
         F.lit(0.0).alias("clogc"),
     )
@@ -171,7 +112,6 @@ def word_statistics(word_list: Column) -> Column:
         return F.struct(
             word.alias("last"),
             run.alias("run"),
-            (acc["repeats"] + same.cast("int")).alias("repeats"),
             (acc["repeated"] + F.when(same & (acc["run"] == 3), 1).otherwise(0)).alias("repeated"),
             (acc["clogc"] + gain).alias("clogc"),
         )
