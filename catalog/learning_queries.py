@@ -150,8 +150,8 @@ def feedback_summary(spark: SparkSession, sf: str) -> DataFrame:
     return fb.feedback_summary(view(spark, sf, "feedback"))
 
 
-@query(_FB + f", {_EXPLICIT}, {_SUMMARY} SELECT count(*) AS accounts_processed, sum(processed) AS total_feedback, sum(whitelist_added) AS total_whitelist_added, "
-       "sum(blacklist_added) AS total_blacklist_added, sum(ml_samples) AS total_ml_samples, sum(restored) AS total_restored, sum(errors) AS total_errors FROM fb_summary")
+@query(_FB + f", {_EXPLICIT}, {_SUMMARY} SELECT count(*) AS accounts_processed, CAST(sum(processed) AS BIGINT) AS total_feedback, CAST(sum(whitelist_added) AS BIGINT) AS total_whitelist_added, "
+       "CAST(sum(blacklist_added) AS BIGINT) AS total_blacklist_added, CAST(sum(ml_samples) AS BIGINT) AS total_ml_samples, CAST(sum(restored) AS BIGINT) AS total_restored, CAST(sum(errors) AS BIGINT) AS total_errors FROM fb_summary")
 def feedback_run_totals(spark: SparkSession, sf: str) -> DataFrame:
     return fb.feedback_run_totals(fb.feedback_summary(view(spark, sf, "feedback")))
 
@@ -160,9 +160,9 @@ def feedback_run_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 _SAMPLES = feature_ctes() + ",\n" + "training_samples AS (" + with_views("training_samples").split("training_samples AS (", 1)[1].rstrip()
 _WEIGHT = """weighted AS (SELECT t.sample_id, t.is_spam, t.source,
-  CASE WHEN f.sender_is_recurring_spammer = 1 OR f.sender_is_recurring_ham = 1 OR f.sender_total_feedbacks >= 3 THEN 5.0
+  CAST(CASE WHEN f.sender_is_recurring_spammer = 1 OR f.sender_is_recurring_ham = 1 OR f.sender_total_feedbacks >= 3 THEN 5.0
     WHEN f.sender_total_feedbacks >= 2 THEN (CASE WHEN t.source = 'user_feedback' THEN 3.0 ELSE 1.0 END) * 1.5
-    WHEN t.source = 'user_feedback' THEN 3.0 ELSE 1.0 END AS weight
+    WHEN t.source = 'user_feedback' THEN 3.0 ELSE 1.0 END AS DOUBLE) AS weight
   FROM training_samples t JOIN feats f ON CAST(f.msg_id AS VARCHAR) = t.sample_id)"""
 
 

@@ -266,7 +266,7 @@ def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
   CASE WHEN feedback_type = 'is_spam' THEN 'User feedback: is spam' ELSE 'User feedback: not spam' END AS reason,
   row_number() OVER (PARTITION BY fingerprint ORDER BY CASE WHEN feedback_type = 'is_spam' THEN 3 ELSE 2 END DESC, seq) AS rn
   FROM feedback WHERE feedback_type IN ('not_spam', 'is_spam'))
-  SELECT fingerprint, action, reason, 1.0 AS confidence, 'user_feedback' AS method FROM r WHERE rn = 1""")
+  SELECT fingerprint, action, reason, CAST(1 AS DOUBLE) AS confidence, 'user_feedback' AS method FROM r WHERE rn = 1""")
 def set_override(spark: SparkSession, sf: str) -> DataFrame:
     return _overrides(spark, sf).select("fingerprint", "action", "reason", "confidence", "method")
 
@@ -499,7 +499,7 @@ _PURGED = f"""purged AS (SELECT msg_id, account FROM mailbox WHERE folder = CASE
 
 @query(_CLASSIFY + ", " + with_views("mailbox")[5:].split("mailbox AS", 1)[1].join(["mailbox AS", ""]) + f""", {_PURGED}
   SELECT m.account, count(*) AS processed, count(*) FILTER (c.action = 'SPAM') AS spam_detected, count(*) FILTER (c.action = 'SPAM') AS spam_moved,
-  0 AS errors, (SELECT count(*) FROM purged p WHERE p.account = m.account) AS cleanup_deleted
+  CAST(0 AS BIGINT) AS errors, (SELECT count(*) FROM purged p WHERE p.account = m.account) AS cleanup_deleted
   FROM classified c JOIN messages m ON m.msg_id = c.msg_id GROUP BY 1""")
 def run_summary(spark: SparkSession, sf: str) -> DataFrame:
     accounts = view(spark, sf, "accounts")
