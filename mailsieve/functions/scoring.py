@@ -162,6 +162,12 @@ def parse_verdict(reply: Column, provider: str) -> Column:
         structured)
 
 
+def choose_provider(configured: str, available: Sequence[str]) -> str | None:
+    """The configured provider if it is available, else the first available one; case does not matter."""
+    usable = [p for p in fv.PROVIDERS if p in {a.lower() for a in available}]
+    return configured.lower() if configured.lower() in usable else next(iter(usable), None)
+
+
 def scorer_error(provider: str, error: Column) -> Column:
     """Verdict for a failed call: keep the mail."""
     method, prefix, _ = fv.PROVIDERS[provider.lower()]

@@ -61,8 +61,6 @@ def run_detection(messages: DataFrame, sender_list: DataFrame, cache: DataFrame
     """Purge, classify unread mail, route it. Nothing is written but intermediate tables: a dry run is a
     run whose results are not passed to the sinks."""
     kept, gone = maintenance.purge_old_spam(messages, config.auto_delete_after_days, as_of, accounts, config)
-    if config.auto_delete_after_days <= 0:
-        kept = messages
     unread = kept.filter("was_unread")
     keep = ("msg_id", "account", "folder", "sender_email", "sender_domain", "was_unread")
     unread = skip_listed_texts(unread, sender_list)

@@ -118,6 +118,12 @@ def test_parse_verdict(spark):
         ("KEEP", 0.5, "llm_openai_error"), ("SPAM", 0.7, "llm_openai"), ("KEEP", 0.5, "llm_openai_error")]
 
 
+def test_provider_choice():
+    assert sc.choose_provider("MistralAI", ["openai", "mistralai"]) == "mistralai"
+    assert sc.choose_provider("anthropic", ["MistralAI", "OpenAI"]) == "openai"
+    assert sc.choose_provider("openai", []) is None
+
+
 def test_prompt(spark, messages):
     m = messages(
         {"sender_email": "ca@creditagrlcole.fr", "subject": "CreditAgricole: compte", "body": "b" * 2001,
@@ -169,6 +175,9 @@ def test_purge(spark):
     left, gone = maintenance.purge_old_spam(rows, 10, as_of, accounts)
     assert {r.msg_id for r in gone.collect()} == {1, 4} and {r.msg_id for r in left.collect()} == {2, 3, 5}
     assert maintenance.old_spam(rows, 0, as_of, accounts).count() == 0
+    assert maintenance.kept_mail(rows, 0, as_of, accounts).count() == 5
+    undated = rows.withColumn("received_at", F.lit(None).cast("timestamp_ntz"))
+    assert maintenance.kept_mail(undated, 10, as_of, accounts).count() == 5
 
 
 EML = {
