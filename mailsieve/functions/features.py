@@ -23,9 +23,14 @@ _LINK_CHARS = rf'[^{_S}<>"{{}}|\\^`\[\]]+'
 URL = rf"https?://{_LINK_CHARS}|www\.{_LINK_CHARS}"
 WEB_LINK = rf"https?://{_LINK_CHARS}"
 _TLDS = "|".join(t.replace(".", r"\.") for t in fv.FEATURE_TLDS)
-# a link (from its first character on) that has one of the suspicious endings anywhere inside
-TLD_URL = rf"(?:h(?=ttps?://)|w(?=ww\.))(?={_LINK_CHARS[:-1]}*?(?:{_TLDS})){_LINK_CHARS}"
-EMAIL = rf"{_B}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_B}"
+_LINK_CHAR = _LINK_CHARS[:-1]
+_LINK_START = rf"(?:https?://|www\.){_LINK_CHAR}"
+# A run of link characters whose link part (from its first link start on) has one of the suspicious endings
+# anywhere inside. Tried once per run, so that a text full of link starts takes no longer than another.
+TLD_URL = rf"(?<!{_LINK_CHAR})(?:(?!{_LINK_START}){_LINK_CHAR})*+(?={_LINK_START}){_LINK_CHAR}*?(?:{_TLDS})"
+_LOCAL = "[A-Za-z0-9._%+-]"
+# Tried once per run of local-part characters, at its first word boundary.
+EMAIL = rf"(?:\G|(?<!{_LOCAL}))(?:(?!{_B}){_LOCAL})*+{_B}{_LOCAL}++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_B}"
 PHONE = rf"(?=[+(0-9])(\+?1[-.{_S}]?)?\(?[0-9]{{3}}\)?[-.{_S}]?[0-9]{{3}}[-.{_S}]?[0-9]{{4}}"
 PHONE_TAIL = rf"[0-9]{{3}}[-.{_S}]?[0-9]{{4}}"  # how every phone number ends
 NUMBER = rf"\p{{Nd}}(?<!{_W}\p{{Nd}})\p{{Nd}}*+(?!{_W})"
@@ -33,7 +38,7 @@ TAG = "<[^>]+>"
 IMAGE_TAG = "<img[^>]*>"
 QUOTED_SRC = "src=['\"][^>]*['\"]"
 QUOTED_ALT = "alt=['\"][^>]*['\"]"
-PERCENT_OFF = rf"\p{{Nd}}+%[{_S}]*off"
+PERCENT_OFF = rf"(?<!\p{{Nd}})\p{{Nd}}++%[{_S}]*off"
 AMOUNTS = {"$": r"\$\p{Nd}+", "€": "€\\p{Nd}+", "£": "£\\p{Nd}+"}
 UPPERCASE = r"\p{IsUppercase}"
 PUNCTUATION = r"\p{Punct}"
@@ -61,11 +66,14 @@ def prepare(messages: DataFrame) -> DataFrame:
         "_bwords": tx.words(F.col("_lbody")),
         "_slen": F.length("_subj"),
         "_blen": F.length("_body"),
-        # the text between tags: one piece more than there are tags
-        "_between": F.split("_body", TAG, -1),
+        # no tag ends after the last '>', and before it every '<' finds its end: both keep the search linear
+        "_tail": F.length(F.substring_index("_body", ">", -1)),
         "_linked": F.contains("_lbody", F.lit("http")) | F.contains("_lbody", F.lit("www.")),
     })
-    return listed.withColumn("_words", F.sort_array(F.concat("_swords", "_bwords")))
+    return listed.withColumns({
+        "_words": F.sort_array(F.concat("_swords", "_bwords")),
+        "_markup": F.substring(F.col("_body"), F.lit(1), F.col("_blen") - F.col("_tail")),
+    }).withColumn("_between", F.split("_markup", TAG, -1))  # one piece more than there are tags
 
 
 def group_columns(group: str, columns: Sequence[str], lexicons: dict | None = None,
@@ -212,7 +220,7 @@ def _content(lexicons: dict) -> dict[str, Column]:
 def _newsletter() -> dict[str, Column]:
     low = F.col("_lbody")
     images = (
-        F.when(F.size("_between") > 1, tx.matches(low, IMAGE_TAG)).otherwise(0)
+        F.when(F.size("_between") > 1, tx.matches(F.lower("_markup"), IMAGE_TAG)).otherwise(0)
         + tx.matches(low, QUOTED_SRC, "src=") + tx.matches(low, QUOTED_ALT, "alt=")
         + tx.total_occurrences(low, fv.IMAGE_PLACEHOLDERS))
     prices = tx.matches(low, PERCENT_OFF, "%") + tx.total_occurrences(low, fv.PRICE_WORDS)
@@ -304,12 +312,13 @@ def _text() -> dict[str, Column]:
 
 def _rich() -> dict[str, Column]:
     body, blen = F.col("_body"), F.col("_blen")
+    outside_tags = F.length(F.array_join("_between", "")) + F.col("_tail")
 
     def has_tag(name: str) -> Column:
-        return tx.flag((F.size("_between") > 1) & F.rlike(body, F.lit(f"(?iu)<{name}[^>]*>")))
+        return tx.flag((F.size("_between") > 1) & F.rlike("_markup", F.lit(f"(?iu)<{name}[^>]*>")))
 
     return {
-        "rich_html_to_text_ratio": tx.ratio(blen - F.length(F.array_join("_between", "")), blen),
+        "rich_html_to_text_ratio": tx.ratio(blen - outside_tags, blen),
         "rich_has_images": has_tag("img"),
         "rich_has_forms": has_tag("form"),
         "rich_has_scripts": has_tag("script"),

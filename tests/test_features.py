@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -22,7 +23,7 @@ def as_of():
 
 TEXTS = [
     "", "x", "Hello World", "a\x1cb　c d e\x85f", "ÄÖÜ ß É Ⓐ İstanbul ΣΑΣ", "www.promo.tk http://a.b/?u=http://c.ml www. http://",
-    "call +1 (555) 123-4567 or 555.123.4567 or 5551234567 or 123456", "write a.b@c.org, x@y.z, ü@a.de é1@b.com <m@n.io>", "12 a12 12a ½ ２２ 3,4 5_6",
+    "call +1 (555) 123-4567 or 555.123.4567 or 5551234567 or 123456", "a@b.cc.d@e.ff .x@y.zz é@b.cc éa.b@c.dd a@b@c.dd a@b.c1 %%a@b.cc|x@y.zz", "write a.b@c.org, x@y.z, ü@a.de é1@b.com <m@n.io>", "12 a12 12a ½ ２２ 3,4 5_6",
     "limited time limited subscribe unsubscribe registeregister exclusivexclusive share thishare this", "<a><b\n>x</b> <IMG SRC='q' alt=\"z\"> < > <form>",
     "20% off 5 % off 30%\toff $5 €6 £7 save $ % discount price", "free free FREE free lottery", "line\n\nline\n", "naïve café 数字 ١٢٣ 😀😀 a😀b",
     "http://safe.com/a.clickable https://x.y/z.download, www.topic.org www.a.top", "a b a b a b a c", "it costs\r\n\r\n$12",
@@ -176,3 +177,11 @@ def test_long_text_is_read_whole(messages):
     row = ft.extract_features(messages({"body": body, "subject": ""}), as_of=as_of(), groups=("metadata", "newsletter", "text")).first()
     assert (row["content_length"], row["content_newsletter_phrases"]) == (len(body), 1)
     assert row["content_word_count"] == 600_001
+
+
+@pytest.mark.parametrize("body", ["<" * 300_000, "<img " * 60_000, "http://" * 40_000, "1" * 300_000 + "%", "www." * 60_000 + " x.tk", "a." * 100_000 + "@"],
+                         ids=["open tags", "open images", "link starts", "digits", "www", "dots"])
+def test_hostile_texts_take_no_longer(messages, body):
+    started = time.monotonic()
+    ft.extract_features(messages({"body": body, "subject": ""}), as_of=as_of()).collect()
+    assert time.monotonic() - started < 20
