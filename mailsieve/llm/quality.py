@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.words import WHITE, hash_words, utf8, windows
@@ -83,19 +83,19 @@ def _measure(text: bytes) -> tuple[int, int, int, int, int]:
     return len(text.split()), chars, len(bare) - len(bare.translate(None, SYMBOLS)), again, lines
 
 
-def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the statistics of each whole text (null: no words)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def statistics(text: Column) -> Column:
+    """A struct of ``STATISTICS`` of each whole text (null: no words)."""
+    @F.pandas_udf(STATISTICS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [utf8(t) for t in batch.pop("text")]
+            texts = [utf8(t) for t in batch]
             counted = np.array([_measure(t) for t in texts], np.int64).reshape(-1, 5)
-            for name, column in zip(("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines"), counted.T):
-                batch[name] = column
-            batch["n_repeat_words"] = _repeat_words(texts)
-            yield batch
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")
+            found = pd.DataFrame(dict(zip(names, counted.T)))
+            found["n_repeat_words"] = _repeat_words(texts)
+            yield found[[c.split()[0] for c in STATISTICS.split(", ")]]
 
-    kept = docs.select("doc_id", "lang", "source", "text")
-    return kept.mapInPandas(run, f"{kept.drop('text')._jdf.schema().toDDL()}, {STATISTICS}")
+    return run(text)
 
 
 def _vector():
@@ -161,28 +161,52 @@ def group_estimates(rows: DataFrame, rules: QualityRules) -> DataFrame:
     return at
 
 
-def with_verdict(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
-    """doc_id, the statistics, base_failed, distance2 and kept, one row for each row of ``docs``."""
-    stats = text_statistics(docs).withColumns({f"x{i}": x for i, x in enumerate(_vector())})
+_LEVELS = ("by_source", "by_lang", "by_all")
+_COUNTED = [c.split()[0] for c in STATISTICS.split(", ")]
+
+
+def measured(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """``docs`` with the struct ``measured``: statistics, base_failed, transformed statistics and the keys of the
+    three levels of grouping."""
+    found = docs.withColumn("measured", statistics(F.col("text").cast("string"))).select("*", "measured.*")
     failed = (F.col("n_words") < rules.least_words) | (
         100 * F.col("n_repeat_words") > rules.most_repeat_percent * F.col("n_words"))
     # JSON texts keep a missing part apart from every value
-    both, lang = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang"))
-    stats = stats.withColumns({"base_failed": failed, "by_source": both, "by_lang": lang, "by_all": F.lit("all")})
-    stats = materialize(stats, "statistics")
+    keys = F.to_json(F.array("lang", "source")), F.to_json(F.array("lang")), F.lit("all")
+    parts = [*_COUNTED, failed.alias("base_failed"), *[x.alias(f"x{i}") for i, x in enumerate(_vector())],
+             *[k.alias(n) for n, k in zip(_LEVELS, keys)]]
+    return found.select(*[docs[c] for c in docs.columns], F.struct(*parts).alias("measured"))
+
+
+def fit(narrow: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """Estimates for each group of rows that is large enough, from the columns of ``measured`` of all rows that the
+    base rules keep."""
     xs = [f"x{i}" for i in range(D)]
-    # one pass over the statistics for all three levels of grouping; rows that the base rules reject teach nothing
-    levels = stats.where("NOT base_failed").select(F.explode(F.array("by_source", "by_lang", "by_all")).alias("key"), *xs)
-    sizes = levels.groupBy("key").agg(F.count("*").alias("size")).where(
-        (F.col("size") >= rules.least_rows) | (F.col("key") == "all")).select("key")
-    sizes = materialize(sizes, "groups")
-    estimates = group_estimates(levels.join(sizes, "key", "left_semi"), rules)
-    known = sizes.withColumn("known", F.lit(True))
-    finest = stats
-    for level in ("by_source", "by_lang"):
-        finest = finest.join(known.select(F.col("key").alias(level), F.col("known").alias(f"has_{level}")), level, "left")
-    key = F.when(F.col("has_by_source"), F.col("by_source")).when(F.col("has_by_lang"), F.col("by_lang")).otherwise("all")
-    judged = finest.withColumn("key", key).join(estimates, "key", "left").withColumn("distance2", _distance())
+    levels = narrow.where("NOT base_failed").select(F.explode(F.array(*_LEVELS)).alias("key"), *xs)
+    sizes = levels.groupBy("key").agg(F.count("*").alias("size")).where((F.col("size") >= rules.least_rows) | (F.col("key") == "all"))
+    return group_estimates(levels.join(materialize(sizes.select("key"), "groups"), "key", "left_semi"), rules)
+
+
+def judged(frame: DataFrame, estimates: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """``frame``, which has the columns of ``measured``, with distance2 and kept; the finest estimated level counts."""
+    found = frame
+    for level in _LEVELS:
+        found = found.join(estimates.select(F.col("key").alias(level), F.struct(*[c for c in estimates.columns if c != "key"]).alias(f"e_{level}")), level, "left")
+    found = found.withColumn("e", F.coalesce(*[f"e_{level}" for level in _LEVELS])).select("*", "e.*").withColumn("distance2", _distance())
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance2") <= rules.limit, F.lit(True))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                         "base_failed", "distance2", kept.alias("kept"))
+    return found.select(*frame.columns, "distance2", kept.alias("kept"))
+
+
+def with_verdict(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """doc_id, the statistics, base_failed, distance2 and kept, one row for each row of ``docs``."""
+    narrow = materialize(measured(docs.select("doc_id", "lang", "source", "text"), rules).select("doc_id", "measured.*"), "statistics")
+    return judged(narrow, fit(narrow, rules), rules).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", "kept")
+
+
+def keep_good(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with the columns they have. Texts are measured once for the estimates and
+    once more beside them, which costs less than moving every text to its verdict."""
+    narrow = materialize(measured(docs.select("lang", "source", "text"), rules).select("measured.*"), "statistics")
+    wide = measured(docs.select(F.struct(*docs.columns).alias("row"), "lang", "source", "text"), rules).select("row", "measured.*")
+    return judged(wide, fit(narrow, rules), rules).where("kept").select("row.*")

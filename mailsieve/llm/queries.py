@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import bpe, chat, main_text, near, packing, quality, topk, url_lists
+from mailsieve.llm import bpe, chat, main_text, near, packing, quality, topk, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,17 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+def may_learn(column: str = "doc_id"):
+    """Rows whose labels may be learned from; the others are held out."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))), F.lit(5)) != 0
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), may_learn())
+    return toxicity.score(docs, model).select("doc_id", (~may_learn()).alias("held_out"), "score", "predicted")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_classes(table(spark, sf_dir, "documents"))
 
@@ -184,6 +195,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_toxicity": op2_toxicity,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_chat": op4_chat,
     "op5_main_text": op5_main_text,
