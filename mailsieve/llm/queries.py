@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import bpe, chat, main_text, near, packing, quality, topk, toxicity, url_lists
+from mailsieve.llm import bpe, chat, lm, main_text, near, packing, quality, topk, toxicity, url_lists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -193,6 +193,13 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(5))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = lm.scored(docs, remainder != 1)
+    return found.select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
@@ -203,5 +210,6 @@ QUERIES = {
     "op7_url_lists": op7_url_lists,
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
+    "op10_lm_score": op10_lm_score,
 }
 ORACLES = {"op1_top_k": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL}
