@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# the address syntax for the SQL engine, whose patterns are always linear
+SQL_ADDRESS = r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -65,7 +67,7 @@ _view("feedback", ("feedback_base",), f"""
 SELECT event_id AS seq, ts AS at, CASE WHEN user_id % 3 = 0 THEN 'work' ELSE 'personal' END AS account,
   CASE WHEN event_id % 50 = 7 THEN 'broken' || CAST(n AS STRING)
        ELSE CASE WHEN event_id % 11 = 0 THEN 'User' ELSE 'user' END || CAST(n AS STRING) || '@' || {_DOMAIN.format(n='n')} END AS sender_email,
-  CASE WHEN event_id % 50 = 7 THEN '' ELSE {_DOMAIN.format(n='n')} END AS sender_domain,
+  CASE WHEN event_id % 50 = 7 THEN '' WHEN event_id % 13 = 0 THEN upper({_DOMAIN.format(n='n')}) ELSE {_DOMAIN.format(n='n')} END AS sender_domain,
   feedback_type, md5(CAST(event_id % 3001 AS STRING)) AS fingerprint
 FROM feedback_base""")
 _view("sender_list", (), """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.feature_queries import AS_OF, as_of, feature_ctes, history
-from catalog.fixtures import view, with_views
+from catalog.fixtures import SQL_ADDRESS, view, with_views
 from catalog.mail_queries import _cache, _CLASSIFY, decided
 from mailsieve.config import EngineConfig
 from mailsieve.functions import addresses as ad
@@ -34,7 +34,7 @@ _FB = with_views("feedback", "sender_list")
 _RANK = "CASE feedback_type WHEN 'whitelist' THEN 0 WHEN 'blacklist' THEN 1 WHEN 'not_spam' THEN 2 ELSE 3 END"
 _COUNTED = """count(*) FILTER (feedback_type = 'is_spam') AS spam_count, count(*) FILTER (feedback_type = 'not_spam') AS ham_count,
   count(*) FILTER (feedback_type = 'whitelist') AS whitelist_count, count(*) FILTER (feedback_type = 'blacklist') AS blacklist_count"""
-_HISTORY = f"""history AS (SELECT lower(sender_email) AS sender_email, min(sender_domain) AS sender_domain, {_COUNTED},
+_HISTORY = f"""history AS (SELECT lower(sender_email) AS sender_email, min(lower(sender_domain)) AS sender_domain, {_COUNTED},
   min(feedback.at) AS first_seen, max(feedback.at) AS last_seen FROM feedback GROUP BY 1)"""
 _FMT = "'%Y-%m-%d %H:%M:%S.%f'"
 
@@ -81,11 +81,11 @@ def auto_action(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _MAJOR = ", ".join(f"'{d}'" for d in fv.MAJOR_PROVIDERS)
-_ADDR = ad.ADDRESS_SYNTAX.replace("'", "''")
+_ADDR = SQL_ADDRESS.replace("'", "''")
 
 
 def _ends(tlds) -> str:
-    return "(" + " OR ".join(f"ends_with(sender_domain, '{t}')" for t in tlds) + ")"
+    return "(" + " OR ".join(f"ends_with(lower(sender_domain), '{t}')" for t in tlds) + ")"
 
 
 def _target_sql(use_domain: str) -> str:
@@ -93,7 +93,7 @@ def _target_sql(use_domain: str) -> str:
             f"CASE WHEN {use_domain} THEN sender_domain ELSE sender_email END AS raw_item")
 
 
-_WL_DOMAIN = f"sender_domain <> '' AND sender_domain NOT IN ({_MAJOR})"
+_WL_DOMAIN = f"sender_domain <> '' AND lower(sender_domain) NOT IN ({_MAJOR})"
 _VALID = f"CASE item_type WHEN 'email' THEN CASE WHEN regexp_matches(raw_item, '{_ADDR}') THEN lower(raw_item) END ELSE CASE WHEN contains(raw_item, '.') THEN lower(raw_item) END END"
 _EXPLICIT = f"""explicit AS (SELECT seq, account, feedback_type AS list_type, item_type, raw_item, {_VALID} AS item FROM (
   SELECT *, {_target_sql(_WL_DOMAIN)} FROM feedback WHERE feedback_type = 'whitelist'
@@ -114,14 +114,17 @@ def apply_explicit_feedback(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # every correction whose running count has passed the threshold and whose sender is on no list yet
-_AUTO = f"""crossing AS (SELECT lower(sender_email) AS sender_email, sender_domain,
+_AUTO = f"""crossing AS (SELECT seq, lower(sender_email) AS sender_email, lower(sender_domain) AS sender_domain,
     CASE feedback_type WHEN 'is_spam' THEN 'blacklist' ELSE 'whitelist' END AS list_type FROM running
   WHERE (feedback_type = 'is_spam' AND spam_count + blacklist_count >= 3) OR (feedback_type = 'not_spam' AND ham_count + whitelist_count >= 3)),
 open_rows AS (SELECT * FROM crossing c WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.list_type = c.list_type AND l.item_type = 'email' AND l.item = c.sender_email)
   AND NOT EXISTS (SELECT 1 FROM listed l WHERE l.list_type = c.list_type AND l.item_type = 'domain' AND l.item = CASE WHEN c.sender_domain = '' THEN split_part(c.sender_email, '@', -1) ELSE c.sender_domain END)),
-auto_items AS (SELECT DISTINCT list_type, item_type, {_VALID} AS item FROM (
+auto_rows AS (SELECT seq, list_type, item_type, raw_item, {_VALID} AS item FROM (
   SELECT *, {_target_sql(_WL_DOMAIN)} FROM open_rows WHERE list_type = 'whitelist'
-  UNION ALL SELECT *, {_target_sql(_ends(fv.AUTO_BLACKLIST_TLDS))} FROM open_rows WHERE list_type = 'blacklist'))"""
+  UNION ALL SELECT *, {_target_sql(_ends(fv.AUTO_BLACKLIST_TLDS))} FROM open_rows WHERE list_type = 'blacklist')),
+auto_items AS (SELECT DISTINCT list_type, item_type, item FROM auto_rows),
+rejects AS (SELECT seq, list_type, item_type, raw_item FROM explicit WHERE item IS NULL
+  UNION ALL SELECT a.seq, a.list_type, a.item_type, CASE a.item_type WHEN 'email' THEN f.sender_email ELSE f.sender_domain END FROM auto_rows a JOIN feedback f ON f.seq = a.seq WHERE a.item IS NULL)"""
 
 
 @query(_FB + f", {_EXPLICIT}, {_LISTED}, {_RUNNING}, {_AUTO} SELECT * FROM auto_items WHERE item IS NOT NULL")
@@ -140,20 +143,33 @@ def feedback_samples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SUMMARY = """fb_summary AS (SELECT f.account, count(*) FILTER (ok) AS processed, count(*) FILTER (ok AND feedback_type = 'whitelist') AS whitelist_added,
-  count(*) FILTER (ok AND feedback_type = 'blacklist') AS blacklist_added, count(*) FILTER (feedback_type IN ('not_spam', 'is_spam')) AS correction_added,
+  count(*) FILTER (ok AND feedback_type = 'blacklist') AS blacklist_added, count(*) FILTER (ok AND feedback_type IN ('not_spam', 'is_spam')) AS correction_added,
   count(*) FILTER (ok) AS ml_samples, count(*) FILTER (ok) AS restored, count(*) FILTER (NOT ok) AS errors
-  FROM (SELECT f.*, NOT EXISTS (SELECT 1 FROM explicit e WHERE e.seq = f.seq AND e.item IS NULL) AS ok FROM feedback f) f GROUP BY 1)"""
+  FROM (SELECT f.*, f.seq NOT IN (SELECT seq FROM rejects) AS ok FROM feedback f) f GROUP BY 1)"""
 
 
-@query(_FB + f", {_EXPLICIT}, {_SUMMARY} SELECT * FROM fb_summary")
+_REJECTS = f"{_EXPLICIT}, {_LISTED}, {_RUNNING}, {_AUTO}"
+
+
+def _rejects(spark: SparkSession, sf: str) -> DataFrame:
+    return fb.feedback_rejects(view(spark, sf, "feedback"), view(spark, sf, "sender_list"))
+
+
+@query(_FB + f", {_REJECTS} SELECT * FROM rejects")
+def feedback_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Explicit requests and corrections whose list item is invalid."""
+    return _rejects(spark, sf).select("seq", "list_type", "item_type", "raw_item")
+
+
+@query(_FB + f", {_REJECTS}, {_SUMMARY} SELECT * FROM fb_summary")
 def feedback_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return fb.feedback_summary(view(spark, sf, "feedback"))
+    return fb.feedback_summary(view(spark, sf, "feedback"), _rejects(spark, sf))
 
 
-@query(_FB + f", {_EXPLICIT}, {_SUMMARY} SELECT count(*) AS accounts_processed, CAST(sum(processed) AS BIGINT) AS total_feedback, CAST(sum(whitelist_added) AS BIGINT) AS total_whitelist_added, "
+@query(_FB + f", {_REJECTS}, {_SUMMARY} SELECT count(*) AS accounts_processed, CAST(sum(processed) AS BIGINT) AS total_feedback, CAST(sum(whitelist_added) AS BIGINT) AS total_whitelist_added, "
        "CAST(sum(blacklist_added) AS BIGINT) AS total_blacklist_added, CAST(sum(ml_samples) AS BIGINT) AS total_ml_samples, CAST(sum(restored) AS BIGINT) AS total_restored, CAST(sum(errors) AS BIGINT) AS total_errors FROM fb_summary")
 def feedback_run_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return fb.feedback_run_totals(fb.feedback_summary(view(spark, sf, "feedback")))
+    return fb.feedback_run_totals(fb.feedback_summary(view(spark, sf, "feedback"), _rejects(spark, sf)))
 
 
 # training
@@ -215,11 +231,12 @@ assembled AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sender_em
 
 @query(_ASSEMBLED + " SELECT sample_id, sender_email, is_spam, source FROM assembled")
 def assemble_training_set(spark: SparkSession, sf: str) -> DataFrame:
-    """Overrides plus stored samples, each stored twice with opposite labels: the first counts."""
+    """Overrides plus stored samples, each stored twice as it is and once more with the opposite label: one of the
+    first two counts."""
     from catalog.mail_queries import _overrides
     stored = view(spark, sf, "training_samples")
     again = stored.withColumns({"sample_id": F.concat("sample_id", F.lit("-again")), "is_spam": ~F.col("is_spam")})
-    out = training.assemble_training_set(_overrides(spark, sf), stored.unionByName(again))
+    out = training.assemble_training_set(_overrides(spark, sf), stored.unionByName(stored).unionByName(again))
     return out.select("sample_id", "sender_email", "is_spam", "source")
 
 
@@ -239,7 +256,7 @@ def retrain_due(spark: SparkSession, sf: str) -> DataFrame:
 
 _D = with_views("decisions", "feedback", "sender_list", "retrain_events", "error_events") + f""", {_EXPLICIT},
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY seq) AS rn FROM decisions) WHERE rn = 1),
-fbk AS (SELECT f.*, NOT EXISTS (SELECT 1 FROM explicit e WHERE e.seq = f.seq AND e.item IS NULL) AS ok FROM feedback f)"""
+fbk AS (SELECT f.*, f.seq NOT IN (SELECT seq FROM rejects) AS ok FROM feedback f)"""
 _METHODS = ", ".join(f"('{m}')" for m in fv.COUNTED_METHODS)
 
 

@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.feature_queries import AS_OF, as_of, feature_ctes, marketing_sql_expr, q
-from catalog.fixtures import view, with_views
+from catalog.fixtures import SQL_ADDRESS, view, with_views
 from mailsieve.config import EngineConfig
 from mailsieve.functions import addresses as ad
 from mailsieve.functions import fixed_values as fv
 from mailsieve.functions import identity
 from mailsieve.functions import scoring as sc
 from mailsieve.operators import cascade, lists, maintenance, verdicts
+from mailsieve.plans.jobs import decision_facts
+from mailsieve.plans.session import new_path
 from mailsieve.sources import mail, tables
 
 QUERIES = {}
@@ -99,7 +101,7 @@ def list_text_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # normalised list items in SQL
-_ADDR_RE = q(ad.ADDRESS_SYNTAX)
+_ADDR_RE = q(SQL_ADDRESS)
 _HOST = "split_part(regexp_replace(lower(trim(raw_item)), '^https?://', ''), '/', 1)"
 _ITEMS = f"""items AS (SELECT list_type, raw_item, CASE WHEN contains(raw_item, '@') THEN 'email' ELSE 'domain' END AS item_type,
   CASE WHEN contains(raw_item, '@') THEN CASE WHEN regexp_matches(trim(raw_item), {_ADDR_RE}) THEN lower(trim(raw_item)) END
@@ -115,6 +117,18 @@ def read_exported_list(spark: SparkSession, sf: str) -> DataFrame:
         F.lit("whitelist").alias("list_type"), "v.item_type", "v.item")
 
 
+@query(with_views("raw_items") + f", {_ITEMS} SELECT list_type, item_type, item FROM items WHERE item IS NOT NULL GROUP BY ALL")
+def export_list_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Both lists written by export_list and read by read_list_json: one as rows, one as a document."""
+    current = lists.valid_items(view(spark, sf, "raw_items")).select(*lists.LIST_COLUMNS).distinct()
+    back = []
+    for list_type, one in (("whitelist", False), ("blacklist", True)):
+        path = new_path(spark, "export")
+        tables.export_list(current, list_type, path, one_document=one)
+        back.append(tables.read_list_json(spark, path, list_type))
+    return back[0].unionByName(back[1])
+
+
 @query(with_views("verdict_cache") + f"""SELECT fingerprint, action, method, confidence FROM verdict_cache
   WHERE cached_at IS NULL OR date_diff('microsecond', cached_at, TIMESTAMP '{AS_OF}') <= 30 * 86400000000""")
 def live_verdict_cache(spark: SparkSession, sf: str) -> DataFrame:
@@ -482,6 +496,15 @@ def classified_methods(spark: SparkSession, sf: str) -> DataFrame:
     return decided(spark, sf).groupBy("method", "action").agg(F.count("*").alias("messages"))
 
 
+@query(_CLASSIFY + f""", facts AS (SELECT {FP} AS fingerprint, m.msg_id, c.action, c.method FROM classified c JOIN messages m ON m.msg_id = c.msg_id),
+  firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY msg_id) AS rn FROM facts) WHERE rn = 1)
+  SELECT method, action, count(*) AS decisions FROM firsts GROUP BY ALL""")
+def detection_to_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions of the cascade as facts, deduplicated and counted by method."""
+    facts = decision_facts(cascade.route(decided(spark, sf), view(spark, sf, "accounts")), as_of(), 0.1)
+    return verdicts.dedup_decisions(facts).groupBy("method", "action").agg(F.count("*").alias("decisions"))
+
+
 @query(_CLASSIFY + """ SELECT c.msg_id, CASE WHEN c.action = 'SPAM' THEN CASE WHEN m.account = 'work' THEN 'spam' ELSE 'SPAM_AUTO' END ELSE 'INBOX' END AS target_folder,
   CASE WHEN c.action = 'SPAM' THEN true ELSE NOT m.was_unread END AS marked_read FROM classified c JOIN messages m ON m.msg_id = c.msg_id""")
 def route(spark: SparkSession, sf: str) -> DataFrame:

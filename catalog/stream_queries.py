@@ -62,7 +62,7 @@ def sender_state_stream(spark: SparkSession, sf: str) -> DataFrame:
 def _stream_totals(spark: SparkSession, sf: str) -> DataFrame:
     path = new_path(spark, "senders")
     totals = sj.sender_counter_stream(stream_view(spark, sf, "events", "feedback"))
-    _finish(sj.start_to_table(totals, path, "complete", available_now=True))
+    _finish(sj.start_to_table(totals, path, "update", available_now=True, keys=("sender_email",)))
     return tables.read_latest(spark, path, fb.HISTORY_SCHEMA)
 
 

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from mailsieve.functions import text as tx
 
-# Fixed pattern: local part, '@', dotted host name whose labels neither start nor end with '-'.
+# Local part, '@', dotted host name whose labels neither start nor end with '-'. Every repetition is possessive and no
+# group captures, so an address of any length is matched in a loop, without recursion.
+_LOCAL_CHARS = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]"
 ADDRESS_SYNTAX = (
-    r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*"
-    r"@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$"
+    rf"^{_LOCAL_CHARS}++(?:\.{_LOCAL_CHARS}++)*+"
+    r"@(?:[A-Za-z0-9]++(?:-++[A-Za-z0-9]++)*+\.)++[A-Za-z]{2,}+$"
 )
 
 

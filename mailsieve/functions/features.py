@@ -25,9 +25,9 @@ WEB_LINK = rf"https?://{_LINK_CHARS}"
 _TLDS = "|".join(t.replace(".", r"\.") for t in fv.FEATURE_TLDS)
 _LINK_CHAR = _LINK_CHARS[:-1]
 _LINK_START = rf"(?:https?://|www\.){_LINK_CHAR}"
-# A run of link characters whose link part (from its first link start on) has one of the suspicious endings
-# anywhere inside. Tried once per run, so that a text full of link starts takes no longer than another.
-TLD_URL = rf"(?<!{_LINK_CHAR})(?:(?!{_LINK_START}){_LINK_CHAR})*+(?={_LINK_START}){_LINK_CHAR}*?(?:{_TLDS})"
+_NOT_LINK = rf'[{_S}<>"{{}}|\\^`\[\]]+'
+# A link start and, after it, one of the suspicious endings. The first possessive part stops at the first link start.
+_LINKED_TLD = rf"(?s)^(?:(?!{_LINK_START}).)*+(?={_LINK_START}).*?(?:{_TLDS})"
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Tried once per run of local-part characters, at its first word boundary.
 EMAIL = rf"(?:\G|(?<!{_LOCAL}))(?:(?!{_B}){_LOCAL})*+{_B}{_LOCAL}++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_B}"
@@ -195,6 +195,13 @@ def _subject(lexicons: dict) -> dict[str, Column]:
     return out
 
 
+def _suspicious_links(low: Column) -> Column:
+    """Runs of link characters whose part from the first link start on has a suspicious ending anywhere inside. The
+    text is cut once at the other characters, and only runs with such an ending are looked at."""
+    runs = F.filter(F.split(low, _NOT_LINK), lambda run: F.rlike(run, F.lit(_TLDS)))
+    return F.size(F.filter(runs, lambda run: F.rlike(run, F.lit(_LINKED_TLD))))
+
+
 def _content(lexicons: dict) -> dict[str, Column]:
     body, low, blen, linked = F.col("_body"), F.col("_lbody"), F.col("_blen"), F.col("_linked")
     newlines = tx.occurrences(body, "\n")
@@ -204,7 +211,7 @@ def _content(lexicons: dict) -> dict[str, Column]:
         "content_exclamation_count": tx.occurrences(body, "!"),
         "content_question_count": tx.occurrences(body, "?"),
         "content_url_count": F.when(linked, tx.matches(low, URL)).otherwise(0),
-        "content_suspicious_tld_count": F.when(linked, tx.matches(low, TLD_URL)).otherwise(0),
+        "content_suspicious_tld_count": F.when(linked & F.rlike(low, F.lit(_TLDS)), _suspicious_links(low)).otherwise(0),
         "content_email_count": tx.matches(body, EMAIL, "@"),
         "content_phone_count": F.when(F.rlike(body, F.lit(PHONE_TAIL)), tx.matches(body, PHONE)).otherwise(0),
         "content_number_count": tx.matches(body, NUMBER),

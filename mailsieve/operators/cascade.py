@@ -87,11 +87,29 @@ def accept_if_confident(ml: Column, config: EngineConfig) -> Column:
     return ml["confidence"] > config.ml_confidence_threshold
 
 
+CALL_SIZE = 50
+
+
+def ask(scorer: Scorer, prompts: list[str]) -> list[tuple[str | None, str | None]]:
+    """(reply, error) for each prompt."""
+    try:
+        replies = list(scorer(prompts))
+        if len(replies) != len(prompts):
+            raise ValueError("scorer gave a wrong number of replies")
+        return [(r, None) for r in replies]
+    except Exception as problem:  # the mail is kept, the run goes on
+        if len(prompts) == 1:
+            return [(None, str(problem))]
+        half = len(prompts) // 2
+        return ask(scorer, prompts[:half]) + ask(scorer, prompts[half:])
+
+
 def external_score(pending: DataFrame, scorer: Scorer | None, provider: str = "openai", concurrency: int | None = None) -> DataFrame:
     """(fingerprint, prompt) rows -> one verdict per distinct fingerprint.
 
-    ``concurrency`` is the number of partitions, hence of calls at a time. A batch that fails gives
-    error verdicts, never a failed job.
+    ``concurrency`` is the number of partitions, hence of calls at a time. The scorer gets at most CALL_SIZE
+    prompts at once. A call that fails is made again with halves of its prompts, so that only the prompts that
+    fail by themselves get error verdicts; the job never fails.
     """
     unavailable = sc.verdict(*sc.UNAVAILABLE)
     distinct = pending.groupBy("fingerprint").agg(F.min("prompt").alias("prompt"))
@@ -102,16 +120,9 @@ def external_score(pending: DataFrame, scorer: Scorer | None, provider: str = "o
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["fingerprint"]].copy()
-            out["reply"], out["error"] = None, None
-            try:
-                replies = list(scorer(batch["prompt"].tolist()))
-                if len(replies) != len(batch):
-                    raise ValueError("scorer gave a wrong number of replies")
-                out["reply"] = replies
-            except Exception as problem:  # the mail is kept, the run goes on
-                out["error"] = str(problem)
-            yield out
+            prompts = batch["prompt"].tolist()
+            found = [answer for at in range(0, len(prompts), CALL_SIZE) for answer in ask(scorer, prompts[at:at + CALL_SIZE])]
+            yield pd.DataFrame({"fingerprint": batch["fingerprint"].tolist(), "reply": [f[0] for f in found], "error": [f[1] for f in found]})
 
     replies = distinct.mapInPandas(call, "fingerprint string, reply string, error string")
     decision = F.when(F.col("reply").isNull(), sc.scorer_error(provider, F.coalesce("error", F.lit("no reply")))).otherwise(
@@ -152,8 +163,9 @@ def _flatten(frame: DataFrame) -> DataFrame:
 
 
 def scorer_cache_entries(decisions: DataFrame, at: Column) -> DataFrame:
-    """Fresh scorer verdicts as cache rows, one per fingerprint."""
-    fresh = decisions.filter(F.startswith("method", F.lit("llm_")) & ~F.endswith("reason", F.lit(" (cached)")))
+    """Fresh scorer verdicts as cache rows, one per fingerprint. What could not be judged is asked again next time."""
+    judged = ~F.endswith("method", F.lit("_error")) & (F.col("method") != "llm_unavailable")
+    fresh = decisions.filter(F.startswith("method", F.lit("llm_")) & judged & ~F.endswith("reason", F.lit(" (cached)")))
     rows = fresh.select("fingerprint", "action", "reason", "confidence", "method",
                         F.lit(False).alias("override"), at.alias("cached_at"))
     return verdicts.pick_row(rows, ["fingerprint"], F.col("action")).select(*verdicts.CACHE_COLUMNS)

@@ -66,7 +66,7 @@ def _counters(feedback: DataFrame, prior: DataFrame | None) -> DataFrame:
     kind = F.col("feedback_type")
     fresh = feedback.select(
         F.lower(tx.or_empty(F.col("sender_email"))).alias("sender_email"),
-        F.col("sender_domain"),
+        F.lower("sender_domain").alias("sender_domain"),
         *[(kind == name).cast("bigint").alias(column) for name, column in COUNTERS.items()],
         F.col("at").cast("timestamp_ntz").alias("first_seen"), F.col("at").cast("timestamp_ntz").alias("last_seen"),
         (kind == "is_spam").cast("bigint").alias("new_spam"), (kind == "not_spam").cast("bigint").alias("new_ham"),
@@ -123,15 +123,15 @@ def auto_action(counters: DataFrame, config: EngineConfig = EngineConfig()) -> D
 
 
 def whitelist_target(email: Column, domain: Column) -> Column:
-    """struct(item_type, raw_item): the domain unless it is empty or a shared provider."""
-    use_domain = (tx.or_empty(domain) != "") & ~domain.isin(*fv.MAJOR_PROVIDERS)
+    """struct(item_type, raw_item): the domain unless it is empty or a shared provider, in any case."""
+    use_domain = (tx.or_empty(domain) != "") & ~F.lower(domain).isin(*fv.MAJOR_PROVIDERS)
     return _target(use_domain, email, domain)
 
 
 def blacklist_target(email: Column, domain: Column, automatic: bool = False) -> Column:
     """struct(item_type, raw_item): the domain under a suspicious ending, else the address."""
     endings = fv.AUTO_BLACKLIST_TLDS if automatic else fv.BLACKLIST_TLDS
-    return _target(tx.ends_with_any(tx.or_empty(domain), endings), email, domain)
+    return _target(tx.ends_with_any(F.lower(tx.or_empty(domain)), endings), email, domain)
 
 
 def _target(use_domain: Column, email: Column, domain: Column) -> Column:
@@ -212,25 +212,49 @@ def feedback_samples(feedback: DataFrame) -> DataFrame:
     })
 
 
-def feedback_summary(feedback: DataFrame) -> DataFrame:
-    """Per account: processed, whitelist_added, blacklist_added (explicit only), correction_added,
-    ml_samples, restored, errors. A row whose list item is invalid counts as an error only, but for a
-    correction's sample."""
+def failed_corrections(feedback: DataFrame, listed: DataFrame, prior: DataFrame | None = None,
+                       config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Corrections that should have put their sender on a list but name an invalid item, with that item. Their
+    counters, sample and override stay. ``listed`` is the list with the explicit feedback in it.
+
+    Only feedback of senders that name an invalid item at all is counted row by row.
+    """
+    kind, email, domain = F.col("feedback_type"), F.col("sender_email"), F.col("sender_domain")
+    target = F.when(kind == "not_spam", whitelist_target(email, domain)).when(
+        kind == "is_spam", blacklist_target(email, domain, automatic=True))
+    asked = feedback.withColumn("_t", target).withColumn(
+        "_bad", F.col("_t").isNotNull() & ad.normalize_item(F.col("_t.raw_item"), F.col("_t.item_type")).isNull())
+    asked = asked.withColumn("_key", F.lower(tx.or_empty(email)))
+    suspects = asked.where("_bad").select("_key").distinct()
+    if prior is not None:
+        prior = prior.join(suspects, prior["sender_email"] == suspects["_key"], "left_semi")
+    counted = auto_action(running_counters(asked.join(suspects, "_key", "left_semi"), prior, config), config)
+    due = counted.where("_bad AND ((feedback_type = 'not_spam' AND should_whitelist) OR (feedback_type = 'is_spam' AND should_blacklist))")
+    due = due.withColumn("list_type", F.when(kind == "not_spam", "whitelist").otherwise("blacklist"))
+    return lists.not_on_same_list(due, listed).select(*feedback.columns, "list_type", "_t.item_type", "_t.raw_item")
+
+
+def feedback_rejects(feedback: DataFrame, current: DataFrame, prior: DataFrame | None = None,
+                     config: EngineConfig = EngineConfig()) -> DataFrame:
+    """Feedback that counts as an error, with the invalid list item it names."""
+    listed = apply_explicit_feedback(feedback, current)
+    return rejected_targets(feedback).unionByName(failed_corrections(feedback, listed, prior, config))
+
+
+def feedback_summary(feedback: DataFrame, rejects: DataFrame) -> DataFrame:
+    """Per account: processed, whitelist_added, blacklist_added (explicit only), correction_added, ml_samples,
+    restored, errors. ``rejects`` (``feedback_rejects``) are errors and count nowhere else."""
     kind = F.col("feedback_type")
-    target = F.when(kind == "whitelist", whitelist_target(F.col("sender_email"), F.col("sender_domain"))).when(
-        kind == "blacklist", blacklist_target(F.col("sender_email"), F.col("sender_domain")))
-    checked = feedback.withColumn("_t", target).withColumn(
-        "_ok", F.col("_t").isNull() | ad.normalize_item(F.col("_t.raw_item"), F.col("_t.item_type")).isNotNull())
-    ok = F.col("_ok")
-    return checked.groupBy("account").agg(
-        F.count_if(ok).alias("processed"),
-        F.count_if(ok & (kind == "whitelist")).alias("whitelist_added"),
-        F.count_if(ok & (kind == "blacklist")).alias("blacklist_added"),
-        F.count_if(kind.isin("not_spam", "is_spam")).alias("correction_added"),
-        F.count_if(ok).alias("ml_samples"),
-        F.count_if(ok).alias("restored"),
-        F.count_if(~ok).alias("errors"),
-    )
+    rows = feedback.select("account", kind, F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(
+        rejects.select("account", kind, F.lit(-1).alias("n"), F.lit(1).alias("e")))
+
+    def added(*kinds: str) -> Column:
+        return F.coalesce(F.sum(F.when(kind.isin(*kinds), F.col("n"))), F.lit(0))
+
+    return rows.groupBy("account").agg(
+        F.sum("n").alias("processed"), added("whitelist").alias("whitelist_added"), added("blacklist").alias("blacklist_added"),
+        added("not_spam", "is_spam").alias("correction_added"), F.sum("n").alias("ml_samples"), F.sum("n").alias("restored"),
+        F.sum("e").alias("errors"))
 
 
 def feedback_run_totals(summary: DataFrame) -> DataFrame:

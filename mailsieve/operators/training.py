@@ -24,26 +24,26 @@ SAMPLE_COLUMNS = ("sample_id", "sender_email", "sender_domain", "subject", "body
 
 # Cold-start samples: (sender, subject, body, is_spam).
 _COLD_START = (
-    ("claims@megajackpot.tk", "YOU ARE A WINNER!!! Claim $250,000 today!!!",
-     "Urgent notice! Your ticket won the lottery prize of $250,000. Act now and claim your cash reward before it expires!", True),
-    ("alerts@bank-check.click", "Account suspended - verify your password NOW!",
-     "Your account is locked. Verify your login and password at once, or it stays suspended. Confirm here: http://bank-check.click/login", True),
-    ("office@estate-funds.ml", "Confidential transfer of inheritance funds",
-     "Dear beneficiary, a sum of 12 million must be transferred. Help with the transfer and 25% of the funds are yours.", True),
-    ("shop8812@pill-bargains.top", "75% OFF all pills! Limited time!!!",
-     "Order now and save money! Discount of 75% off, best price, no questions asked. Special offer, click here: http://pill-bargains.top/x", True),
-    ("boss@easy-income.ga", "Earn $4000 a month from your sofa!",
-     "Free guide shows how to make money at home. Guaranteed cash. Click here and sign up now, limited places!", True),
-    ("ci@buildserver.org", "Build 4711 passed",
-     "All 312 checks of your branch passed. The change was merged this morning. Thanks for the review.", False),
-    ("noreply@travelbooking.com", "Your seat on Tuesday",
-     "Your booking for the 9:40 train is complete. Coach 7, seat 21. We wish you a pleasant journey.", False),
-    ("service@bookstore.com", "Parcel on its way",
-     "The two books you ordered left our warehouse. The parcel should reach you on Thursday.", False),
-    ("julia@gardenclub.org", "Minutes of the spring meeting",
-     "Hello all, attached are the minutes. The next meeting is on the first Monday in May, same room.", False),
-    ("office@school.edu", "Parents' evening moved to Thursday",
-     "The parents' evening takes place on Thursday at 7 pm. Please tell us if you cannot come.", False),
+    ("anna@ridgewalkers.org", "Car sharing for Sunday's ridge walk",
+     "I can take three people from the station at seven. Bring rain clothes and something to eat. Who else drives?", False),
+    ("airdrop@coin-vault.top", "Double your coins tonight, only 40 wallets left!!!",
+     "Send any amount to the vault and get TWICE as much back. Click here: http://coin-vault.top/claim Act now, this is free money!", True),
+    ("reception@molar-practice.com", "Your check-up in the second week of June",
+     "This is a reminder of your appointment with us. If the time does not suit you, please ring the practice.", False),
+    ("depot@customs-release.click", "Package held, fee of $1.99 unpaid",
+     "We could not hand over your package. Pay the fee within 12 hours or it will be destroyed: http://customs-release.click/pay", True),
+    ("meter@citypower.net", "Reading of the electricity meter",
+     "Please send us the number on your meter by the end of the month. You find it above the bar code.", False),
+    ("luxury@timepiece-copies.tk", "Swiss watches, same look, 90% off",
+     "Nobody can tell the difference! Cheap prices, free shipping, order now while the offer lasts. http://timepiece-copies.tk", True),
+    ("tenor@harbourchoir.org", "Rehearsal room changed",
+     "We sing in the small hall this week because the floor of the large one is being repaired. Scores are on the piano.", False),
+    ("growth@fans-and-likes.ml", "10,000 real followers for your page!!!",
+     "Be famous by tomorrow! Buy followers and likes, guaranteed, limited offer. Subscribe today: http://fans-and-likes.ml/buy", True),
+    ("oskar@kitchentable.net", "That lentil soup",
+     "You asked for the recipe: two onions, a cup of red lentils, cumin, half a lemon at the very end. It keeps for days.", False),
+    ("approval@instant-loan.ga", "Loan approved without any check",
+     "Congratulations! You have been selected for a cash loan. No questions asked. Confirm your account number urgently here.", True),
 )
 
 
@@ -108,15 +108,16 @@ def override_samples(cache: DataFrame) -> DataFrame:
 
 
 def dedup_training(samples: DataFrame) -> DataFrame:
-    """First sample per sender + subject + start of the text, in order of (source_rank, sample_id).
+    """First sample per sender + subject + start of the text, in order of (source_rank, sample_id); of fully
+    equal ones one stays.
 
     The keys are compared first and the full rows joined after, so bodies are not carried through the
-    aggregation.
+    aggregation. What is joined then shares key, rank and id at most, so few rows reach the last step.
     """
     keyed = samples.withColumn("_key", identity.training_key(F.col("sender_email"), F.col("subject"), F.col("body")))
     first = keyed.groupBy("_key").agg(F.min(F.struct("source_rank", "sample_id")).alias("_first"))
-    first = first.select(F.col("_first.source_rank").alias("source_rank"), F.col("_first.sample_id").alias("sample_id"))
-    return samples.join(first, ["source_rank", "sample_id"], "left_semi")
+    first = first.select("_key", F.col("_first.source_rank").alias("source_rank"), F.col("_first.sample_id").alias("sample_id"))
+    return keyed.join(first, ["_key", "source_rank", "sample_id"], "left_semi").dropDuplicates(["_key"]).drop("_key")
 
 
 def assemble_training_set(cache: DataFrame, stored: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:

@@ -10,13 +10,9 @@ from pyspark.sql import functions as F
 
 from mailsieve.config import EngineConfig
 from mailsieve.functions import identity
-from mailsieve.operators import cascade, feedback as fb, lists, maintenance, training, verdicts
+from mailsieve.operators import cascade, feedback as fb, maintenance, training, verdicts
 from mailsieve.sources import tables
 
-# Lists up to this many items are matched while the texts are still at hand, so that listed mail costs
-# no feature work. Larger ones are matched after the texts are gone.
-EARLY_LIST_ITEMS = 200_000
-
 
 @dataclass
 class DetectionRun:
@@ -40,36 +36,29 @@ def with_fingerprint(messages: DataFrame) -> DataFrame:
     return messages.withColumn("fingerprint", identity.fingerprint(F.col("sender_email"), F.col("subject"), F.col("body")))
 
 
-def skip_listed_texts(messages: DataFrame, sender_list: DataFrame) -> DataFrame:
-    """Blank the texts of listed senders: their verdict does not depend on them.
-
-    Done only for lists of a checked size; the texts then stay in the scan stage. The fingerprint is taken
-    before, from the real text.
-    """
-    if sender_list.limit(EARLY_LIST_ITEMS + 1).count() > EARLY_LIST_ITEMS:
-        return messages
-    matched = lists.match_lists(with_fingerprint(messages), sender_list, broadcast=True)
-    listed = F.col("whitelist_reason").isNotNull() | F.col("blacklist_reason").isNotNull()
-    return matched.withColumns({
-        "subject": F.when(~listed, F.col("subject")), "body": F.when(~listed, F.col("body"))}).drop(
-        "whitelist_reason", "blacklist_reason")
-
-
 def run_detection(messages: DataFrame, sender_list: DataFrame, cache: DataFrame | None, model: PipelineModel | None,
                   history: DataFrame | None, accounts: DataFrame, *, as_of: Column, config: EngineConfig = EngineConfig(),
-                  scorer: cascade.Scorer | None = None, provider: str = "openai", concurrency: int | None = None) -> DetectionRun:
-    """Purge, classify unread mail, route it. Nothing is written but intermediate tables: a dry run is a
-    run whose results are not passed to the sinks."""
+                  scorer: cascade.Scorer | None = None, provider: str = "openai", concurrency: int | None = None,
+                  folder: str | None = None, failed: DataFrame | None = None) -> DetectionRun:
+    """Purge, classify the unread mail of one folder (the inbox unless named), route it. Nothing is written but
+    intermediate tables: a dry run is a run whose results are not passed to the sinks. ``failed`` holds one row per
+    message that could not be read, with its account, for the summary."""
     kept, gone = maintenance.purge_old_spam(messages, config.auto_delete_after_days, as_of, accounts, config)
-    unread = kept.filter("was_unread")
-    keep = ("msg_id", "account", "folder", "sender_email", "sender_domain", "was_unread")
-    unread = skip_listed_texts(unread, sender_list)
+    unread = kept.filter(F.col("was_unread") & (F.col("folder") == F.lit(folder or config.inbox)))
+    keep = ("msg_id", "account", "folder", "subject", "sender_email", "sender_domain", "was_unread")
     frame = score_messages(unread, model, history, config=config, as_of=as_of, keep=keep)
     live = None if cache is None else verdicts.live_cache(cache, config.cache_max_age_days, as_of)
     decided = cascade.classify(
         frame, sender_list, live, config=config, scorer=scorer, provider=provider, concurrency=concurrency)
     routed = cascade.route(decided, accounts, config)
-    return DetectionRun(routed, cascade.run_summary(routed, purged=gone), cascade.scorer_cache_entries(routed, as_of), kept)
+    return DetectionRun(routed, cascade.run_summary(routed, failed, gone), cascade.scorer_cache_entries(routed, as_of), kept)
+
+
+def decision_facts(decisions: DataFrame, decided_at: Column, seconds_per_message: float | None = None) -> DataFrame:
+    """Decisions as the facts that the statistics read; the message number orders decisions of one moment."""
+    return decisions.select(
+        "fingerprint", F.col("msg_id").alias("seq"), decided_at.cast("timestamp_ntz").alias("decided_at"), "action",
+        "confidence", "method", F.lit(seconds_per_message).cast("double").alias("processing_time"))
 
 
 @dataclass
@@ -86,10 +75,11 @@ def run_feedback(feedback: DataFrame, sender_list: DataFrame, history: DataFrame
                  config: EngineConfig = EngineConfig()) -> FeedbackRun:
     """Everything one feedback run changes. ``feedback`` carries fingerprint for the overrides."""
     ordered = feedback.withColumn("handled", fb.handling_order(F.col("feedback_type"), F.col("seq"), config))
+    rejects = fb.feedback_rejects(feedback, sender_list, history, config)
     return FeedbackRun(
-        fb.apply_feedback(feedback, sender_list, history, config), fb.rejected_targets(feedback),
+        fb.apply_feedback(feedback, sender_list, history, config), rejects,
         fb.sender_counters(feedback, history), verdicts.feedback_overrides(ordered),
-        fb.feedback_samples(feedback), fb.feedback_summary(feedback))
+        fb.feedback_samples(feedback), fb.feedback_summary(feedback, rejects))
 
 
 def retrain(samples: DataFrame, history: DataFrame | None, *, as_of: Column, config: EngineConfig = EngineConfig(),

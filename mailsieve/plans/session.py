@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,13 @@ _own_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it. Only where none is named (tests, one
-    machine) a temporary one is made, once per application."""
+    """The folder every executor can reach, as the cluster names it. A session on one machine (local master, as in
+    tests) that names none gets a temporary one, once per application; a cluster has to name one."""
     folder = spark.conf.get(CHECKPOINT_KEY, None)
     if folder:
         return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
         _own_folders[app] = tempfile.mkdtemp(prefix="mailsieve-")

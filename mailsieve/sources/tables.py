@@ -19,23 +19,24 @@ from mailsieve.functions import text as tx
 from mailsieve.operators import lists, training, verdicts
 
 _LIST_JSON = "emails array<string>, domains array<string>"
+_LIST_ROW = "item_type string, item string"
 _SAMPLE_JSON = (
     "email_data struct<sender_email:string,sender_domain:string,subject:string,body:string,text_content:string>, "
     "is_spam boolean, source string, _corrupt_record string")
-# A list larger than this is exported as rows, never as one document.
-DOCUMENT_ITEMS = 100_000
 
 
 # sender lists
 
 def read_list_json(spark: SparkSession, path: str, list_type: str) -> DataFrame:
-    """{emails, domains} -> list rows; a broken document is an empty list."""
+    """List rows of an export: {item_type, item} rows, or one {emails, domains} document; a broken one is an empty list."""
     docs = spark.read.schema(_LIST_JSON).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+    rows = spark.read.schema(_LIST_ROW).option("mode", "PERMISSIVE").json(path)
 
     def side(name: str, kind: str) -> DataFrame:
         return docs.select(F.lit(list_type).alias("list_type"), F.lit(kind).alias("item_type"), F.explode(name).alias("item"))
 
-    return side("emails", "email").unionByName(side("domains", "domain")).distinct()
+    own = rows.where("item IS NOT NULL AND item_type IN ('email', 'domain')").select(F.lit(list_type).alias("list_type"), "item_type", "item")
+    return own.unionByName(side("emails", "email")).unionByName(side("domains", "domain")).distinct()
 
 
 def read_list_text(spark: SparkSession, path: str) -> DataFrame:
@@ -55,16 +56,17 @@ def list_rows_json(current: DataFrame, list_type: str) -> DataFrame:
     return lists.list_contents(current, list_type).select(F.to_json(F.struct("item_type", "item")).alias("value"))
 
 
-def export_list(current: DataFrame, list_type: str, path: str) -> None:
-    """Sorted {emails, domains} document; above DOCUMENT_ITEMS a folder of sorted rows instead."""
-    chosen = current.filter(F.col("list_type") == list_type)
-    if chosen.limit(DOCUMENT_ITEMS + 1).count() > DOCUMENT_ITEMS:
+def export_list(current: DataFrame, list_type: str, path: str, one_document: bool = False) -> None:
+    """A folder of sorted JSON rows, whatever the size. ``one_document`` gives one {emails, domains} document
+    instead, made in one task: for lists that the caller knows to be short."""
+    if not one_document:
         list_rows_json(current, list_type).write.text(path)
         return
 
     def items(kind: str) -> Column:
         return F.sort_array(F.collect_set(F.when(F.col("item_type") == kind, F.col("item"))))
 
+    chosen = current.filter(F.col("list_type") == list_type)
     chosen.agg(items("email").alias("emails"), items("domain").alias("domains")).coalesce(1).write.json(path)
 
 
@@ -101,6 +103,35 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
     return commits.agg(F.max("version")).first()[0]
 
 
+def read_committed(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of all committed versions; folders that a lost job has left behind are not read."""
+    try:
+        commits = spark.read.schema("version bigint").json(f"{root.rstrip('/')}/commits").distinct()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "version bigint")
+    rows = spark.read.parquet(f"{root.rstrip('/')}/data")
+    return rows.withColumn("version", F.col("version").cast("bigint")).join(commits, "version", "left_semi")
+
+
+def merge_version(changed: DataFrame, root: str, version: int, keys: list[str]) -> None:
+    """The newest version before ``version`` with the rows of ``changed`` in the place of those with equal keys."""
+    spark = changed.sparkSession
+    before = [r[0] for r in _commits(spark, root) if r[0] < version]
+    if before:
+        kept = read_latest(spark, root, version=max(before)).join(changed.select(*keys), keys, "left_anti")
+        changed = kept.select(*changed.columns).unionByName(changed)
+    write_version(changed, root, version)
+
+
+def _commits(spark: SparkSession, root: str) -> list:
+    """The committed versions: one small number for each batch that was written."""
+    if latest_version(spark, root) is None:
+        return []
+    return spark.read.schema("version bigint").json(f"{root.rstrip('/')}/commits").distinct().collect()
+
+
 CACHE_SCHEMA = (
     "fingerprint string, action string, reason string, confidence double, method string, override boolean, cached_at timestamp_ntz")
 

@@ -7,6 +7,7 @@ that sends a third of all feedback costs one row per task.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mailsieve.config import EngineConfig
-from mailsieve.operators import cascade, feedback as fb, lists, verdicts
+from mailsieve.operators import cascade, feedback as fb, lists, training, verdicts
 from mailsieve.plans import jobs
-from mailsieve.plans.session import new_path
 from mailsieve.sources import tables
 
 
@@ -31,7 +31,7 @@ def dedup_stream(decisions: DataFrame, lateness: str = "30 days") -> DataFrame:
 
 
 def sender_counter_stream(feedback: DataFrame) -> DataFrame:
-    """Running totals per sender, for update or complete output."""
+    """Running totals per sender, for complete output, or for update output merged by sender_email."""
     return fb.sender_counters(feedback)
 
 
@@ -58,12 +58,19 @@ def daily_stats_stream(decisions: DataFrame, lateness: str = "2 days") -> DataFr
 
 
 def start_to_table(stream: DataFrame, path: str, mode: str = "append", available_now: bool = False,
-                   seconds: int = EngineConfig().poll_seconds) -> StreamingQuery:
-    """Run a stream into a parquet folder. Non-append modes write each micro-batch as one version."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", new_path(stream.sparkSession, "checkpoint"))
+                   seconds: int = EngineConfig().poll_seconds, checkpoint: str | None = None,
+                   keys: tuple[str, ...] = ()) -> StreamingQuery:
+    """Run a stream into a parquet folder. The checkpoint lies beside the data unless named, so that a stream that
+    is started again goes on where it was. In complete mode each micro-batch is one version; in update mode it
+    is merged by ``keys`` into the version before, so the newest version always has every key."""
+    if mode == "update" and not keys:
+        raise ValueError("update mode needs the keys that rows are merged by")
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{path.rstrip('/')}/_checkpoint")
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=f"{seconds} seconds")
     if mode == "append":
         return writer.format("parquet").start(path)
+    if mode == "update":
+        return writer.foreachBatch(lambda batch, number: tables.merge_version(batch, path, number, list(keys))).start()
     return writer.foreachBatch(lambda batch, number: tables.write_version(batch, path, number)).start()
 
 
@@ -105,14 +112,22 @@ class MailService:
                 self._before("history", fb.HISTORY_SCHEMA, number), config=self.config)
             tables.write_version(learned.sender_list, self.table("list"), number + 1)
             tables.write_version(learned.history, self.table("history"), number + 1)
+            named = learned.samples.withColumn("sample_id", F.concat_ws("-", F.lit(str(number)), "msg_id"))
+            tables.write_version(named.select(*training.SAMPLE_COLUMNS), self.table("samples"), number + 1)
+            tables.write_version(
+                learned.rejected.select("msg_id", "account", "feedback_type", "list_type", "item_type", "raw_item"), self.table("rejects"), number + 1)
+            self.retrain_if_due(tables.read_latest(self.spark, self.table("samples"), version=number + 1), number)
             known = verdicts.merge_cache(self._before("cache", tables.CACHE_SCHEMA, number), learned.overrides)
             mail = batch.filter(fb.feedback_type(F.col("folder"), self.config).isNull())
             run = jobs.run_detection(
                 mail, tables.read_latest(self.spark, self.table("list"), lists.LIST_SCHEMA, number + 1), known, self.model,
                 tables.read_latest(self.spark, self.table("history"), fb.HISTORY_SCHEMA, number + 1), self.accounts,
                 as_of=self.as_of(), config=self.config, scorer=self.scorer, provider=self.provider)
+            began = time.perf_counter()
             tables.write_version(run.decisions, self.table("decisions"), number + 1)
             decided = tables.read_latest(self.spark, self.table("decisions"), version=number + 1)
+            each = (time.perf_counter() - began) / max(1, decided.count())
+            tables.write_version(jobs.decision_facts(decided, self.as_of(), each), self.table("facts"), number + 1)
             entries = cascade.scorer_cache_entries(decided, self.as_of().cast("timestamp_ntz"))
             tables.write_version(verdicts.merge_cache(known, entries), self.table("cache"), number + 1)
         finally:
@@ -125,5 +140,23 @@ class MailService:
         return writer.start()
 
     def decisions(self) -> DataFrame:
-        """Decisions of all rounds."""
-        return self.spark.read.parquet(f"{self.table('decisions')}/data").drop("version")
+        """Decisions of all committed rounds."""
+        return tables.read_committed(self.spark, self.table("decisions")).drop("version")
+
+    def samples(self) -> DataFrame:
+        """Training samples that feedback of all committed rounds has given."""
+        return tables.read_committed(self.spark, self.table("samples")).drop("version")
+
+    def facts(self) -> DataFrame:
+        """Decision facts of all committed rounds, for the statistics."""
+        return tables.read_committed(self.spark, self.table("facts")).drop("version")
+
+    def retrain_if_due(self, pending: DataFrame, number: int) -> None:
+        """Train on all samples when a round's new ones reach the threshold; later rounds use the new model."""
+        counted = training.retrain_due(pending.select(F.lit("feedback").alias("pool")), self.config).first()
+        if counted is None or not counted["due"]:
+            return
+        result, event = jobs.retrain(self.samples(), None, as_of=self.as_of(), config=self.config, model_path=self.table("model"))
+        tables.write_version(event, self.table("retrains"), number + 1)
+        if result.success:
+            self.model = result.model

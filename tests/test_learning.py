@@ -100,11 +100,34 @@ def test_result_does_not_depend_on_partitioning(spark):
 
 def test_invalid_items_are_errors_only(spark):
     rows = feedback(spark, ("broken", "whitelist"), ("broken", "is_spam"), ("ok@x.de", "whitelist"))
-    out = fb.feedback_summary(rows).first().asDict()
+    nobody = spark.createDataFrame([], lists.LIST_SCHEMA)
+    out = fb.feedback_summary(rows, fb.feedback_rejects(rows, nobody)).first().asDict()
     assert (out["processed"], out["errors"], out["whitelist_added"], out["correction_added"]) == (2, 1, 1, 1)
     assert fb.rejected_targets(rows).count() == 1 and fb.sender_counters(rows).count() == 2
 
 
+def test_corrections_with_an_invalid_item_are_errors_from_the_threshold_on(spark):
+    rows = feedback(spark, *[("broken", "is_spam")] * 6)
+    nobody = spark.createDataFrame([], lists.LIST_SCHEMA)
+    rejects = fb.feedback_rejects(rows, nobody)
+    assert rejects.count() == 4  # the first two are below the threshold of three
+    out = fb.feedback_summary(rows, rejects).first().asDict()
+    assert (out["processed"], out["errors"], out["correction_added"]) == (2, 4, 2)
+    assert fb.feedback_samples(rows).count() == 6 and fb.sender_counters(rows).first()["spam_count"] == 6
+
+
+def test_a_shared_provider_in_capitals_is_not_listed(spark):
+    rows = feedback(spark, *[("u@gmail.com", "not_spam")] * 3, ("u@Gmail.com", "not_spam"))
+    got = fb.apply_feedback(rows, spark.createDataFrame([], lists.LIST_SCHEMA)).collect()
+    assert [tuple(r) for r in got] == [("whitelist", "email", "u@gmail.com")]
+
+
+def test_equal_samples_leave_one(spark):
+    row = ("s", "a@b.c", "b.c", "t", "x", True, "llm", 1)
+    rows = spark.createDataFrame([row] * 3, "sample_id string, sender_email string, sender_domain string, subject string, body string, is_spam boolean, source string, source_rank int")
+    assert training.dedup_training(rows).count() == 1
+
+
 def test_feedback_run(spark):
     run = jobs.run_feedback(feedback(spark, ("a@x.tk", "is_spam"), ("a@x.tk", "is_spam"), ("a@x.tk", "is_spam"), ("a@x.tk", "not_spam")),
                             spark.createDataFrame([], lists.LIST_SCHEMA), None)
@@ -248,6 +271,60 @@ def test_service_learns_between_rounds(spark, tmp_path):
     assert tables.read_latest(spark, service.table("cache"), tables.CACHE_SCHEMA).count() == 3
 
 
+def test_rounds_leave_samples_facts_and_a_new_model(spark, tmp_path):
+    schema = ("msg_id bigint, account string, folder string, sender_email string, sender_domain string, subject string, body string, "
+              "received_at timestamp_ntz, raw_headers map<string,array<string>>, was_unread boolean")
+    rows = [(i, "p", "FEEDBACK_IS_SPAM" if i % 2 else "FEEDBACK_NOT_SPAM", f"u{i}@{'win.tk' if i % 2 else 'y.de'}", "win.tk" if i % 2 else "y.de",
+             f"FREE PRIZE {i}!!!" if i % 2 else f"minutes {i}", "claim your free cash now http://a.tk" if i % 2 else "see you at ten", T0, None, True) for i in range(30)]
+    rows.append((99, "p", "INBOX", "n@z.de", "z.de", "minutes", "see you at noon", T0, None, True))
+    accounts = spark.createDataFrame([("p", None)], "name string, spam_folder string")
+    config = EngineConfig(use_scorer_for_uncertain=False, num_trees=5, max_depth=3)
+    service = sj.MailService(spark, str(tmp_path), accounts, as_of=as_of, config=config)
+    service.seed(spark.createDataFrame([], lists.LIST_SCHEMA))
+    service.round(spark.createDataFrame(rows, schema), 0)
+    assert service.samples().count() == 30 and service.model is not None
+    assert tables.read_latest(spark, service.table("retrains"), version=1).first()["success"]
+    assert service.decisions().first()["p_spam"] is not None
+    assert service.facts().count() == 1 and stats.avg_processing_time(service.facts()).first()[0] > 0
+
+
+def test_update_mode_keeps_every_sender_over_batches_and_restarts(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    (tmp_path / "in").mkdir()
+    schema = "seq bigint, at timestamp_ntz, account string, sender_email string, sender_domain string, feedback_type string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def add(*names):
+        spark.createDataFrame([(i, T0, "p", n, n.split("@")[1], "is_spam") for i, n in enumerate(names)], schema).coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        sj.start_to_table(sj.sender_counter_stream(stream), out, "update", available_now=True, keys=("sender_email",)).awaitTermination()
+        return {r.sender_email: r.spam_count for r in tables.read_latest(spark, out).collect()}
+
+    add("a@x.de", "a@x.de")
+    add("b@x.de")
+    add("c@x.de", "a@x.de")
+    assert run() == {"a@x.de": 3, "b@x.de": 1, "c@x.de": 1}
+    add("b@x.de")
+    assert run() == {"a@x.de": 3, "b@x.de": 2, "c@x.de": 1}
+
+
+def test_a_restarted_append_stream_goes_on(spark, tmp_path):
+    source, out, schema = str(tmp_path / "in"), str(tmp_path / "out"), "fingerprint string, decided_at timestamp_ntz, action string"
+    for name in ("f1", "f2"):
+        spark.createDataFrame([(name, T0, "SPAM")], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        sj.start_to_table(sj.dedup_stream(stream), out, available_now=True).awaitTermination()
+    assert sorted(r.fingerprint for r in spark.read.parquet(out).collect()) == ["f1", "f2"]
+
+
+def test_uncommitted_versions_are_not_read(spark, tmp_path):
+    root = str(tmp_path)
+    tables.write_version(spark.range(3), root, 1)
+    spark.range(5).write.parquet(tables.version_path(root, 2))
+    assert tables.read_committed(spark, root).count() == 3
+
+
 def test_late_rows_and_duplicates(spark, tmp_path):
     schema = "fingerprint string, decided_at timestamp_ntz, action string"
     source = str(tmp_path / "in")

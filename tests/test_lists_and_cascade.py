@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from mailsieve.config import EngineConfig
 from mailsieve.functions import addresses as ad
 from mailsieve.functions import scoring as sc
-from mailsieve.operators import cascade, lists, maintenance, verdicts
+from mailsieve.operators import cascade, lists, maintenance, stats, verdicts
 from mailsieve.plans import jobs
 from mailsieve.sources import mail, tables
 
@@ -46,8 +46,35 @@ def test_list_files(spark, tmp_path):
     assert tables.read_list_json(spark, str(tmp_path / "out"), "whitelist").count() == 2
 
 
-def test_large_list_is_exported_as_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tables, "DOCUMENT_ITEMS", 2)
+def test_exported_lists_read_back_in_both_forms(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("blacklist", "domain", f"{c}.de") for c in "cab"] + [("blacklist", "email", "x@y.z"), ("whitelist", "email", "o@y.z")], lists.LIST_SCHEMA)
+    for one in (False, True):
+        tables.export_list(rows, "blacklist", str(tmp_path / f"both-{one}"), one_document=one)
+        back = tables.read_list_json(spark, str(tmp_path / f"both-{one}"), "blacklist")
+        assert sorted(map(tuple, back.collect())) == sorted(tuple(r) for r in rows.where("list_type = 'blacklist'").collect())
+
+
+def test_an_address_of_any_length_is_checked(spark):
+    good, bad = "a@" + "b." * 100_000 + "com", "a@" + "b-" * 100_000 + ".com"
+    dots, long = "x." * 100_000 + "x@y.de", "x" * 1_000_000 + "@y.de"
+    assert [r is not None for r in values(spark, ad.normalize_email, good, bad, dots, long, "a..b@c.de", "a@b", "a@-b.de")] == [
+        True, False, True, True, False, False, False]
+
+
+def test_a_failing_prompt_fails_alone(spark):
+    def scorer(prompts):
+        if "bad" in prompts:
+            raise ValueError("no")
+        return ['{"is_spam":true}'] * len(prompts)
+    pending = spark.createDataFrame([(str(i), "bad" if i == 7 else "good") for i in range(120)], "fingerprint string, prompt string")
+    got = {r.fingerprint: r.decision for r in cascade.external_score(pending, scorer).collect()}
+    assert [k for k, d in got.items() if d.method.endswith("_error")] == ["7"] and len(got) == 120
+    rows = cascade.external_score(pending, scorer).select("fingerprint", "decision.*")
+    assert cascade.scorer_cache_entries(rows, F.lit("2024-03-01 00:00:00").cast("timestamp_ntz")).count() == 119
+
+
+def test_export_keeps_its_order(spark, tmp_path):
     rows = spark.createDataFrame([("blacklist", "domain", f"{c}.de") for c in "cab"], lists.LIST_SCHEMA)
     tables.export_list(rows, "blacklist", str(tmp_path / "out"))
     assert sorted(r[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == [
@@ -217,12 +244,10 @@ def test_dates(spark):
     assert got == [dt.datetime(2024, 1, 1), None, None, dt.datetime(2024, 2, 3), None, None, None, dt.datetime(2024, 5, 6, 7, 8, 9, 500000)]
 
 
-def test_whole_run_skips_listed_texts(spark, messages):
+def test_whole_run(spark, messages):
     rows = messages(
         {"sender_email": "a@bad.tk", "sender_domain": "bad.tk", "subject": "s", "body": "text"}, {"sender_email": "b@ok.de", "sender_domain": "ok.de", "subject": "t", "body": "more"})
     listed = spark.createDataFrame([("blacklist", "domain", "bad.tk")], lists.LIST_SCHEMA)
-    blanked = {r.sender_email: (r.subject, r.body) for r in jobs.skip_listed_texts(rows, listed).collect()}
-    assert blanked == {"a@bad.tk": (None, None), "b@ok.de": ("t", "more")}
     box = rows.withColumns({"account": F.lit("p"), "folder": F.lit("INBOX"), "was_unread": F.lit(True)})
     accounts = spark.createDataFrame([("p", None)], "name string, spam_folder string")
     run = jobs.run_detection(
@@ -231,3 +256,10 @@ def test_whole_run_skips_listed_texts(spark, messages):
     assert got == {"a@bad.tk": ("SPAM", "blacklist", "SPAM_AUTO", True), "b@ok.de": ("KEEP", "llm_openai", "INBOX", False)}
     assert run.summary.first().asDict() == {"account": "p", "processed": 2, "spam_detected": 1, "spam_moved": 1, "errors": 0, "cleanup_deleted": 0}
     assert run.new_cache_entries.count() == 1
+    assert run.decisions.where("marketing_score IS NULL").count() == 0  # also for listed mail, whatever the list
+    assert cascade.decision_log(run.decisions).count() == 2
+    other = jobs.run_detection(box.withColumn("folder", F.lit("SPAM_AUTO")), listed, None, None, None, accounts, as_of=F.lit("2024-03-01 00:00:00").cast("timestamp"))
+    assert other.decisions.count() == 0
+    facts = jobs.decision_facts(run.decisions, F.lit("2024-03-01 00:00:00"), 0.25)
+    assert stats.detection_totals(verdicts.dedup_decisions(facts)).first().asDict() == {"total": 2, "spam": 1, "ham": 1, "spam_rate": 50.0}
+    assert stats.avg_processing_time(facts).first()[0] == 0.25
