@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 REMEMBERED = 400_000
 #: Fixed value: the cutting pattern of byte-level vocabularies of this kind. White space is meant as Unicode's.
@@ -191,23 +192,24 @@ def coded(frame: DataFrame, path: str, text: str = "text", project: Callable[[Co
     """The rows of ``frame`` without ``text``, with the ``columns`` that ``project`` takes from each text's code; by
     default the ids and what they decode to."""
     names = [c.split()[0] for c in columns.split(", ")]
-    kept = frame.drop(*[n for n in names if n != text])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(columns)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         coder = codec(path)
         for batch in batches:
-            found = [project(coder.encode(t)) for t in batch.pop(text)]
-            yield batch.assign(**{n: [f[k] for f in found] for k, n in enumerate(names)})
+            found = [project(coder.encode(t)) for t in batch]
+            yield pd.DataFrame({n: [f[k] for f in found] for k, n in enumerate(names)})
 
-    return kept.mapInPandas(run, f"{kept.drop(text)._jdf.schema().toDDL()}, {columns}")
+    kept = [c for c in frame.columns if c not in (text, *names)]
+    return frame.withColumn(text, run(F.col(text).cast("string"))).select(*kept, f"{text}.*")
 
 
 def decoded(frame: DataFrame, path: str, ids: str = "ids", output: str = "text") -> DataFrame:
     """Adds the text that an array of ids decodes to; null ids give an empty text."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         coder = codec(path)
         for batch in batches:
-            yield batch.assign(**{output: [coder.decode(() if x is None else x) for x in batch[ids]]})
+            yield pd.Series([coder.decode(() if x is None else x) for x in batch], dtype="object")
 
-    kept = frame.drop(output)
-    return kept.mapInPandas(run, f"{kept._jdf.schema().toDDL()}, {output} string")
+    return frame.withColumn(output, run(ids))

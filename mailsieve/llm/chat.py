@@ -98,10 +98,13 @@ def format_turns(messages: DataFrame, learned_role: str = "assistant", rules: Ex
     parts = F.col("parts").cast(f"array<{PART}>") if "parts" in messages.columns else F.lit(None).cast(f"array<{PART}>")
     kept = messages.select("conv_id", "turn", F.col("role").cast("string"), F.col("text").cast("string"), parts.alias("parts"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["formatted", "loss_start", "loss_end", "attachments", "expanded_tokens"]
+
+    @F.pandas_udf(_TURN)
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for role, text, given in zip(batch["role"], batch["text"], batch.pop("parts")):
+            for role, text, given in zip(*batch):
                 visitor = PartVisitor(rules)
                 for part in [{"type": "text", "text": text if _present(text) else ""}] if given is None else given:
                     if part is not None:
@@ -113,10 +116,10 @@ def format_turns(messages: DataFrame, learned_role: str = "assistant", rules: Ex
                     a["at"] += len(head)
                 out.append(("".join([head, *visitor.text, END]), len(head), end, visitor.attachments,
                             sum(a["tokens"] for a in visitor.attachments)))
-            names = ["formatted", "loss_start", "loss_end", "attachments", "expanded_tokens"]
-            yield batch.assign(**{n: [o[k] for o in out] for k, n in enumerate(names)})
+            yield pd.DataFrame({n: [o[k] for o in out] for k, n in enumerate(names)})
 
-    return kept.mapInPandas(run, f"{kept.drop('parts')._jdf.schema().toDDL()}, {_TURN}")
+    rendered = kept.withColumn("turned", run("role", "text", "parts"))
+    return rendered.select("conv_id", "turn", "role", "text", "turned.*")
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -159,18 +162,19 @@ def read_back(ordered: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, read, out = None, None, []
         for batch in batches:
-            ids = batch["conv_id"].astype("object")
-            for conversation, formatted, a, b in zip(ids.where(ids.notna(), None), batch["formatted"], batch["loss_start"], batch["loss_end"]):
+            for conversation, formatted, a, b in zip(batch["conv_id"], batch["formatted"], batch["loss_start"], batch["loss_end"]):
                 if read is None or conversation != current:
                     if read is not None:
                         out.append(read.row(current))
                     current, read = conversation, _Read()
                 read.take(formatted, a, b)
             if out:
-                yield pd.DataFrame(out, columns=names).astype({"conv_id": "Int64"})
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if read is not None:
-            yield pd.DataFrame([read.row(current)], columns=names).astype({"conv_id": "Int64"})
+            yield pd.DataFrame([read.row(current)], columns=names)
 
-    kept = ordered.select(F.col("conv_id").cast("long"), "formatted", "loss_start", "loss_end")
-    return kept.mapInPandas(run, f"conv_id long, {READ}")
+    # ids travel as text: pandas would turn numbers beside a missing one into floats
+    kept = ordered.select(F.col("conv_id").cast("string"), "formatted", "loss_start", "loss_end")
+    found = kept.mapInPandas(run, f"conv_id string, {READ}")
+    return found.withColumn("conv_id", F.col("conv_id").cast("long"))

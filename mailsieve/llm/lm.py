@@ -423,11 +423,11 @@ def train(docs: DataFrame, found: Unigrams, rules: ModelRules) -> Gru:
     return model
 
 
-SCORED = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+SCORED = "doc_id string, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def score(docs: DataFrame, found: Unigrams, model: Gru) -> DataFrame:
-    """``SCORED`` for each row of ``docs`` (doc_id, text)."""
+    """``SCORED`` (doc_id as long) for each row of ``docs`` (doc_id, text)."""
     rank = np.argsort(found.frequent, kind="stable")
     ordered = found.frequent[rank]
     n, v = found.tokens, found.words
@@ -455,12 +455,13 @@ def score(docs: DataFrame, found: Unigrams, model: Gru) -> DataFrame:
             sequences[rows] = np.split(ids[at].astype(np.int16 if gru.size < 30_000 else np.int64), starts[1:])
         total = (gru.log_probabilities(sequences) + out[:, 3]) / np.log(10)
         return pd.DataFrame({
-            "doc_id": texts["doc_id"].astype("Int64").to_numpy(na_value=None) if texts["doc_id"].isna().any() else texts["doc_id"],
-            "n_tokens": out[:, 0].astype(np.int64), "n_known": out[:, 1].astype(np.int64), "train_tokens": n,
+            "doc_id": texts["doc_id"], "n_tokens": out[:, 0].astype(np.int64), "n_known": out[:, 1].astype(np.int64), "train_tokens": n,
             "base_score": out[:, 2], "score": total})
 
-    dealt = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("chunk", _chunk(found.chunks))
-    return dealt.groupBy("chunk").cogroup(found.table.groupBy("chunk")).applyInPandas(run, SCORED)
+    # ids travel as text: pandas would turn numbers beside a missing one into floats
+    dealt = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", _chunk(found.chunks).alias("chunk"))
+    scored_rows = dealt.groupBy("chunk").cogroup(found.table.groupBy("chunk")).applyInPandas(run, SCORED)
+    return scored_rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def scored(docs: DataFrame, may_learn: Column, rules: ModelRules = ModelRules()) -> DataFrame:

@@ -302,11 +302,11 @@ def main_text(page: str | None, w: Weights = Weights()) -> str:
 
 def extract(pages: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """The rows of ``pages`` with ``text`` and ``n_chars`` (code points) in the place of ``html``."""
-    kept = pages.drop("text", "n_chars").withColumn("html", F.col("html").cast("string"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("text string, n_chars long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = [main_text(p if isinstance(p, str) else None, weights) for p in batch.pop("html")]
-            yield batch.assign(text=texts, n_chars=[len(t) for t in texts])
+            texts = [main_text(p, weights) for p in batch]
+            yield pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
-    return kept.mapInPandas(run, f"{kept.drop('html')._jdf.schema().toDDL()}, text string, n_chars long")
+    kept = [c for c in pages.columns if c not in ("html", "text", "n_chars")]
+    return pages.withColumn("html", run(F.col("html").cast("string"))).select(*kept, "html.*")

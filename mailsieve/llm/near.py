@@ -134,10 +134,11 @@ def signatures(docs: DataFrame, rules: JaccardRules) -> DataFrame:
                 for i, row in zip(full, signed):
                     keys[first + i] = row
             nodes = pd.array([_node(t) if t else None for t in normal], "Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": nodes, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes, "keys": keys})
 
-    kept = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return kept.mapInPandas(run, "doc_id long, node long, keys array<long>")
+    # ids travel as text: pandas would turn numbers beside a missing one into floats
+    kept = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    return kept.mapInPandas(run, "doc_id string, node long, keys array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _verified(a: list[np.ndarray], b: list[np.ndarray], alive: np.ndarray, rules: JaccardRules) -> np.ndarray:

@@ -31,7 +31,8 @@ from mailsieve.plans.session import materialize
 
 REMEMBERED = 800_000
 WIDTH = 4
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+# doc_id is text in the tasks: pandas would turn numbers beside a missing one into floats
 _OUT = f"{PIECES}, task int, ids binary"
 
 
@@ -134,13 +135,12 @@ class Packer:
 
 def _rows(rows: list[tuple], task: int | None = None, ids: list | None = None) -> pd.DataFrame:
     frame = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-    frame["doc_id"] = frame["doc_id"].astype("Int64")
     return frame.assign(task=pd.array([task] * len(rows), "Int32"), ids=ids if ids is not None else None)
 
 
 def pack(docs: DataFrame, token_ids: Callable[[], Callable[[str | None], bytes]], closing: int = 0, size: int = 1024,
          open_windows: int = 64, slack: int = 4, groups: int = 64) -> DataFrame:
-    """The pieces (``PIECES``) of the packed texts. ``token_ids()`` gives, on the worker, the function from a text to
+    """The pieces (``PIECES``, doc_id as long) of the packed texts. ``token_ids()`` gives, on the worker, the function from a text to
     its ids as bytes; ``closing`` is the id that ends every document."""
     end = closing.to_bytes(WIDTH, "little")
 
@@ -164,18 +164,19 @@ def pack(docs: DataFrame, token_ids: Callable[[], Callable[[str | None], bytes]]
 
     def texts(batch: pd.DataFrame):
         coder = token_ids()
-        for doc, text in zip(batch["doc_id"].astype("object"), batch["text"]):
+        for doc, text in zip(batch["doc_id"], batch["text"]):
             ids = coder(text) + end
-            yield (None if pd.isna(doc) else int(doc)), 0, ids, len(ids) // WIDTH
+            yield doc, 0, ids, len(ids) // WIDTH
 
     def leftovers(batch: pd.DataFrame):
-        for doc, start, ids, total in zip(batch["doc_id"].astype("object"), batch["start"], batch["ids"], batch["doc_tokens"]):
-            yield (None if pd.isna(doc) else int(doc)), int(start), bytes(ids), int(total)
+        for doc, start, ids, total in zip(batch["doc_id"], batch["start"], batch["ids"], batch["doc_tokens"]):
+            yield doc, int(start), bytes(ids), int(total)
 
     columns = [c.split()[0] for c in PIECES.split(", ")]
-    first = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run(0, texts), _OUT), "packed")
+    first = materialize(docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string")).mapInPandas(run(0, texts), _OUT), "packed")
     left = first.where("ids IS NOT NULL").repartition(groups, F.col("task") % groups)
     second = materialize(left.mapInPandas(run(1, leftovers), _OUT), "packed")
     last = second.where("ids IS NOT NULL").coalesce(1).mapInPandas(run(2, leftovers), _OUT)
     done = [f.where("ids IS NULL").select(*columns) for f in (first, second)]
-    return done[0].unionByName(done[1]).unionByName(last.select(*columns))
+    packed = done[0].unionByName(done[1]).unionByName(last.select(*columns))
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))

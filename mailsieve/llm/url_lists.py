@@ -82,14 +82,14 @@ def judge(captures: DataFrame, entries: DataFrame, bucket_days: int = 32) -> Dat
         spans.where((F.col("valid_from") <= last) & (F.col("valid_to") > first))
         .withColumn("bucket", F.explode(F.sequence(
             _bucket(F.greatest("valid_from", first), bucket_days), _bucket(F.least("valid_to", last), bucket_days)))))
-    asked = known.select("url", F.col("fetched_on").cast("date").alias("day")).distinct()
+    asked = known.select("url", F.col("fetched_on").cast("date").alias("_day")).distinct()
     probed = asked.select(
-        "url", "day", _bucket(F.col("day"), bucket_days).alias("bucket"),
+        "url", "_day", _bucket(F.col("_day"), bucket_days).alias("bucket"),
         F.explode(_probes(F.col("url"), host, size["labels"], size["segments"])).alias("pattern")).where("pattern <> ''")
-    active = probed.join(spread, ["pattern", "bucket"]).where("day >= valid_from AND day < valid_to")
-    found = active.groupBy("url", "day").agg(
-        F.min("verdict").alias("verdict"), F.sort_array(F.collect_set("list_id")).alias("names"))
+    active = probed.join(spread, ["pattern", "bucket"]).where("_day >= valid_from AND _day < valid_to")
+    found = active.groupBy("url", "_day").agg(
+        F.min("verdict").alias("_verdict"), F.sort_array(F.collect_set("list_id")).alias("_names"))
     return (
-        kept.withColumn("day", F.col("fetched_on").cast("date")).join(found, ["url", "day"], "left").drop("day")
-        .select(*kept.columns, F.coalesce(host, F.lit("")).alias("host"), F.coalesce("verdict", F.lit("none")).alias("verdict"),
-                F.coalesce(F.size("names"), F.lit(0)).alias("n_lists"), F.coalesce(F.array_join("names", ","), F.lit("")).alias("lists")))
+        kept.withColumn("_day", F.col("fetched_on").cast("date")).join(found, ["url", "_day"], "left")
+        .select(*kept.columns, F.coalesce(host, F.lit("")).alias("host"), F.coalesce("_verdict", F.lit("none")).alias("verdict"),
+                F.coalesce(F.size("_names"), F.lit(0)).alias("n_lists"), F.coalesce(F.array_join("_names", ","), F.lit("")).alias("lists")))
