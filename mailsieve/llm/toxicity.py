@@ -215,10 +215,11 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Weights by Newton's method, both labels weighing the same in all; the intercept first."""
+def logistic(x: np.ndarray, y: np.ndarray, toxic_share: float, ridge: float = 1.0) -> np.ndarray:
+    """Weights by Newton's method, the intercept first. The labels weigh as in all labelled rows, of which
+    ``toxic_share`` are toxic, so that one half is where toxic becomes the likelier label."""
     x = np.column_stack([np.ones(len(x)), x])
-    share = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
+    share = np.where(y == 1, toxic_share / max(y.sum(), 1), (1 - toxic_share) / max((1 - y).sum(), 1)) * len(y)
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-6
     w = np.zeros(x.shape[1])
@@ -234,7 +235,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rules: ToxicityRules = ToxicityRules()) -> ToxicityModel:
-    """``may_learn`` is a condition on doc_id. Two thirds of the sample give the log odds, the rest the regression."""
+    """``may_learn`` is a condition on doc_id. The log odds and the regression learn from the same rows; for the
+    regression, each row is scored with log odds from which its own share is taken away."""
     spark = docs.sparkSession
     counts = np.zeros(_SIZE ** 3, np.int64)
     for gram, n in trigram_counts(docs).collect():  # bounded by the alphabet
@@ -244,8 +246,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rules: Toxicity
     for label in (0, 1):
         some = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rules.most_labelled)
         sample = some if sample is None else sample.unionByName(some)
-    part = (F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(3)) < 2).alias("first")
-    sample = materialize(sample.select("doc_id", "toxic", part), "labelled")
+    sample = materialize(sample, "labelled")
     # at most 2 * most_labelled rows of three small columns
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
     chosen = materialize(chosen, "labelled-texts")
@@ -257,27 +258,39 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rules: Toxicity
                 found = sorted({f for w in reader.words(text) for f in features_of(w)})
                 yield pd.DataFrame({"feature": pd.Series(found, dtype="object"), "toxic": int(toxic)})
 
-    first = chosen.where("first")
-    n_clean, n_toxic = (first.where(F.col("toxic") == label).count() for label in (0, 1))
-    odds = F.log((F.col("t") + 0.5) / (n_toxic + 1.0)) - F.log((F.col("c") + 0.5) / (n_clean + 1.0))
+    n_clean, n_toxic = (chosen.where(F.col("toxic") == label).count() for label in (0, 1))
+    strength = F.col("t") * F.log((F.col("t") + 0.5) * (n_clean + 1.0) / ((F.col("c") + 0.5) * (n_toxic + 1.0)))
     grouped = (
-        first.mapInPandas(features, "feature string, toxic int").groupBy("feature")
+        chosen.mapInPandas(features, "feature string, toxic int").groupBy("feature")
         .agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(F.col("t") >= rules.least_toxic)
-        .select("feature", "t", odds.alias("odds")).where(F.col("odds") >= rules.least_odds)
-        .orderBy(F.desc(F.col("t") * F.col("odds")), "feature").limit(rules.most_features))
-    found = {f: float(o) for f, _, o in grouped.collect()} if n_clean and n_toxic else {}
-    draft = ToxicityModel(counts, found, np.zeros(POOLED + 1))
-    shipped = spark.sparkContext.broadcast(draft)
+        .where(strength >= rules.least_odds).orderBy(F.desc(strength), "feature").limit(rules.most_features))
+    seen = grouped.collect() if n_clean and n_toxic else []  # bounded by most_features
+
+    def odds(label: int | None = None) -> dict[str, float]:
+        """Log odds of the features; with a label, as if one row of that label that has the feature were not there."""
+        less_t, less_c = int(label == 1), int(label == 0)
+        out = {}
+        for f, t, c in seen:
+            t, c = t - less_t, max(0, c - less_c)
+            value = math.log((t + 0.5) / (n_toxic - less_t + 1)) - math.log((c + 0.5) / (n_clean - less_c + 1))
+            if t >= rules.least_toxic and value >= rules.least_odds:
+                out[f] = value
+        return out
+
+    found = odds()
+    drafts = [ToxicityModel(counts, odds(label), np.zeros(POOLED + 1)) for label in (0, 1)]
+    shipped = spark.sparkContext.broadcast(drafts)
 
     def pools(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(shipped.value, rules.remembered)
+        scorers = [Scorer(m, rules.remembered) for m in shipped.value]
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [scorer.pooled(t) for t in batch["text"]]})
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": [scorers[y].pooled(t) for t, y in zip(batch["text"], batch["toxic"])]})
 
-    rest = chosen.where("NOT first").mapInPandas(pools, "toxic int, x array<double>").collect()  # bounded like the sample
+    rest = chosen.mapInPandas(pools, "toxic int, x array<double>").collect()  # bounded like the sample
     y = np.array([r["toxic"] for r in rest], float)
     if 0 < y.sum() < len(y):
-        weights = logistic(np.array([r["x"] for r in rest]), y)
+        total = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}  # two rows
+        weights = logistic(np.array([r["x"] for r in rest]), y, total.get(1, 0) / sum(total.values()))
     else:
         weights = np.zeros(POOLED + 1)
         share = n_toxic / (n_toxic + n_clean) if n_toxic + n_clean else 0.5
