@@ -14,6 +14,7 @@ from mailsieve.functions import fixed_values as fv
 from mailsieve.functions import identity
 from mailsieve.operators import feedback as fb
 from mailsieve.operators import senders, stats, training, verdicts
+from mailsieve.plans import jobs
 
 QUERIES = {}
 ORACLES = {}
@@ -256,7 +257,7 @@ def retrain_due(spark: SparkSession, sf: str) -> DataFrame:
 
 _D = with_views("decisions", "feedback", "sender_list", "retrain_events", "error_events") + f""", {_EXPLICIT},
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY seq) AS rn FROM decisions) WHERE rn = 1),
-fbk AS (SELECT f.*, f.seq NOT IN (SELECT seq FROM rejects) AS ok FROM feedback f)"""
+fbk AS (SELECT f.*, NOT EXISTS (SELECT 1 FROM explicit e WHERE e.seq = f.seq AND e.item IS NULL) AS ok FROM feedback f)"""
 _METHODS = ", ".join(f"('{m}')" for m in fv.COUNTED_METHODS)
 
 
@@ -423,9 +424,9 @@ def recurring_summary(spark: SparkSession, sf: str) -> DataFrame:
     return senders.recurring_summary(history(spark, sf))
 
 
-# forest: checked by rows and by unit tests
+# forest, with the settings of the operator
 
-_QUICK = EngineConfig(num_trees=20, max_depth=6)
+_SPAM_LABEL = "msg_id % 10 IN (1, 2, 5)"
 
 
 def _separable(spark: SparkSession, sf: str) -> DataFrame:
@@ -437,14 +438,16 @@ def _separable(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _fitted(spark: SparkSession, sf: str) -> training.TrainingResult:
-    return training.train_forest(training.weighted_features(_separable(spark, sf), as_of=as_of()), _QUICK)
+    return training.train_forest(training.weighted_features(_separable(spark, sf), as_of=as_of()))
 
 
-@query()
+@query(with_views("messages") + f"""SELECT true AS success, true AS accurate, count(*) AS samples, count(*) FILTER ({_SPAM_LABEL}) AS spam,
+  count(*) FILTER (NOT ({_SPAM_LABEL})) AS ham, 1.0 AS weight_min, 1.0 AS weight_max, 1.0 AS weight_mean, CAST(count(*) AS DOUBLE) AS weight_total FROM messages""")
 def train_forest(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, weights, and whether nine of ten test samples are told apart."""
     result = _fitted(spark, sf)
-    return spark.createDataFrame([(result.success, result.accuracy, *result.report.values())],
-                                 "success boolean, accuracy double, samples long, spam long, ham long, weight_min double, "
+    return spark.createDataFrame([(result.success, result.accuracy >= 0.9, *result.report.values())],
+                                 "success boolean, accurate boolean, samples long, spam long, ham long, weight_min double, "
                                  "weight_max double, weight_mean double, weight_total double")
 
 
@@ -453,9 +456,34 @@ def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return training.feature_importance(_fitted(spark, sf).model, spark)
 
 
+@query(with_views("messages") + f"SELECT {len(fv.FEATURE_NAMES)} AS features, 1.0 AS total, count(*) > 0 AS trained FROM messages")
+def feature_importance_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Every feature once, the shares adding up to one."""
+    found = training.feature_importance(_fitted(spark, sf).model, spark)
+    return found.agg(F.countDistinct("feature").cast("int").alias("features"), F.round(F.sum("importance"), 6).alias("total"),
+                     (F.max("importance") > 0).alias("trained"))
+
+
+@query(with_views("messages") + "SELECT count(*) AS messages, true AS agreed FROM messages")
+def forest_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether the saved and loaded forest gives 19 of 20 messages their label, and each message the score it had."""
+    from mailsieve.plans.session import new_path
+    from mailsieve.sources import tables
+    model, path = _fitted(spark, sf).model, new_path(spark, "model")
+    tables.save_model(model, path, spark)
+    config, messages = EngineConfig(use_scorer_for_uncertain=False), view(spark, sf, "messages")
+
+    def scores(m, name: str) -> DataFrame:
+        return jobs.score_messages(messages, m, as_of=as_of(), config=config).select("msg_id", F.col("p_spam").alias(name))
+
+    both = scores(model, "before").join(scores(tables.load_model(spark, path), "after"), "msg_id")
+    right = (F.col("after") >= 0.5) == (F.col("msg_id") % 10).isin(1, 2, 5)
+    same = F.count_if(F.abs(F.col("before") - F.col("after")) > 1e-9) == 0
+    return both.agg(F.count("*").alias("messages"), ((F.count_if(right) >= 0.95 * F.count("*")) & same).alias("agreed"))
+
+
 @query()
 def forest_score(spark: SparkSession, sf: str) -> DataFrame:
-    from mailsieve.plans import jobs
     model = _fitted(spark, sf).model
     frame = jobs.score_messages(view(spark, sf, "messages"), model, as_of=as_of(), config=EngineConfig(use_scorer_for_uncertain=False))
     return frame.select("msg_id", F.round("p_spam", 6).alias("p_spam"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.functions import fixed_values as fv
+from mailsieve.plans.session import materialize
 
 BANDS = ("high", "medium", "low")
 
@@ -128,15 +129,15 @@ def active_days(daily: DataFrame) -> DataFrame:
 
 
 def summary(decisions: DataFrame, feedback: DataFrame, retrains: DataFrame, errors: DataFrame) -> DataFrame:
-    """Everything above in one row. Each part is a single row before the cross join."""
-    methods = decisions.agg(*[F.count_if(F.col("method") == m).alias(f"method_{m}") for m in fv.COUNTED_METHODS])
-    c = F.col("confidence")
-    bands = decisions.agg(
+    """Everything above in one row. Totals, methods and bands are one aggregate; each part is a single row before the
+    cross join."""
+    c, total, spam = F.col("confidence"), F.count("*"), F.count_if(_spam())
+    row = decisions.agg(
+        total.alias("total"), spam.alias("spam"), (total - spam).alias("ham"), _share(spam, total, 2).alias("spam_rate"),
+        *[F.count_if(F.col("method") == m).alias(f"method_{m}") for m in fv.COUNTED_METHODS],
         F.count_if(c >= 0.8).alias("confidence_high"), F.count_if((c >= 0.5) & (c < 0.8)).alias("confidence_medium"),
         F.count_if(~(c >= 0.5)).alias("confidence_low"))
-    row = detection_totals(decisions)
-    for part in (methods, bands, avg_processing_time(decisions), feedback_totals(feedback),
-                 retrain_stats(retrains), error_stats(errors)):
+    for part in (avg_processing_time(decisions), feedback_totals(feedback), retrain_stats(retrains), error_stats(errors)):
         row = row.crossJoin(part)
     return row
 
@@ -161,7 +162,10 @@ def merge_stats(stored: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def report(decisions: DataFrame, feedback: DataFrame, retrains: DataFrame, errors: DataFrame, as_of: Column,
            days: int = 30) -> DataFrame:
-    """One JSON document: summary, daily statistics, effectiveness. Sized by days and methods, not by mail."""
+    """One JSON document: summary, daily statistics, effectiveness. Sized by days and methods, not by mail. The
+    decisions are computed once and read again as a narrow table."""
+    names = ("seq", "decided_at", "action", "confidence", "method", "processing_time")
+    decisions = materialize(decisions.select(*[n for n in names if n in decisions.columns]), "decisions")
     one = summary(decisions, feedback, retrains, errors).select(F.struct("*").alias("summary"))
     daily = daily_stats(decisions, feedback, errors, days, as_of).withColumn(
         "methods_used", F.array_sort(F.map_entries("methods_used"))).agg(
