@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.remember import forget
 from mailsieve.llm.words import WHITE, hash_words, utf8, windows
 from mailsieve.plans.session import materialize
 
@@ -87,12 +88,15 @@ def statistics(text: Column) -> Column:
     """A struct of ``STATISTICS`` of each whole text (null: no words)."""
     @F.pandas_udf(STATISTICS)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         for batch in batches:
-            texts = [utf8(t) for t in batch]
-            counted = np.array([_measure(t) for t in texts], np.int64).reshape(-1, 5)
-            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines")
-            found = pd.DataFrame(dict(zip(names, counted.T)))
-            found["n_repeat_words"] = _repeat_words(texts)
+            parts = []
+            for at in range(0, len(batch), 500):  # texts are bytes for a few rows at a time
+                texts = [utf8(t) for t in batch[at:at + 500]]
+                counted = np.array([_measure(t) for t in texts], np.int64).reshape(-1, 5)
+                parts.append(np.column_stack([counted, _repeat_words(texts)]))
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words")
+            found = pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, 6), np.int64), columns=names)
             yield found[[c.split()[0] for c in STATISTICS.split(", ")]]
 
     return run(text)
@@ -142,8 +146,17 @@ def _inverted(rules: QualityRules):
     return run, "key string, " + ", ".join(f"{n} double" for n in names)
 
 
+SALTS = 64
+
+
+def _salted(groups: DataFrame) -> DataFrame:
+    """One copy of each group's row for every salt."""
+    return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def group_estimates(rows: DataFrame, rules: QualityRules) -> DataFrame:
-    """Centre and inverse scatter for each ``key`` of rows(key, x0..x4)."""
+    """Centre and inverse scatter for each ``key`` of rows(key, salt, x0..x4). Rows meet their group's values by key
+    and salt, so that a group with all rows is joined in many tasks and then combined before it is shuffled."""
     middle = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
     start = [F.lit(1.0 / f ** 2) for f in rules.floors]
     at = middle.select("key", *[f"m{i}" for i in range(D)],
@@ -151,9 +164,9 @@ def group_estimates(rows: DataFrame, rules: QualityRules) -> DataFrame:
     at = materialize(at, "mcd")
     run, schema = _inverted(rules)
     for _ in range(rules.steps):
-        far = rows.join(at, "key").withColumn("d2", _distance())
+        far = rows.join(_salted(at), ["key", "salt"]).withColumn("d2", _distance())
         cut = far.groupBy("key").agg(F.percentile_approx("d2", rules.kept_share, 1000).alias("cut"))
-        near = far.join(cut, "key").where("d2 <= cut")
+        near = far.join(_salted(cut), ["key", "salt"]).where("d2 <= cut")
         sums = near.groupBy("key").agg(
             F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
@@ -182,9 +195,10 @@ def fit(narrow: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """Estimates for each group of rows that is large enough, from the columns of ``measured`` of all rows that the
     base rules keep."""
     xs = [f"x{i}" for i in range(D)]
-    levels = narrow.where("NOT base_failed").select(F.explode(F.array(*_LEVELS)).alias("key"), *xs)
+    levels = narrow.where("NOT base_failed").select(F.explode(F.array(*_LEVELS)).alias("key"), F.pmod(F.xxhash64(*xs), F.lit(SALTS)).cast("int").alias("salt"), *xs)
     sizes = levels.groupBy("key").agg(F.count("*").alias("size")).where((F.col("size") >= rules.least_rows) | (F.col("key") == "all"))
-    return group_estimates(levels.join(materialize(sizes.select("key"), "groups"), "key", "left_semi"), rules)
+    large = _salted(materialize(sizes.select("key"), "groups"))
+    return group_estimates(levels.join(large, ["key", "salt"], "left_semi"), rules)
 
 
 def judged(frame: DataFrame, estimates: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
