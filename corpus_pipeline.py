@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mailsieve.llm import near, quality, toxicity
-from mailsieve.llm.queries import may_learn, packed, table
+from mailsieve.llm.queries import may_learn, packed, small_batches, table
 from mailsieve.plans.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the outlier test keep."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
@@ -27,6 +28,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document with the least doc_id; of repeated rows of it one."""
+    small_batches(spark)
     classes = near.near_classes(docs)
     stay = classes.where("doc_id = class_id").select("doc_id").distinct()
     named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
@@ -35,6 +37,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents in sequences of 1024 tokens."""
+    small_batches(spark)
     return packed(docs)
 
 

@@ -13,7 +13,6 @@ except ``ids`` and ``decoded``.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Callable, Iterator
@@ -23,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.remember import kept
+
 REMEMBERED = 400_000
 #: Fixed value: the cutting pattern of byte-level vocabularies of this kind. White space is meant as Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -177,10 +178,9 @@ def _odd_white(text: str) -> bool:
     return _odd.search(text) is not None
 
 
-@functools.lru_cache(2)
 def codec(path: str) -> Codec:
     """One codec for each worker process and vocabulary."""
-    return Codec(path)
+    return kept(("codec", path), lambda: Codec(path))
 
 
 def ids_and_text(code: Coded) -> tuple:
@@ -200,8 +200,8 @@ def coded(frame: DataFrame, path: str, text: str = "text", project: Callable[[Co
             found = [project(coder.encode(t)) for t in batch]
             yield pd.DataFrame({n: [f[k] for f in found] for k, n in enumerate(names)})
 
-    kept = [c for c in frame.columns if c not in (text, *names)]
-    return frame.withColumn(text, run(F.col(text).cast("string"))).select(*kept, f"{text}.*")
+    rest = [c for c in frame.columns if c not in (text, *names)]
+    return frame.withColumn(text, run(F.col(text).cast("string"))).select(*rest, f"{text}.*")
 
 
 def decoded(frame: DataFrame, path: str, ids: str = "ids", output: str = "text") -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.components import components
+from mailsieve.llm.remember import forget
 from mailsieve.llm.words import hash_words, mix, utf8, windows
 from mailsieve.plans.session import materialize
 
@@ -116,25 +117,29 @@ def _node(normal: bytes) -> int:
 def signatures(docs: DataFrame, rules: JaccardRules) -> DataFrame:
     """doc_id, node (hash of the normal text, null without words) and the keys of its buckets."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            normal = [_normal(t) for t in batch["text"]]
-            keys: list = [None] * len(normal)
-            for first, found, counts in _sets(normal, rules):
-                full = np.flatnonzero(counts)
-                if not len(full):
-                    continue
-                values = minhash(found, counts[full], rules.bands * rules.rows, 0x5851F42D4C957F2D).astype(np.uint64)
-                for band in range(rules.bands):
-                    part = values[:, band * rules.rows:(band + 1) * rules.rows]
-                    key = np.full(len(full), band + 1, np.uint64)
-                    for column in part.T:
-                        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
-                    values[:, band] = key  # this band's values are not needed any more
-                signed = values[:, :rules.bands].astype(np.int64)
-                for i, row in zip(full, signed):
-                    keys[first + i] = row
-            nodes = pd.array([_node(t) if t else None for t in normal], "Int64")
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "node": nodes, "keys": keys})
+        forget()
+        for whole in batches:
+            for at in range(0, len(whole), 500):  # normal texts and windows are held for a few rows at a time
+                yield signed(whole.iloc[at:at + 500])
+
+    def signed(batch: pd.DataFrame) -> pd.DataFrame:
+        normal = [_normal(t) for t in batch["text"]]
+        keys: list = [None] * len(normal)
+        for first, found, counts in _sets(normal, rules):
+            full = np.flatnonzero(counts)
+            if not len(full):
+                continue
+            values = minhash(found, counts[full], rules.bands * rules.rows, 0x5851F42D4C957F2D).astype(np.uint64)
+            for band in range(rules.bands):
+                part = values[:, band * rules.rows:(band + 1) * rules.rows]
+                key = np.full(len(full), band + 1, np.uint64)
+                for column in part.T:
+                    key = mix(key * np.uint64(0x9E3779B97F4A7C15) + column)
+                values[:, band] = key  # this band's values are not needed any more
+            for i, row in zip(full, values[:, :rules.bands].astype(np.int64)):
+                keys[first + i] = row
+        nodes = pd.array([_node(t) if t else None for t in normal], "Int64")
+        return pd.DataFrame({"doc_id": batch["doc_id"].to_numpy(), "node": nodes, "keys": keys})
 
     # ids travel as text: pandas would turn numbers beside a missing one into floats
     kept = docs.select(F.col("doc_id").cast("string"), F.col("text").cast("string"))
@@ -250,16 +255,18 @@ def _compare(rules: JaccardRules):
 def _windows_of(rules: JaccardRules):
     """Adds the sorted windows of a text as bytes; rows whose text is not their node's go."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            normal = [_normal(t) for t in batch.pop("text")]
-            own = np.array([_node(t) for t in normal], np.int64) == batch["node"].to_numpy()
-            found: list = [b""] * len(normal)
-            for first, all_windows, counts in _sets(normal, rules):
-                ends = np.cumsum(counts)
-                for i, (n, end) in enumerate(zip(counts, ends)):
-                    found[first + i] = np.unique(all_windows[end - n:end]).tobytes()
-            batch["windows"] = found
-            yield batch[own]
+        for whole in batches:
+            for at in range(0, len(whole), 500):
+                batch = whole.iloc[at:at + 500].copy()
+                normal = [_normal(t) for t in batch.pop("text")]
+                own = np.array([_node(t) for t in normal], np.int64) == batch["node"].to_numpy()
+                found: list = [b""] * len(normal)
+                for first, all_windows, counts in _sets(normal, rules):
+                    ends = np.cumsum(counts)
+                    for i, (n, end) in enumerate(zip(counts, ends)):
+                        found[first + i] = np.unique(all_windows[end - n:end]).tobytes()
+                batch["windows"] = found
+                yield batch[own]
     return run
 
 
@@ -294,6 +301,7 @@ def near_classes(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataF
     classes = joined.join(roots, "root").select("node", "class").unionByName(roots.select(F.col("root").alias("node"), "class"))
     known = nodes.join(links, "node", "left").join(classes, "node", "left").select(
         "node", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    known = materialize(known, "classes")  # so that the join below is a plain one, which adaptive execution can split
     return signed.select("doc_id", "node").join(known, "node", "left").select(
         "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"))

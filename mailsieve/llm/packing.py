@@ -15,7 +15,6 @@ table gives no sequences.
 from __future__ import annotations
 
 import bisect
-import functools
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -27,9 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.bpe import byte_letters, pieces
+from mailsieve.llm.remember import kept
 from mailsieve.plans.session import materialize
 
-REMEMBERED = 800_000
+#: pieces kept in each of two generations
+REMEMBERED = 400_000
 WIDTH = 4
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # doc_id is text in the tasks: pandas would turn numbers beside a missing one into floats
@@ -39,7 +40,11 @@ _OUT = f"{PIECES}, task int, ids binary"
 class LibraryIds:
     """Token ids by the tokenizers library, as bytes of little-endian 32-bit numbers. Words recur, so the ids of up to
     ``REMEMBERED`` pieces are kept; a piece is cut before a blank that a visible character follows, where no token can
-    reach across."""
+    reach across.
+
+    New pieces go to the young generation. When it is full it becomes the old one, and what was old and not looked up
+    since is forgotten.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task a core
@@ -50,9 +55,13 @@ class LibraryIds:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def _new(self, piece: str) -> bytes:
-        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        found = self.old.get(piece)
+        if found is not None:
+            pass
+        elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
             ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
             found = np.array(ids, "<u4").tobytes()
         elif piece[-1] in ".,;:" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
@@ -60,7 +69,7 @@ class LibraryIds:
         else:
             found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
         if len(self.known) >= REMEMBERED:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         self.known[piece] = found
         return found
 
@@ -69,13 +78,16 @@ class LibraryIds:
             return b""
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        found = pieces(text)
         known, new = self.known.get, self._new
-        return b"".join([known(p) or new(p) for p in pieces(text)])
+        out = [known(p) for p in found]
+        if None in out:
+            out = [new(p) if ids is None else ids for p, ids in zip(found, out)]
+        return b"".join(out)
 
 
-@functools.lru_cache(2)
 def library_ids(path: str) -> LibraryIds:
-    return LibraryIds(path)
+    return kept(("library ids", path), lambda: LibraryIds(path))
 
 
 class Packer:

@@ -10,7 +10,13 @@ from pyspark.sql import functions as F
 from mailsieve.llm import bpe, chat, lm, main_text, near, packing, quality, topk, toxicity, url_lists
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python: a batch has few rows, so that what a task holds at once is small on both sides."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -23,13 +23,14 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailsieve.llm.remember import forget
 from mailsieve.plans.session import materialize
 
 
@@ -39,7 +40,7 @@ class ToxicityRules:
     most_features: int = 50_000
     least_toxic: int = 3
     least_odds: float = 1.0
-    remembered: int = 400_000
+    remembered: int = 250_000
 
 
 #: Letters that a written character can stand for.
@@ -57,21 +58,36 @@ for _c in range(65_536):
     _TABLE[_c] = _CODE.get(chr(_c), _OTHER if chr(_c).isalpha() else 0)
 _EDGES = ".,;:!?\"'()[]{}<>…%&#~^`«»„“”‚‘’|*=/\\"
 _ODD = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+(€£¡¢¥§*._\-'’,~/\\]+[^\W\d_]|^[0-9@$!|+(€£¡¢¥§]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€£¢¥§]+$")
+_REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)", re.MULTILINE)
 
 
+_PART = 1 << 18
+
+
 def trigram_counts(docs: DataFrame) -> DataFrame:
     """gram (three character codes in one number) and n, over all texts; at most 64^3 rows."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget()
         counts = np.zeros(_SIZE ** 3, np.int64)
+
+        def add(text: str) -> None:
+            points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+            code = _TABLE[np.minimum(points, 65_535)].astype(np.int32)
+            grams = (code[:-2] << 12) | (code[1:-1] << 6) | code[2:]
+            if len(grams):
+                counts[:] += np.bincount(grams, minlength=len(counts))
+
         for batch in batches:
+            waiting, size = [], 0
             for text in batch["text"]:
-                for at in range(0, len(text or ""), 1 << 20):
-                    points = np.frombuffer(text[max(0, at - 2):at + (1 << 20)].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-                    code = _TABLE[np.minimum(points, 65_535)].astype(np.int32)
-                    grams = (code[:-2] << 12) | (code[1:-1] << 6) | code[2:]
-                    if len(grams):
-                        counts += np.bincount(grams, minlength=len(counts))
+                for at in range(0, len(text or ""), _PART):
+                    waiting.append(text[max(0, at - 2):at + _PART])
+                    size += len(waiting[-1])
+                    if size >= _PART:
+                        add("\n\n".join(waiting))
+                        waiting, size = [], 0
+            add("\n\n".join(waiting))
         seen = np.flatnonzero(counts)
         yield pd.DataFrame({"gram": seen.astype(np.int32), "n": counts[seen]})
 
@@ -83,6 +99,7 @@ class Channel:
     """Restores written words: a source of letters (trigram model) seen through a channel of substitutions."""
 
     SUBSTITUTED, DROPPED_MARK, DROPPED_LEET, DROPPED_REPEAT, MASKED = 0.7, 0.7, 9.0, 2.5, 2.0
+    BEAM = 48
 
     def __init__(self, counts: np.ndarray):
         cube = counts.reshape(_SIZE, _SIZE, _SIZE).astype(np.float64)
@@ -102,7 +119,9 @@ class Channel:
         return [("", self.DROPPED_MARK)]
 
     def restore(self, written: str) -> str:
-        """The cheapest reading. A state is the last two letters; there are never more than 26 * 26 of them."""
+        """The cheapest reading. A state is the last two letters; the ``BEAM`` cheapest go on, which matters only
+        where masked letters follow each other. Longer repetitions count as three, so time is linear in the length."""
+        written = _REPEATED.sub(r"\1\1\1", written)
         cost, code = self.cost, _CODE
         states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         before = ""
@@ -119,7 +138,7 @@ class Channel:
                         to, total, way = (a, b), paid + price, path
                     if to not in after or total < after[to][0]:
                         after[to] = total, way
-            states = after
+            states = after if len(after) <= self.BEAM else dict(heapq.nsmallest(self.BEAM, after.items(), key=lambda s: s[1][0]))
         path = min(states.items(), key=lambda s: s[1][0] + float(cost[s[0][0], s[0][1], 0]))[1][1]
         letters = []
         while path is not None:
@@ -135,23 +154,15 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class Reader:
-    """The restored words of texts; what a word restores to is remembered for a bounded number of words."""
+    """The restored words of texts."""
     channel: Channel
-    remembered: int = 400_000
-    known: dict[str, tuple[str, ...]] = field(default_factory=dict)
 
     def readings(self, token: str) -> tuple[str, ...]:
-        found = self.known.get(token)
-        if found is None:
-            plain = token.strip(_EDGES)
-            found = (plain,) if plain and plain[0].isalpha() or plain[1:2].isalpha() else ()
-            marked = plain if any(map(str.isalpha, plain)) else ""
-            if marked and len(marked) <= 60 and _ODD.search(marked):
-                restored = self.channel.restore(marked)
-                found = (*found, restored) if restored != plain else found
-            if len(self.known) >= self.remembered:
-                self.known.clear()
-            self.known[token] = found
+        plain = token.strip(_EDGES)
+        found = (plain,) if plain and plain[0].isalpha() or plain[1:2].isalpha() else ()
+        if _ODD.search(plain) and any(map(str.isalpha, plain)):
+            restored = self.channel.restore(plain)
+            found = (*found, restored) if restored != plain else found
         return found
 
     def tokens(self, text: str | None) -> tuple[set[str], list[str]]:
@@ -184,8 +195,8 @@ def pooled(scores: list[float], n_tokens: int) -> list[float]:
 
 
 class Scorer:
-    def __init__(self, model: ToxicityModel, remembered: int = 400_000):
-        self.reader, self.odds, self.weights = Reader(Channel(model.counts), remembered), model.odds, model.weights
+    def __init__(self, model: ToxicityModel, remembered: int = 250_000):
+        self.reader, self.odds, self.weights = Reader(Channel(model.counts)), model.odds, model.weights
         self.known: dict[str, float] = {}
         self.remembered = remembered
 
@@ -252,7 +263,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rules: Toxicity
     chosen = materialize(chosen, "labelled-texts")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Reader(Channel(counts), rules.remembered)
+        reader = Reader(Channel(counts))
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 found = sorted({f for w in reader.words(text) for f in features_of(w)})
@@ -304,6 +315,7 @@ def score(docs: DataFrame, model: ToxicityModel, rules: ToxicityRules = Toxicity
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget()
         scorer = Scorer(shipped.value, rules.remembered)
         for batch in batches:
             yield pd.Series([scorer.score(t) for t in batch], dtype="float64")

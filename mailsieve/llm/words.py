@@ -14,7 +14,7 @@ import numpy as np
 
 _U = np.uint64
 _BASE = pow(0x9E3779B97F4A7C15, 1, 1 << 64) | 1
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 WHITE = b" \t\n\x0b\x0c\r"
 _IS_WHITE = np.zeros(256, bool)
 _IS_WHITE[list(WHITE)] = True
