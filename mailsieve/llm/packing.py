@@ -30,7 +30,7 @@ from mailsieve.llm.remember import kept
 from mailsieve.plans.session import materialize
 
 #: pieces kept in each of two generations
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 WIDTH = 4
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # doc_id is text in the tasks: pandas would turn numbers beside a missing one into floats
