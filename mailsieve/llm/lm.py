@@ -11,9 +11,9 @@ At scale. Words travel as sorted arrays of 64-bit hashes packed by hash range an
 a range counts all tasks' words in one vector operation and hands each chunk the counts of its words, and a document
 meets them in its chunk. So everything shuffled grows with the number of distinct words of each task, and no table of
 all words is ever in one place. Documents are dealt to chunks of bounded size by a hash, which spreads any hot source
-or group of copies. The GRU is trained by every task on its part of ``share`` of the training documents, in rounds
-after each of which the parameters are averaged by weight, in groups first; the share is a fraction, so what is learned
-from grows with the input, and counts are of all training documents.
+or group of copies. The GRU is trained by every task on its part of the training documents, in rounds after
+each of which the parameters are averaged by weight, in groups first. The rounds are disjoint parts of all training
+documents (``share`` = 1), so each of them is learned from once.
 
 Missing or empty texts are one end token. Without training tokens every count is 0. Repeated rows count and are scored
 each. Rows without doc_id count as doc_id ''.
@@ -21,6 +21,7 @@ each. Rows without doc_id count as doc_id ''.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,7 +45,7 @@ class ModelRules:
     window: int = 32
     batch: int = 128
     rate: float = 0.015
-    share: int = 8  # one training document in so many trains the GRU
+    share: int = 1  # one training document in so many trains the GRU
     rounds: int = 2
     chunk_bytes: int = 24 << 20
     range_bytes: int = 8 << 20
@@ -185,7 +186,9 @@ def unigrams(docs: DataFrame, rules: ModelRules) -> Unigrams:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    e = np.exp(-x)
+    e += 1
+    return np.divide(1, e, out=e)
 
 
 class Gru:
@@ -215,12 +218,21 @@ class Gru:
         return self.size + 1
 
     def step(self, token: np.ndarray, h: np.ndarray):
-        p, n = self.parameters, self.rules.hidden
-        a, u = p["table"][token], h @ p["recurrent"]
+        return self.step_from(self.parameters["table"][token], h)
+
+    def step_from(self, a: np.ndarray, h: np.ndarray):
+        """``a``: the rows of the table."""
+        n = self.rules.hidden
+        u = h @ self.parameters["recurrent"]
         gates = _sigmoid(a[:, :2 * n] + u[:, :2 * n])
         z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n:] + r * u[:, 2 * n:])
-        return new + z * (h - new), (z, r, new, u[:, 2 * n:])
+        new = r * u[:, 2 * n:]
+        new += a[:, 2 * n:]
+        np.tanh(new, out=new)
+        after = h - new
+        after *= z
+        after += new
+        return after, (gates, new, u[:, 2 * n:])
 
     def outputs(self, h: np.ndarray, target: np.ndarray, learn: bool = False):
         """Log probability of each target; with ``learn`` also the gradients of its negative sum."""
@@ -239,25 +251,29 @@ class Gru:
             gradient = {"class_out": h.T @ d, "class_bias": d.sum(axis=0), "word_out": np.zeros_like(p["word_out"]),
                         "word_bias": np.zeros_like(p["word_bias"])}
             back = d @ p["class_out"].T
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16) if self.n_classes < 30_000 else kind, kind="stable")
         limits = np.searchsorted(kind[order], np.arange(self.n_classes))
-        for c in range(self.n_classes - 1):
-            at = order[limits[c]:limits[c + 1]]
-            if not len(at):
-                continue
-            words = slice(c * k, (c + 1) * k)
-            inner = h[at] @ p["word_out"][words].T + p["word_bias"][words]
-            inner -= inner.max(axis=1, keepdims=True)
-            e = np.exp(inner)
-            total = e.sum(axis=1)
-            place, own = np.arange(len(at)), target[at] - c * k
-            out[at] += inner[place, own] - np.log(total)
-            if learn:
-                d = e / total[:, None]
-                d[place, own] -= 1
-                gradient["word_out"][words] = d.T @ h[at]
-                gradient["word_bias"][words] = d.sum(axis=0)
-                back[at] += d @ p["word_out"][words]
+        order = order[:limits[-1]]  # the last class has no words
+        seen = [(c, a, b) for c, (a, b) in enumerate(zip(limits[:-1].tolist(), limits[1:].tolist())) if b > a]
+        word_out, sorted_h, sorted_kind = p["word_out"].reshape(-1, k, h.shape[1]), h[order], kind[order]
+        inner = p["word_bias"].reshape(-1, k)[sorted_kind]
+        for c, a, b in seen:
+            inner[a:b] += sorted_h[a:b] @ word_out[c].T
+        inner -= inner.max(axis=1, keepdims=True)
+        place, own = np.arange(len(order)), target[order] - sorted_kind * k
+        picked = inner[place, own]
+        e = np.exp(inner, out=inner)
+        total = e.sum(axis=1)
+        out[order] += picked - np.log(total)
+        if learn and seen:
+            e /= total[:, None]
+            e[place, own] -= 1
+            below, to_words = np.empty_like(sorted_h), gradient["word_out"].reshape(word_out.shape)
+            for c, a, b in seen:
+                np.matmul(e[a:b].T, sorted_h[a:b], out=to_words[c])
+                np.matmul(e[a:b], word_out[c], out=below[a:b])
+            gradient["word_bias"].reshape(-1, k)[[c for c, _, _ in seen]] = np.add.reduceat(e, [a for _, a, _ in seen], axis=0)
+            back[order] += below
         return (out, back, gradient) if learn else (out, None, None)
 
     def log_probabilities(self, texts: list[np.ndarray], together: int = 2048, window: int = 64) -> np.ndarray:
@@ -284,7 +300,8 @@ class Gru:
                     states.append(h[:n].copy())
                     targets.append(part[:n, t])
                     owners.append(np.arange(n))
-                got = self.outputs(np.concatenate(states), np.concatenate(targets))[0]
+                states, targets = np.concatenate(states), np.concatenate(targets)
+                got = np.concatenate([self.outputs(states[i:i + 4096], targets[i:i + 4096])[0] for i in range(0, len(targets), 4096)])
                 out[own] += np.bincount(np.concatenate(owners), got, minlength=len(own))
         return out
 
@@ -299,34 +316,39 @@ class Trainer:
 
     def _window(self, part: np.ndarray, inputs: np.ndarray, active: np.ndarray, h: np.ndarray) -> np.ndarray:
         """One window of texts sorted by length: part (texts x steps) are the targets, active the texts at each step."""
-        model, n_hidden = self.model, self.model.rules.hidden
+        model, n = self.model, self.model.rules.hidden
         p = model.parameters
-        kept, states = [], []
-        for t, n in enumerate(active):
-            before = h[:n].copy()
-            after, gates = model.step(inputs[:n, t], before)
-            h[:n] = after
-            kept.append((before, gates))
-            states.append(after)
-        targets = np.concatenate([part[:n, t] for t, n in enumerate(active)])
-        _, back, gradient = model.outputs(np.concatenate(states), targets, learn=True)
         ends = np.cumsum(active)
-        down = np.zeros((active[0], n_hidden), np.float32)
-        gradient["recurrent"] = np.zeros_like(p["recurrent"])
-        inner, tokens = [], []
-        for t in range(len(active) - 1, -1, -1):
-            n = active[t]
-            before, (z, r, new, u) = kept[t]
-            d = down[:n] + back[ends[t] - n:ends[t]]
-            d_new = d * (1 - z) * (1 - new * new)
-            d_z, d_r = d * (before - new) * z * (1 - z), d_new * u * r * (1 - r)
-            d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
-            gradient["recurrent"] += before.T @ d_u
-            down[:n] = d * z + d_u @ p["recurrent"].T
-            inner.append(np.concatenate([d_z, d_r, d_new], axis=1))
-            tokens.append(inputs[:n, t])
+        starts = ends - active
+        # all rows of the window, step by step
+        tokens = np.concatenate([inputs[:m, t] for t, m in enumerate(active)])
+        targets = np.concatenate([part[:m, t] for t, m in enumerate(active)])
+        read = p["table"][tokens]
+        before, states, new, u = (np.empty((ends[-1], n), np.float32) for _ in range(4))
+        gates = np.empty((ends[-1], 2 * n), np.float32)
+        for a, b, m in zip(starts, ends, active):
+            before[a:b] = h[:m]
+            h[:m], (gates[a:b], new[a:b], u[a:b]) = model.step_from(read[a:b], before[a:b])
+            states[a:b] = h[:m]
+        _, back, gradient = model.outputs(states, targets, learn=True)
+        z, r = gates[:, :n], gates[:, n:]
+        # what each gate passes on for one unit from above: of the update gate, of the reset gate and of the new state
+        down = np.zeros((active[0], n), np.float32)
+        pass_new = (1 - z) * (1 - new * new)
+        each = np.stack([(before - new) * z * (1 - z), pass_new * u * r * (1 - r), pass_new * r], axis=1)
+        d_u, turned = np.empty_like(each), np.ascontiguousarray(p["recurrent"].T)
+        flat, d_all = d_u.reshape(-1, 3 * n), np.empty_like(back)
+        for a, b, m in zip(starts[::-1], ends[::-1], active[::-1]):
+            d = np.add(down[:m], back[a:b], out=d_all[a:b])
+            np.multiply(each[a:b], d[:, None, :], out=d_u[a:b])
+            down[:m] = d * z[a:b] + flat[a:b] @ turned
+        gradient["recurrent"] = before.T @ flat
+        d_u[:, 2] = d_all * pass_new
+        order = np.argsort(tokens.astype(np.int16) if model.size < 30_000 else tokens, kind="stable")
+        ordered = tokens[order]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
         table = np.zeros_like(p["table"])
-        np.add.at(table, np.concatenate(tokens), np.concatenate(inner))
+        table[ordered[first]] = np.add.reduceat(flat[order], first, axis=0)
         gradient["table"] = table
         self._update(gradient, len(targets))
         self.tokens += len(targets)
@@ -341,9 +363,12 @@ class Trainer:
             g = g * scale
             self.m[k] += np.float32(0.1) * (g - self.m[k])
             self.v[k] += np.float32(0.01) * (g * g - self.v[k])
-            fast = self.m[k] / np.float32(1 - 0.9 ** self.steps)
-            spread = np.sqrt(self.v[k] / np.float32(1 - 0.99 ** self.steps)) + np.float32(1e-6)
-            self.model.parameters[k] = self.model.parameters[k] - np.float32(self.model.rules.rate) * fast / spread
+            spread = self.v[k] * np.float32(1 / (1 - 0.99 ** self.steps))
+            np.sqrt(spread, out=spread)
+            spread += np.float32(1e-6)
+            step = np.divide(self.m[k], spread, out=spread)
+            step *= np.float32(self.model.rules.rate / (1 - 0.9 ** self.steps))
+            self.model.parameters[k] = self.model.parameters[k] - step
 
     def learn(self, texts: list[np.ndarray]) -> None:
         rules = self.model.rules
@@ -387,7 +412,7 @@ def _load(model: Gru, flat: np.ndarray) -> None:
 
 
 def train(docs: DataFrame, found: Unigrams, rules: ModelRules) -> Gru:
-    """``docs``: doc_id, text, learned. Rounds take disjoint parts of the share."""
+    """``docs``: doc_id, text, learned. Rounds take disjoint parts, together all (of the share) that may be learned from."""
     model = Gru(found.frequent_counts, found.tokens, rules)
     rank = np.argsort(found.frequent, kind="stable")
     ordered = found.frequent[rank]
@@ -396,7 +421,7 @@ def train(docs: DataFrame, found: Unigrams, rules: ModelRules) -> Gru:
         shipped = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the model's size
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = shipped.value
+            own = copy.deepcopy(shipped.value)  # a worker's next task starts from the round's parameters, too
             trainer, waiting = Trainer(own), []
 
             for batch in batches:

@@ -308,3 +308,15 @@ def test_gradients_and_carried_state():
         assert found[name][at] == pytest.approx((sides[0] - sides[1]) / 4e-2, rel=0.05, abs=2e-3)
     total = sum(np.exp(model.log_probabilities([np.array([t])]))[0] for t in range(model.size + 1))
     assert total == pytest.approx(1, rel=1e-4)
+
+
+def test_all_training_documents_are_learned_from(spark, sf):
+    rules = lm.ModelRules()
+    rows = docs(spark, *(" ".join([f"own{i}"] * 5) for i in range(60))).withColumn("learned", F.col("doc_id") % 5 != 1)
+    found = lm.unigrams(rows, rules)
+    began, ended = lm.Gru(found.frequent_counts, found.tokens, rules), lm.train(rows, found, rules)
+    moved = (began.parameters["table"] != ended.parameters["table"]).any(axis=1)[:len(found.frequent)]
+    assert len(moved) == 49 and moved.all()  # 48 words of training documents and the end
+    allowed = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 1
+    got = lm.scored(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), allowed).where(~allowed).agg(F.sum("score"), F.sum("base_score")).first()
+    assert got[0] > got[1]
