@@ -19,6 +19,7 @@ toxic ones (one half without any). Repeated rows are scored each; a doc_id with
 
 from __future__ import annotations
 
+import functools
 import heapq
 import math
 import re
@@ -57,9 +58,12 @@ _TABLE = np.zeros(65_536, np.uint8)
 for _c in range(65_536):
     _TABLE[_c] = _CODE.get(chr(_c), _OTHER if chr(_c).isalpha() else 0)
 _EDGES = ".,;:!?\"'()[]{}<>…%&#~^`«»„“”‚‘’|*=/\\"
-_ODD = re.compile(r"(.)\1\1|[^\W\d_][0-9@$!|+(€£¡¢¥§*._\-'’,~/\\]+[^\W\d_]|^[0-9@$!|+(€£¡¢¥§]+[^\W\d_]{2}|[^\W\d_]{2}[0-9@$|+(€£¢¥§]+$")
+#: Edges that stand for nothing but a mark; the others may be letters.
+_MARKS = "".join(c for c in _EDGES if c not in LOOKS_LIKE and c != ANY_LETTER)
+#: Words with more than one path, or with marks inside: leet or masked characters, equal letters side by side.
+_ODD = re.compile(rf"[{re.escape(''.join(LOOKS_LIKE) + ANY_LETTER)}]|([^\W\d_])\1|[^\W_][\W_]+[^\W_]")
 _REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
-_SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:[ \t]\S){2,}(?=\s|$)", re.MULTILINE)
+_SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:\s++\S){2,}(?=\s|$)", re.MULTILINE)
 
 
 _PART = 1 << 18
@@ -107,6 +111,16 @@ class Channel:
         unigram = (single + 1) / (single.sum() + _SIZE)
         bigram = (pairs + 10 * unigram) / (pairs.sum(axis=1, keepdims=True) + 10)
         self.cost = -np.log((cube + 10 * bigram[None]) / (cube.sum(axis=2, keepdims=True) + 10)).astype(np.float32)
+        self.flat = self.cost.ravel().tolist()
+        self.known_readings: dict[tuple[str, bool], list[tuple[str, int, float]]] = {}
+
+    def _coded(self, c: str, before: str) -> list[tuple[str, int, float]]:
+        """Readings with the letter's code, -1 for none."""
+        out = self.known_readings.get(key := (c, c == before))
+        if out is None:
+            out = [(x, _CODE.get(x, _OTHER) if x else -1, price) for x, price in self._readings(c, before)]
+            self.known_readings[key] = out
+        return out
 
     def _readings(self, c: str, before: str) -> list[tuple[str, float]]:
         if c.isalpha():
@@ -122,24 +136,24 @@ class Channel:
         """The cheapest reading. A state is the last two letters; the ``BEAM`` cheapest go on, which matters only
         where masked letters follow each other. Longer repetitions count as three, so time is linear in the length."""
         written = _REPEATED.sub(r"\1\1\1", written)
-        cost, code = self.cost, _CODE
-        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        cost = self.flat
+        states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by both codes in one number
         before = ""
         for c in written:
-            readings = self._readings(c, before)
+            readings = self._coded(c, before)
             before = c
-            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
-            for (a, b), (paid, path) in states.items():
-                for letter, price in readings:
-                    if letter:
-                        k = code.get(letter, _OTHER)
-                        to, total, way = (b, k), paid + price + float(cost[a, b, k]), (path, letter)
+            after: dict[int, tuple[float, tuple | None]] = {}
+            for state, (paid, path) in states.items():
+                for letter, k, price in readings:
+                    if k >= 0:
+                        gram = state << 6 | k
+                        to, total = gram & 4095, paid + price + cost[gram]
                     else:
-                        to, total, way = (a, b), paid + price, path
+                        to, total = state, paid + price
                     if to not in after or total < after[to][0]:
-                        after[to] = total, way
+                        after[to] = total, (path, letter) if k >= 0 else path
             states = after if len(after) <= self.BEAM else dict(heapq.nsmallest(self.BEAM, after.items(), key=lambda s: s[1][0]))
-        path = min(states.items(), key=lambda s: s[1][0] + float(cost[s[0][0], s[0][1], 0]))[1][1]
+        path = min(states.items(), key=lambda s: s[1][0] + cost[s[0] << 6])[1][1]
         letters = []
         while path is not None:
             path, letter = path
@@ -160,9 +174,10 @@ class Reader:
     def readings(self, token: str) -> tuple[str, ...]:
         plain = token.strip(_EDGES)
         found = (plain,) if plain and plain[0].isalpha() or plain[1:2].isalpha() else ()
-        if _ODD.search(plain) and any(map(str.isalpha, plain)):
-            restored = self.channel.restore(plain)
-            found = (*found, restored) if restored != plain else found
+        for written in dict.fromkeys((plain, token.strip(_MARKS))):  # edges like "!" and "*" may be letters, too
+            if _ODD.search(written):
+                restored = self.channel.restore(written)
+                found = (*found, restored) if restored and restored not in found else found
         return found
 
     def tokens(self, text: str | None) -> tuple[set[str], list[str]]:
@@ -264,6 +279,7 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rules: Toxicity
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(Channel(counts))
+        reader.readings = functools.lru_cache(rules.most_features)(reader.readings)
         for batch in batches:
             for text, toxic in zip(batch["text"], batch["toxic"]):
                 found = sorted({f for w in reader.words(text) for f in features_of(w)})

@@ -119,6 +119,23 @@ def test_channel_restores_hidden_words():
     assert "idiot" in reader.words("an i d i o t here") and reader.words(None) == set()
 
 
+def test_reader_and_score_decode_every_odd_word():
+    counts = np.zeros(64 ** 3, np.int64)
+    text = " the idiot is stupid a moron and shit pathetic worthless clown is here all day for the loser " * 50
+    code = toxicity._TABLE[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(int)
+    np.add.at(counts, (code[:-2] << 12) | (code[1:-1] << 6) | code[2:], 1)
+    reader = toxicity.Reader(toxicity.Channel(counts))
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(counts, {f"{w} ": 5.0 for w in ("idiot", "stupid", "moron", "shit")}, np.array([-3.0, 1, 0, 0, 0, 0])))
+    for written, plain in (
+            ("1d107", "idiot"), ("5h17", "shit"), ("$h!7", "shit"), ("sh!7", "shit"), ("stuupid", "stupid"), ("iidioott", "idiot"), ("mmoorroonn", "moron"),
+            ("*diot", "idiot"), ("stupi*", "stupid"), ("!d10t,", "idiot"), ("5h!7", "shit")):
+        assert plain in reader.words(f"so {written} here"), written
+        assert scorer.score(f"so {written} here") > 0.5 > scorer.score("so it is here")
+    for spaced in ("an  i  d i   o t  here", "i\nd\ni\no\nt\n"):
+        assert any(w.startswith("idiot") for w in reader.words(spaced))
+    assert {"clown"} <= reader.words("clown!") and reader.words("--- ...") == set()
+
+
 def test_toxicity_learns_and_scores_held_out_rows(spark, sf):
     larger = sf.replace("sf0.001", "sf0.01")  # a few dozen toxic rows
     table, labels = (spark.read.parquet(f"{larger}/{n}.parquet") for n in ("documents", "labels"))
