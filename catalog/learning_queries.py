@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from catalog.feature_queries import AS_OF, as_of, feature_ctes, history
 from catalog.fixtures import SQL_ADDRESS, view, with_views
-from catalog.mail_queries import _cache, _CLASSIFY, decided
+from catalog.mail_queries import _cache, _CLASSIFY, decided, stub_scorer
 from mailsieve.config import EngineConfig
 from mailsieve.functions import addresses as ad
 from mailsieve.functions import fixed_values as fv
@@ -487,3 +487,16 @@ def forest_score(spark: SparkSession, sf: str) -> DataFrame:
     model = _fitted(spark, sf).model
     frame = jobs.score_messages(view(spark, sf, "messages"), model, as_of=as_of(), config=EngineConfig(use_scorer_for_uncertain=False))
     return frame.select("msg_id", F.round("p_spam", 6).alias("p_spam"))
+
+
+@query()
+def detection_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A whole run on all messages: all features, the fitted forest, lists, cache and scorer; its facts deduplicated and
+    counted by method, beside the sums of the run's summary."""
+    messages = view(spark, sf, "messages").withColumn("was_unread", F.lit(True))
+    run = jobs.run_detection(
+        messages, view(spark, sf, "sender_list"), _cache(spark, sf), _fitted(spark, sf).model, history(spark, sf),
+        view(spark, sf, "accounts"), as_of=as_of(), scorer=stub_scorer)
+    facts = verdicts.dedup_decisions(jobs.decision_facts(run.decisions, as_of(), 0.1))
+    totals = run.summary.agg(F.sum("processed").alias("processed"), F.sum("spam_detected").alias("spam_detected"))  # one row
+    return facts.groupBy("method", "action").agg(F.count("*").alias("decisions")).crossJoin(totals)

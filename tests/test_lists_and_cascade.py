@@ -263,3 +263,14 @@ def test_whole_run(spark, messages):
     facts = jobs.decision_facts(run.decisions, F.lit("2024-03-01 00:00:00"), 0.25)
     assert stats.detection_totals(verdicts.dedup_decisions(facts)).first().asDict() == {"total": 2, "spam": 1, "ham": 1, "spam_rate": 50.0}
     assert stats.avg_processing_time(facts).first()[0] == 0.25
+
+
+def test_whole_run_is_a_query_over_all_messages(spark, sf):
+    import __spark_entry__
+    from catalog.fixtures import view
+
+    got = __spark_entry__.queries()["detection_run"](spark, sf).collect()
+    box = jobs.with_fingerprint(view(spark, sf, "messages"))
+    assert {r.processed for r in got} == {box.count()} and sum(r.decisions for r in got) == box.select("fingerprint").distinct().count()
+    by_forest = {r.action: r.decisions for r in got if r.method == "ml_random_forest"}
+    assert by_forest["SPAM"] > 0 and by_forest["KEEP"] > 0 and {"whitelist", "blacklist"} <= {r.method for r in got}
