@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailsieve.llm import bpe, chat, lm, main_text, near, packing, quality, topk, toxicity, url_lists
+from mailsieve.llm import bpe, chat, lm, main_text, merkle, mixing, near, packing, quality, topk, toxicity, trie, url_lists
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -206,6 +206,134 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, row_number() OVER () AS tie,
+    (CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 13))::BIGINT AS DOUBLE)
+      + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE) AS u
+  FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place FROM d GROUP BY source),
+w AS (SELECT *, CAST([5, 2, 1][place % 3 + 1] AS BIGINT) AS weight, 3 * source_size AS cap FROM s),
+f AS (SELECT *, CAST(cap AS DOUBLE) / CAST(weight AS DOUBLE) AS most FROM w),
+l AS (
+  SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER earlier, 0) AS DOUBLE)
+    / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0) AS DOUBLE) AS level
+  FROM f WINDOW earlier AS (ORDER BY most, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (
+  SELECT source, source_size, CASE WHEN most < level THEN CAST(cap AS DOUBLE)
+    ELSE max(CASE WHEN most >= level THEN level END) OVER () * weight END AS target FROM l),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
+k AS (SELECT *, greatest(CAST(0 AS DOUBLE), target - copies * source_size) AS lacking FROM c),
+r AS (
+  SELECT d.*, source_size, target, copies, lacking,
+    CASE WHEN lacking > 0 THEN (u / (1 - u)) / ((lacking / source_size) / (1 - lacking / source_size)) ELSE u / (1 - u) END AS rank
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+b AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, tie ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size <= lacking AS fits
+  FROM r),
+g AS (SELECT *, lacking - sum(CASE WHEN fits THEN size ELSE 0 END) OVER (PARTITION BY source) AS gap FROM b),
+x AS (SELECT *, NOT fits AND abs(gap - size) < gap AND row_number() OVER (PARTITION BY source, fits ORDER BY abs(gap - size), rank, tie) = 1 AS last FROM g)
+SELECT doc_id, size, source_size, target, size * (copies + CASE WHEN fits OR last THEN 1 ELSE 0 END) AS taken FROM x
+"""
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    step = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda ch: CAST(ascii(ch) AS BIGINT))"
+    return f"CASE WHEN {text} = '' THEN 0 ELSE xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295) END"
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents").select(*merkle.FIELDS), merkle.every_third(F.col("doc_id")))
+
+
+def _manifest_sql(levels: int = 8, top_levels: int = 4) -> str:
+    """Trees of up to 8^levels leaves a language and 8^top_levels languages, written out level by level."""
+    def leaf(text: str) -> str:
+        values = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    number = "coalesce(CAST(doc_id AS VARCHAR), '')"
+    parts = [f"""d AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf, CASE WHEN ({_crc32_sql(number)}) % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS given
+  FROM documents),
+a0 AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, leaf AS digest,
+    count(*) OVER (PARTITION BY lang) AS n, doc_id, given FROM d)"""]
+
+    def climb(prefix: str, key: str, depth: int) -> None:
+        for i in range(depth):
+            at, up = f"{prefix}{i}", f"{prefix}{i + 1}"
+            parts.append(f"""{prefix}p{i} AS (
+  SELECT x.{key}, x.idx, coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx < x.idx), '') AS l,
+    coalesce(string_agg(y.digest, '' ORDER BY y.idx) FILTER (y.idx > x.idx), '') AS r
+  FROM {at} x JOIN {at} y ON x.{key} IS NOT DISTINCT FROM y.{key} AND x.idx // 8 = y.idx // 8 WHERE x.n > 1 GROUP BY x.{key}, x.idx),
+{up} AS (
+  SELECT {key}, idx // 8 AS idx, CASE WHEN n = 1 THEN min(digest) ELSE sha256(string_agg(digest, '' ORDER BY idx)) END AS digest,
+    (n + 7) // 8 AS n FROM {at} GROUP BY {key}, idx // 8, n)""")
+
+    climb("a", "lang", levels)
+    parts.append(f"""b0 AS (
+  SELECT 0 AS top, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS idx, digest, count(*) OVER () AS n, lang FROM a{levels})""")
+    climb("b", "top", top_levels)
+    parts.append(f"""f0 AS (
+  SELECT a0.doc_id, a0.digest AS leaf, a0.given AS folded, '' AS proof, a0.lang, a0.idx, b0.idx AS tree, b0.digest AS subroot, z.digest AS root
+  FROM a0 JOIN b0 ON a0.lang IS NOT DISTINCT FROM b0.lang JOIN b{top_levels} z ON true)""")
+    steps = [("a", i, "p.lang IS NOT DISTINCT FROM f.lang AND p.idx = f.idx // {}") for i in range(levels)]
+    steps += [("b", i, "p.idx = f.tree // {}") for i in range(top_levels)]
+    for k, (prefix, i, on) in enumerate(steps):
+        parts.append(f"""f{k + 1} AS (
+  SELECT f.* REPLACE (CASE WHEN p.idx IS NULL THEN folded ELSE sha256(l || folded || r) END AS folded,
+    proof || coalesce(l || r, '') AS proof) FROM f{k} f LEFT JOIN {prefix}p{i} p ON {on.format(8 ** i)})""")
+    return "WITH " + ",\n".join(parts) + f"""
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM f{len(steps)}"""
+
+
+OP12_SQL = _manifest_sql()
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP13_SQL = f"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, base, CAST(h AS BIGINT) AS h, least(h, (SELECT count(*) FROM t WHERE t.conv_id = base)) AS kept
+  FROM (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, ({_crc32_sql("CAST(conv_id AS VARCHAR)")}) % 6 AS h FROM t)),
+r AS (
+  SELECT c.conv_id, t.place AS depth, role, text FROM c JOIN t ON t.conv_id = c.base AND t.place <= h
+  UNION ALL SELECT c.conv_id, kept + t.place - h, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND t.place > h),
+p AS (
+  SELECT conv_id, depth, length(text) AS chars,
+    sha256(string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '|') OVER (PARTITION BY conv_id ORDER BY depth)) AS node FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS (SELECT *, max(depth) OVER (PARTITION BY conv_id) AS total FROM p),
+n AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, CAST(count(*) - 1 AS BIGINT) * max(chars) AS saved,
+    coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (depth = total), '') AS ends, max(total) = depth AS childless
+  FROM m GROUP BY depth, node),
+below AS (SELECT DISTINCT a.depth, a.node, b.depth AS d2, b.node AS n2 FROM m a JOIN m b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT b.depth, b.node, CAST(count(*) FILTER (d2 = b.depth + 1) AS BIGINT) AS n_children, CAST(count(*) FILTER (n.childless) AS BIGINT) AS n_leaves,
+    CAST(sum(n.saved) AS BIGINT) AS saved_tokens
+  FROM below b JOIN n ON n.depth = b.d2 AND n.node = b.n2 GROUP BY b.depth, b.node),
+up AS (SELECT DISTINCT b.d2 AS depth, b.n2 AS node, n.conv_id AS parent_conv_id FROM below b JOIN n ON n.depth = b.depth AND n.node = b.node WHERE b.d2 = b.depth + 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, sha256(ends) AS ends_sha256
+FROM n JOIN sums s ON s.depth = n.depth AND s.node = n.node LEFT JOIN up ON up.depth = n.depth AND up.node = n.node
+"""
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_toxicity": op2_toxicity,
@@ -217,5 +345,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_quality": op9_quality,
     "op10_lm_score": op10_lm_score,
+    "op11_mix": op11_mix,
+    "op12_manifest": op12_manifest,
+    "op13_trie": op13_trie,
 }
-ORACLES = {"op1_top_k": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL}
+ORACLES = {"op1_top_k": OP1_SQL, "op3_jaccard_join": OP3_SQL, "op4_chat": OP4_SQL, "op7_url_lists": OP7_SQL,
+           "op11_mix": OP11_SQL, "op12_manifest": OP12_SQL, "op13_trie": OP13_SQL}
