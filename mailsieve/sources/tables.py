@@ -1,7 +1,9 @@
 """Stored state: lists, verdict cache, sender history, training samples, logs, models.
 
-Append-only facts are parquet folders that grow. Keyed state is written as a new version folder; readers
-take the newest complete one, so a lost job never leaves a half-written table in use.
+Append-only facts are parquet folders that grow. Every write is a version folder that counts once it is committed, so a
+lost job never leaves a half-written table in use. Keyed state is stored as change rows: a version holds the rows that
+one round has changed, readers fold them to the latest row of each key, and ``compact`` folds them for good and deletes
+what is no longer needed.
 """
 
 from __future__ import annotations
@@ -84,7 +86,11 @@ def write_version(frame: DataFrame, root: str, version: int) -> None:
 
 
 def read_latest(spark: SparkSession, root: str, schema: str | None = None, version: int | None = None) -> DataFrame:
-    """A given version, or the newest committed one; an empty table when there is none."""
+    """A given version, or the newest committed one; an empty table when there is none. Of a table of change rows
+    (``write_changes``) the state as of that version: the latest row of each key."""
+    keys = table_keys(spark, root)
+    if keys is not None:
+        return read_state(spark, root, schema, version)
     if version is None:
         version = latest_version(spark, root)
     if version is None:
@@ -115,21 +121,112 @@ def read_committed(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("version", F.col("version").cast("bigint")).join(commits, "version", "left_semi")
 
 
-def merge_version(changed: DataFrame, root: str, version: int, keys: list[str]) -> None:
-    """The newest version before ``version`` with the rows of ``changed`` in the place of those with equal keys."""
-    spark = changed.sparkSession
-    before = [r[0] for r in _commits(spark, root) if r[0] < version]
-    if before:
-        kept = read_latest(spark, root, version=max(before)).join(changed.select(*keys), keys, "left_anti")
-        changed = kept.select(*changed.columns).unionByName(changed)
-    write_version(changed, root, version)
-
-
-def _commits(spark: SparkSession, root: str) -> list:
+def _commits(spark: SparkSession, root: str) -> list[int]:
     """The committed versions: one small number for each batch that was written."""
     if latest_version(spark, root) is None:
         return []
-    return spark.read.schema("version bigint").json(f"{root.rstrip('/')}/commits").distinct().collect()
+    return sorted(r[0] for r in spark.read.schema("version bigint").json(f"{root.rstrip('/')}/commits").distinct().collect())
+
+
+# keyed state as change rows: data/version=N holds what round N changed, snapshots/version=N the whole state as of N
+
+_KEYS = "keys.json"
+
+
+def _file_system(spark: SparkSession, path: str):
+    """The file system of a path, whatever store it is on, and the path for it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def snapshot_path(root: str, version: int) -> str:
+    return f"{root.rstrip('/')}/snapshots/version={version:010d}"
+
+
+def snapshots(spark: SparkSession, root: str) -> list[int]:
+    """Versions of the finished snapshots; one whose job was lost has no success mark."""
+    files, at = _file_system(spark, f"{root.rstrip('/')}/snapshots")
+    if not files.exists(at):
+        return []
+    found = [int(s.getPath().getName().removeprefix("version=")) for s in files.listStatus(at)]
+    return sorted(v for v in found if files.exists(_file_system(spark, f"{snapshot_path(root, v)}/_SUCCESS")[1]))
+
+
+def table_keys(spark: SparkSession, root: str) -> list[str] | None:
+    """The key columns of a table of change rows, None for other tables."""
+    files, at = _file_system(spark, f"{root.rstrip('/')}/{_KEYS}")
+    if not files.exists(at):
+        return None
+    return json.loads(spark.read.text(at.toString()).first()[0])
+
+
+def write_changes(changes: DataFrame, root: str, version: int, keys: list[str]) -> None:
+    """Append the rows that a round has changed, at most one for each key, and commit them. What is written follows the
+    round, not the state. A row with ``_deleted`` true takes its key away. Writing a version again replaces it, and
+    snapshots that hold its first writing go."""
+    spark, root = changes.sparkSession, root.rstrip("/")
+    if table_keys(spark, root) is None:
+        files, at = _file_system(spark, f"{root}/{_KEYS}")
+        out = files.create(at, True)
+        out.write(bytearray(json.dumps(keys).encode()))
+        out.close()
+    for stale in [v for v in snapshots(spark, root) if v >= version]:
+        _remove(spark, snapshot_path(root, stale))
+    if "_deleted" not in changes.columns:
+        changes = changes.withColumn("_deleted", F.lit(False))
+    write_version(changes, root, version)
+
+
+def read_state(spark: SparkSession, root: str, schema: str | None = None, version: int | None = None,
+               only: DataFrame | None = None) -> DataFrame:
+    """The latest row of each key as of a version, from the newest snapshot up to it and the changes since; with
+    ``only`` (key columns, few rows) just these keys, which are picked before anything is grouped."""
+    keys = table_keys(spark, root) or []
+    known = [v for v in _commits(spark, root) if version is None or v <= version]
+    if not known:
+        return spark.createDataFrame([], schema)
+    folded = max((v for v in snapshots(spark, root) if v <= known[-1]), default=None)
+    since = [v for v in known if folded is None or v > folded]
+    for v in since:
+        files, at = _file_system(spark, version_path(root, v))
+        if not files.exists(at):
+            raise LookupError(f"version {v} of {root} is older than what compaction has kept")
+    parts = [(spark.read.parquet(version_path(root, v)), v) for v in since]
+    if folded is not None:
+        parts.append((spark.read.parquet(snapshot_path(root, folded)), folded))
+    rows = None
+    for frame, v in parts:
+        frame = frame.withColumn("_version", F.lit(v).cast("bigint"))
+        rows = frame if rows is None else rows.unionByName(frame, allowMissingColumns=True)
+    if only is not None:
+        rows = rows.join(only.select(*keys).distinct(), keys, "left_semi")
+    state = verdicts.pick_row(rows, keys, F.col("_version"), latest=True)
+    names = [c for c in rows.columns if c not in ("_version", "_deleted")]
+    return state.where("NOT coalesce(_deleted, false)").select(*names)
+
+
+def compact(spark: SparkSession, root: str, every: int = 10, keep: int = 2) -> bool:
+    """Write the state as a snapshot when ``every`` versions have come since the last one, keep the newest ``keep``
+    snapshots and what came after the oldest of them, and delete what is older. Round numbers from that oldest one on
+    can still be read, so a round that is repeated finds the state it started from."""
+    known, done = _commits(spark, root), snapshots(spark, root)
+    if not known or len([v for v in known if not done or v > done[-1]]) < every:
+        return False
+    read_state(spark, root, version=known[-1]).withColumn("_deleted", F.lit(False)).write.mode("overwrite").parquet(
+        snapshot_path(root, known[-1]))
+    kept = snapshots(spark, root)[-keep:]
+    if len(kept) == keep:
+        for old in [v for v in snapshots(spark, root) if v < kept[0]]:
+            _remove(spark, snapshot_path(root, old))
+        for old in [v for v in known if v <= kept[0]]:
+            _remove(spark, version_path(root, old))
+    return True
 
 
 CACHE_SCHEMA = (
@@ -141,8 +238,8 @@ def read_verdict_cache(spark: SparkSession, root: str, max_age_days: int, as_of:
 
 
 def write_verdict_cache(spark: SparkSession, root: str, newer: DataFrame, version: int) -> None:
-    current = read_latest(spark, root, CACHE_SCHEMA)
-    write_version(verdicts.merge_cache(current, newer), root, version)
+    """The newer verdicts as change rows, one for each fingerprint."""
+    write_changes(verdicts.merge_cache(spark.createDataFrame([], CACHE_SCHEMA), newer), root, version, ["fingerprint"])
 
 
 # training samples

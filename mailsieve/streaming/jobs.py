@@ -62,7 +62,7 @@ def start_to_table(stream: DataFrame, path: str, mode: str = "append", available
                    keys: tuple[str, ...] = ()) -> StreamingQuery:
     """Run a stream into a parquet folder. The checkpoint lies beside the data unless named, so that a stream that
     is started again goes on where it was. In complete mode each micro-batch is one version; in update mode it
-    is merged by ``keys`` into the version before, so the newest version always has every key."""
+    holds the change rows of its keys, which readers fold, and the table is compacted as it grows."""
     if mode == "update" and not keys:
         raise ValueError("update mode needs the keys that rows are merged by")
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint or f"{path.rstrip('/')}/_checkpoint")
@@ -70,7 +70,11 @@ def start_to_table(stream: DataFrame, path: str, mode: str = "append", available
     if mode == "append":
         return writer.format("parquet").start(path)
     if mode == "update":
-        return writer.foreachBatch(lambda batch, number: tables.merge_version(batch, path, number, list(keys))).start()
+        def changed(batch: DataFrame, number: int) -> None:
+            tables.write_changes(batch, path, number, list(keys))
+            tables.compact(batch.sparkSession, path)
+
+        return writer.foreachBatch(changed).start()
     return writer.foreachBatch(lambda batch, number: tables.write_version(batch, path, number)).start()
 
 
