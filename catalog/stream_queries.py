@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from catalog.feature_queries import as_of
 from catalog.fixtures import VIEWS, as_engine_messages, load_tables, view, with_views
-from catalog.learning_queries import _FB, _HISTORY
+from catalog.learning_queries import _COUNTED, _FB, _HISTORY, _RANK
 from mailsieve.config import EngineConfig
+from mailsieve.functions import fixed_values as fv
 from mailsieve.operators import feedback as fb
 from mailsieve.operators import lists
 from mailsieve.plans.session import new_path
 from mailsieve.sources import tables
 from mailsieve.streaming import jobs as sj
+from mailsieve.streaming import state
 
 QUERIES = {}
 ORACLES = {}
@@ -109,3 +111,75 @@ def list_refresh(spark: SparkSession, sf: str) -> DataFrame:
     _finish(service.start(mail, available_now=True))
     latest = tables.read_latest(spark, service.table("list"), lists.LIST_SCHEMA)
     return latest.filter("list_type = 'blacklist'").groupBy("item_type").agg(F.count("*").alias("items"))
+
+
+_RUNS, _FILES = 6, 4
+
+
+def _feedback_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The feedback as a stream of ``_RUNS`` micro-batches: every sixth row in the first, and so on."""
+    path = new_path(spark, "feedback")
+    rows = view(spark, sf, "feedback").withColumn("run", F.col("seq") % _RUNS)
+    for run in range(_RUNS):
+        rows.where(F.col("run") == run).repartition(_FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+
+
+def _totals_log(spark: SparkSession, sf: str) -> DataFrame:
+    path = new_path(spark, "totals")
+    _finish(sj.start_to_table(state.sender_totals_stream(_feedback_runs(spark, sf)), path, available_now=True))
+    return spark.read.parquet(path)
+
+
+@query(_FB + f", {_HISTORY} SELECT sender_email, sender_domain, spam_count, ham_count, whitelist_count, blacklist_count FROM history")
+def sender_state_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals kept as state over six micro-batches."""
+    return state.latest_totals(_totals_log(spark, sf)).select("sender_email", "sender_domain", *fb.COUNTERS.values())
+
+
+@query(_FB + f""", per_run AS (SELECT lower(sender_email) AS sender_email, seq % {_RUNS} AS run, {_COUNTED} FROM feedback GROUP BY 1, 2),
+so_far AS (SELECT sender_email, run, spam_count AS new_spam, ham_count AS new_ham,
+  sum(spam_count + blacklist_count) OVER w AS spam, sum(ham_count + whitelist_count) OVER w AS ham
+  FROM per_run WINDOW w AS (PARTITION BY sender_email ORDER BY run))
+SELECT sender_email, 'blacklist' AS list_type, min(run) AS run FROM so_far WHERE new_spam > 0 AND spam >= 3 GROUP BY 1
+UNION ALL SELECT sender_email, 'whitelist' AS list_type, min(run) AS run FROM so_far WHERE new_ham > 0 AND ham >= 3 GROUP BY 1""")
+def auto_list_events_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch in which each sender comes onto a list, once."""
+    return state.list_events(_totals_log(spark, sf)).select("sender_email", "list_type", "run")
+
+
+@query(_FB + f"""SELECT seq, count(*) FILTER (feedback_type = 'is_spam') OVER w AS spam_count, count(*) FILTER (feedback_type = 'not_spam') OVER w AS ham_count,
+  count(*) FILTER (feedback_type = 'whitelist') OVER w AS whitelist_count, count(*) FILTER (feedback_type = 'blacklist') OVER w AS blacklist_count
+  FROM feedback WINDOW w AS (PARTITION BY lower(sender_email) ORDER BY seq % {_RUNS}, {_RANK}, seq DESC ROWS UNBOUNDED PRECEDING)""")
+def running_counters_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Each feedback with its sender's counters, which go on from batch to batch."""
+    root = new_path(spark, "running")
+    writer = _feedback_runs(spark, sf).writeStream.foreachBatch(state.running_counter_round(root))
+    _finish(writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    return tables.read_committed(spark, f"{root}/running").select("seq", *fb.COUNTERS.values())
+
+
+_COUNTED_METHODS = ", ".join(f"'{m}'" for m in fv.COUNTED_METHODS)
+
+
+@query(with_views("decisions", "feedback", "error_events") + f""", closed AS (
+  SELECT least((SELECT max(decided_at) FROM decisions), (SELECT max(feedback.at) FROM feedback), (SELECT max(error_events.at) FROM error_events)) - INTERVAL '2' DAY AS upto),
+per_method AS (SELECT CAST(decided_at AS DATE) AS day, method, count(*) AS n, count(*) FILTER (action = 'SPAM') AS s FROM decisions GROUP BY 1, 2),
+decided AS (SELECT day, sum(n) AS n, sum(s) AS s, coalesce(string_agg(method || '=' || n, ',' ORDER BY method) FILTER (method IN ({_COUNTED_METHODS})), '') AS methods
+  FROM per_method GROUP BY 1),
+fed AS (SELECT CAST(feedback.at AS DATE) AS day, count(*) AS n FROM feedback GROUP BY 1),
+failed AS (SELECT CAST(error_events.at AS DATE) AS day, count(*) AS n FROM error_events GROUP BY 1),
+days AS (SELECT day FROM decided UNION SELECT day FROM fed UNION SELECT day FROM failed)
+SELECT strftime(days.day, '%Y-%m-%d') AS day, CAST(coalesce(d.n, 0) AS BIGINT) AS emails_processed, CAST(coalesce(d.s, 0) AS BIGINT) AS spam_detected,
+  CAST(coalesce(d.n - d.s, 0) AS BIGINT) AS ham_detected, coalesce(f.n, 0) AS feedback_processed, coalesce(e.n, 0) AS errors, coalesce(methods, '') AS methods
+FROM days LEFT JOIN decided d ON d.day = days.day LEFT JOIN fed f ON f.day = days.day LEFT JOIN failed e ON e.day = days.day, closed
+WHERE days.day + INTERVAL '1' DAY <= closed.upto""")
+def closed_days_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """Three streams; each day comes once, when all of them have passed it by two days."""
+    path = new_path(spark, "days")
+    streams = [stream_view(spark, sf, "events", name) for name in ("decisions", "feedback", "error_events")]
+    _finish(sj.start_to_table(state.closed_days_stream(*streams), path, available_now=True))
+    methods = F.array_join(F.transform(F.map_entries("methods_used"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return spark.read.parquet(path).select(
+        F.col("day").cast("string").alias("day"), *[F.col(c) for c in ("emails_processed", "spam_detected", "ham_detected", "feedback_processed", "errors")],
+        methods.alias("methods"))
