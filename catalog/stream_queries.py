@@ -183,3 +183,23 @@ def closed_days_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select(
         F.col("day").cast("string").alias("day"), *[F.col(c) for c in ("emails_processed", "spam_detected", "ham_detected", "feedback_processed", "errors")],
         methods.alias("methods"))
+
+
+_FED = "sender_domain = 'example.com' AND msg_id % 3 = 0"
+
+
+@query(with_views("messages") + f"""SELECT msg_id, CASE WHEN sender_domain IN ('company.com', 'example.com') OR sender_email IN ('user8@gmail.com', 'user3@lottery.tk')
+    THEN 'KEEP' ELSE 'SPAM' END AS action,
+  CASE WHEN sender_domain IN ('company.com', 'example.com') OR sender_email IN ('user8@gmail.com', 'user3@lottery.tk')
+    THEN 'whitelist' ELSE 'blacklist' END AS method
+  FROM messages WHERE was_unread AND NOT ({_FED}) AND EXISTS (SELECT 1 FROM messages WHERE {_FED}) AND
+    (sender_domain IN ('company.com', 'example.com', 'lottery.tk') OR sender_email IN ('user8@gmail.com', 'user3@lottery.tk', 'user7@promo.click'))""")
+def list_refresh_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """Two rounds of the service: feedback of the first puts a domain onto the whitelist, which decides mail of the second."""
+    mail = view(spark, sf, "messages")
+    service = sj.MailService(spark, new_path(spark, "service"), view(spark, sf, "accounts"), as_of=as_of,
+                             config=EngineConfig(use_scorer_for_uncertain=False))
+    service.seed(view(spark, sf, "sender_list"))
+    service.round(mail.where(_FED).withColumn("folder", F.lit("FEEDBACK_WHITELIST")), 0)
+    service.round(mail.where(f"NOT ({_FED})"), 1)
+    return service.decisions().where("method IN ('whitelist', 'blacklist')").select("msg_id", "action", "method")

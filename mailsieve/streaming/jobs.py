@@ -81,10 +81,17 @@ def start_to_table(stream: DataFrame, path: str, mode: str = "append", available
 class MailService:
     """Poll for mail and feedback: each round learns from the feedback first, then classifies the mail.
 
-    Lists, history, overrides and cache are versioned tables under ``root``. Every round reads the newest
-    version, so a change shows in the next round. A round that is repeated after a failure reads the
-    versions that round started from and writes the same version numbers again, so results do not depend
-    on the failure.
+    Lists, history and cache are tables of change rows under ``root``: a round writes what it changes. Every round reads
+    the state of the rounds before, so a change shows in the next round. A round that is repeated after a failure reads
+    the versions that round started from and writes the same version numbers again, so results do not depend on the
+    failure.
+
+    Training samples come from feedback and from confident scorer verdicts, two pools. When a pool has
+    ``retrain_threshold`` samples since the training that last took it in, the forest is trained anew on all samples
+    with the senders' history; the model is committed by its record in ``retrains``. A round uses the newest committed
+    model, so running services take up a new one at the next round and a started one goes on with the last.
+
+    Mail rows with ``error`` set could not be read; they are counted as errors and not classified.
     """
 
     def __init__(self, spark: SparkSession, root: str, accounts: DataFrame, *, as_of: Callable[[], Column] = F.current_timestamp,
@@ -92,6 +99,7 @@ class MailService:
                  scorer: cascade.Scorer | None = None, provider: str = "openai"):
         self.spark, self.root, self.accounts, self.as_of = spark, root.rstrip("/"), accounts, as_of
         self.config, self.model, self.scorer, self.provider = config, model, scorer, provider
+        self.model_version: int | None = None
 
     def table(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -103,64 +111,129 @@ class MailService:
         return tables.read_latest(self.spark, self.table(name), schema, number)
 
     def seed(self, sender_list: DataFrame) -> None:
-        tables.write_version(sender_list.select(*lists.LIST_COLUMNS), self.table("list"), 0)
+        tables.write_changes(sender_list.select(*lists.LIST_COLUMNS).distinct(), self.table("list"), 0, list(lists.LIST_COLUMNS))
 
     def round(self, batch: DataFrame, number: int) -> None:
         """One micro-batch: mail rows (folder INBOX) and feedback rows (feedback folders) together."""
         batch = batch.persist()
         try:
-            feedback = fb.from_folders(batch, self.config).withColumns({"seq": F.col("msg_id"), "at": F.col("received_at")})
-            feedback = jobs.with_fingerprint(feedback)
-            learned = jobs.run_feedback(
-                feedback, self._before("list", lists.LIST_SCHEMA, number),
-                self._before("history", fb.HISTORY_SCHEMA, number), config=self.config)
-            tables.write_version(learned.sender_list, self.table("list"), number + 1)
-            tables.write_version(learned.history, self.table("history"), number + 1)
-            named = learned.samples.withColumn("sample_id", F.concat_ws("-", F.lit(str(number)), "msg_id"))
-            tables.write_version(named.select(*training.SAMPLE_COLUMNS), self.table("samples"), number + 1)
-            tables.write_version(
-                learned.rejected.select("msg_id", "account", "feedback_type", "list_type", "item_type", "raw_item"), self.table("rejects"), number + 1)
-            self.retrain_if_due(tables.read_latest(self.spark, self.table("samples"), version=number + 1), number)
-            known = verdicts.merge_cache(self._before("cache", tables.CACHE_SCHEMA, number), learned.overrides)
-            mail = batch.filter(fb.feedback_type(F.col("folder"), self.config).isNull())
+            failed = batch.where("error IS NOT NULL") if "error" in batch.columns else batch.limit(0)
+            read = batch.where("error IS NULL") if "error" in batch.columns else batch
+            known = self._learn(read, number)
+            mail = read.filter(fb.feedback_type(F.col("folder"), self.config).isNull())
             run = jobs.run_detection(
                 mail, tables.read_latest(self.spark, self.table("list"), lists.LIST_SCHEMA, number + 1), known, self.model,
                 tables.read_latest(self.spark, self.table("history"), fb.HISTORY_SCHEMA, number + 1), self.accounts,
-                as_of=self.as_of(), config=self.config, scorer=self.scorer, provider=self.provider)
-            began = time.perf_counter()
-            tables.write_version(run.decisions, self.table("decisions"), number + 1)
-            decided = tables.read_latest(self.spark, self.table("decisions"), version=number + 1)
-            each = (time.perf_counter() - began) / max(1, decided.count())
-            tables.write_version(jobs.decision_facts(decided, self.as_of(), each), self.table("facts"), number + 1)
-            entries = cascade.scorer_cache_entries(decided, self.as_of().cast("timestamp_ntz"))
-            tables.write_version(verdicts.merge_cache(known, entries), self.table("cache"), number + 1)
+                as_of=self.as_of(), config=self.config, scorer=self.scorer, provider=self.provider, failed=failed)
+            self._record(run, known, mail, failed, number)
         finally:
             batch.unpersist()
 
+    def _learn(self, read: DataFrame, number: int) -> DataFrame:
+        """What the round's feedback changes; the verdicts on file after it."""
+        feedback = fb.from_folders(read, self.config).withColumns({"seq": F.col("msg_id"), "at": F.col("received_at")})
+        feedback = jobs.with_fingerprint(feedback)
+        before = self._before("list", lists.LIST_SCHEMA, number)
+        senders = feedback.select(F.lower(F.coalesce("sender_email", F.lit(""))).alias("sender_email"))
+        prior = self.spark.createDataFrame([], fb.HISTORY_SCHEMA) if number == 0 else tables.read_state(
+            self.spark, self.table("history"), fb.HISTORY_SCHEMA, number, only=senders)
+        learned = jobs.run_feedback(feedback, before, prior, config=self.config)
+        columns = list(lists.LIST_COLUMNS)
+        tables.write_changes(learned.sender_list.join(before, columns, "left_anti"), self.table("list"), number + 1, columns)
+        tables.write_changes(learned.history, self.table("history"), number + 1, ["sender_email"])
+        named = learned.samples.withColumn("sample_id", F.concat_ws("-", F.lit(str(number)), "msg_id"))
+        tables.write_version(named.select(*training.SAMPLE_COLUMNS), self.table("samples"), number + 1)
+        tables.write_version(
+            learned.rejected.select("msg_id", "account", "feedback_type", "list_type", "item_type", "raw_item"), self.table("rejects"), number + 1)
+        tables.write_version(learned.summary, self.table("feedback_summaries"), number + 1)
+        self.retrain_if_due(number)
+        self._overrides = learned.overrides
+        return verdicts.merge_cache(self._before("cache", tables.CACHE_SCHEMA, number), learned.overrides)
+
+    def _record(self, run: jobs.DetectionRun, known: DataFrame, mail: DataFrame, failed: DataFrame, number: int) -> None:
+        began = time.perf_counter()
+        tables.write_version(run.decisions, self.table("decisions"), number + 1)
+        decided = tables.read_latest(self.spark, self.table("decisions"), version=number + 1)
+        each = (time.perf_counter() - began) / max(1, decided.count())
+        tables.write_version(jobs.decision_facts(decided, self.as_of(), each), self.table("facts"), number + 1)
+        tables.write_version(run.summary, self.table("summaries"), number + 1)
+        tables.write_version(failed.select(
+            F.col("msg_id").alias("seq"), self.as_of().cast("timestamp_ntz").alias("at"), F.lit("email_processing").alias("error_type"),
+            F.col("account")), self.table("errors"), number + 1)
+        sure = training.collect_scorer_samples(decided, self.config).join(known.select("fingerprint"), "fingerprint", "left_anti")
+        texts = mail.select("msg_id", "sender_email", "sender_domain", "subject", "body")
+        samples = texts.join(sure, "msg_id").withColumns({
+            "sample_id": F.concat_ws("-", F.lit("scorer"), "fingerprint"), "source": F.lit("scorer")})
+        tables.write_version(samples.select(*training.SAMPLE_COLUMNS), self.table("scorer_samples"), number + 1)
+        entries = cascade.scorer_cache_entries(decided, self.as_of().cast("timestamp_ntz"))
+        tables.write_changes(verdicts.merge_cache(self._overrides, entries), self.table("cache"), number + 1, ["fingerprint"])
+        for name in ("list", "history", "cache"):
+            tables.compact(self.spark, self.table(name))
+
     def start(self, mail: DataFrame, available_now: bool = False) -> StreamingQuery:
         writer = mail.writeStream.foreachBatch(self.round).option("checkpointLocation", self.table("checkpoint"))
         writer = writer.trigger(availableNow=True) if available_now else writer.trigger(
             processingTime=f"{self.config.poll_seconds} seconds")
         return writer.start()
 
+    def _all(self, name: str) -> DataFrame:
+        return tables.read_committed(self.spark, self.table(name))
+
     def decisions(self) -> DataFrame:
         """Decisions of all committed rounds."""
-        return tables.read_committed(self.spark, self.table("decisions")).drop("version")
+        return self._all("decisions").drop("version")
 
     def samples(self) -> DataFrame:
         """Training samples that feedback of all committed rounds has given."""
-        return tables.read_committed(self.spark, self.table("samples")).drop("version")
+        return self._all("samples").drop("version")
 
     def facts(self) -> DataFrame:
         """Decision facts of all committed rounds, for the statistics."""
-        return tables.read_committed(self.spark, self.table("facts")).drop("version")
-
-    def retrain_if_due(self, pending: DataFrame, number: int) -> None:
-        """Train on all samples when a round's new ones reach the threshold; later rounds use the new model."""
-        counted = training.retrain_due(pending.select(F.lit("feedback").alias("pool")), self.config).first()
-        if counted is None or not counted["due"]:
-            return
-        result, event = jobs.retrain(self.samples(), None, as_of=self.as_of(), config=self.config, model_path=self.table("model"))
-        tables.write_version(event, self.table("retrains"), number + 1)
-        if result.success:
-            self.model = result.model
+        return self._all("facts").drop("version")
+
+    def errors(self) -> DataFrame:
+        """Messages of all committed rounds that could not be read."""
+        return self._all("errors").drop("version")
+
+    def summaries(self) -> DataFrame:
+        """Totals for each account over all committed rounds."""
+        rows = self._all("summaries")
+        return rows.groupBy("account").agg(*[F.sum(c).alias(c) for c in rows.columns if c not in ("account", "version")])
+
+    #: the pools and how far back a round's training may look: scorer verdicts of the round itself come after it
+    POOLS = (("samples", "feedback_upto", 1), ("scorer_samples", "scorer_upto", 0))
+
+    def retrain_if_due(self, number: int) -> None:
+        """Take up the newest committed model, then train when a pool has reached the threshold since it was last
+        taken in. ``retrains`` records each training: its version, how far it took in each pool, and how it went."""
+        done = None
+        if tables.latest_version(self.spark, self.table("retrains")) is not None:
+            done = self._all("retrains").where(F.col("version") <= number).orderBy(F.desc("version")).first()
+        upto = {column: done[column] if done else 0 for _, column, _ in self.POOLS}
+        parts, due = [], False
+        for pool, column, last in self.POOLS:
+            if number + last < 1:
+                continue
+            rows = self._all(pool).where(F.col("version") <= number + last)
+            parts.append(rows.drop("version"))
+            fresh = rows.where(F.col("version") > upto[column]).select(F.lit(pool).alias("pool"))
+            counted = training.retrain_due(fresh, self.config).first()
+            if counted is not None and counted["due"]:
+                due, upto[column] = True, number + last
+        if due:
+            samples = parts[0]
+            for part in parts[1:]:
+                samples = samples.unionByName(part)
+            history = tables.read_latest(self.spark, self.table("history"), fb.HISTORY_SCHEMA, number + 1)
+            result, event = jobs.retrain(samples, history, as_of=self.as_of(), config=self.config, model_path=self._model_path(number + 1))
+            kept = number + 1 if result.success else done["model"] if done else None
+            event = event.withColumns({c: F.lit(v).cast("bigint") for c, v in upto.items()}).withColumn("model", F.lit(kept).cast("bigint"))
+            tables.write_version(event, self.table("retrains"), number + 1)
+            wanted = kept
+        else:
+            wanted = done["model"] if done else None
+        if wanted is not None and wanted != self.model_version:
+            self.model, self.model_version = tables.load_model(self.spark, self._model_path(wanted)), wanted
+
+    def _model_path(self, version: int) -> str:
+        return f"{self.table('model')}/version={version:010d}"

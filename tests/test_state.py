@@ -198,3 +198,60 @@ def test_closed_days_equal_daily_stats_and_late_rows_are_named(spark, tmp_path):
         if r.day in found and r.day not in late:
             assert found[r.day].asDict() == r.asDict()
     assert EngineConfig().auto_blacklist_threshold == 3
+
+
+MAIL = ("msg_id bigint, account string, folder string, sender_email string, sender_domain string, subject string, body string, "
+        "received_at timestamp_ntz, raw_headers map<string,array<string>>, was_unread boolean, error string")
+
+
+def service_of(spark, root, **kw):
+    from mailsieve.streaming import jobs as sj
+
+    accounts = spark.createDataFrame([("p", None)], "name string, spam_folder string")
+    config = EngineConfig(num_trees=5, max_depth=3, retrain_threshold=6, min_training_samples=4, marketing_confidence_threshold=2.0, ml_confidence_threshold=0.99)
+    return sj.MailService(spark, root, accounts, as_of=lambda: F.lit("2024-02-01 00:00:00").cast("timestamp_ntz"), config=config, **kw)
+
+
+def test_scorer_verdicts_of_several_rounds_train_a_model_that_a_new_service_takes_up(spark, tmp_path):
+    def mail(i, folder="INBOX", error=None):
+        spam = i % 2 == 1
+        return (i, "p", folder, f"u{i}@{'win.tk' if spam else 'y.de'}", "win.tk" if spam else "y.de", f"FREE PRIZE {i}" if spam else f"minutes {i}",
+                "claim your free cash" if spam else "see you at ten", T0, None, True, error)
+
+    def scorer(prompts):
+        return ['{"is_spam":%s,"confidence":%s}' % (("true", 0.9) if "FREE" in p else ("false", 0.8)) for p in prompts]
+
+    root = str(tmp_path)
+    service = service_of(spark, root, scorer=scorer)
+    service.seed(spark.createDataFrame([], "list_type string, item_type string, item string"))
+    service.round(spark.createDataFrame([mail(i) for i in range(1, 5)] + [mail(90, error="broken")], MAIL), 0)
+    service.round(spark.createDataFrame([mail(i) for i in range(5, 9)] + [mail(1)], MAIL), 1)
+    assert service.model is None
+    assert service._all("scorer_samples").count() == 8  # the message that comes again has a verdict on file
+    whitelisted = [mail(20, "FEEDBACK_WHITELIST"), mail(11, "FEEDBACK_NOT_SPAM")]
+    service.round(spark.createDataFrame(whitelisted, MAIL), 2)  # eight verdicts wait: due
+    assert service.model_version == 3
+    record = tables.read_latest(spark, service.table("retrains"), version=3).first()
+    assert record.success and (record.feedback_upto, record.scorer_upto, record.model) == (0, 2, 3)
+    errors = {r.account: (r.processed, r.errors) for r in service.summaries().collect()}
+    assert errors == {"p": (9, 1)} and service.errors().count() == 1
+
+    again = service_of(spark, root)  # started anew, without a scorer
+    again.round(spark.createDataFrame([mail(22)], MAIL), 3)
+    assert again.model_version == 3
+    assert tables.latest_version(spark, again.table("retrains")) == 3
+    last = again.decisions().where("msg_id = 22").first()
+    assert last.p_spam is not None and last.method == "whitelist"  # the domain y.de came onto the list in round 2
+    service.round(spark.createDataFrame(whitelisted, MAIL), 2)  # repeated after a failure
+    assert tables.read_latest(spark, service.table("history")).agg(F.sum("whitelist_count"), F.sum("ham_count")).first()[:] == (1, 1)
+
+
+def test_training_knows_the_senders_history(spark, tmp_path):
+    """Samples of senders with corrections get the weight of their history."""
+    from mailsieve.operators import training
+
+    history = spark.createDataFrame([("a@x.tk", "x.tk", 9, 0, 0, 0, T0, T0)], fb.HISTORY_SCHEMA)
+    samples = spark.createDataFrame([("1", "a@x.tk", "x.tk", "s", "b", True, "user_feedback")], "sample_id string, sender_email string, sender_domain string, subject string, body string, is_spam boolean, source string")
+    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    with_history, without = (training.weighted_features(samples, h, as_of=at).first() for h in (history, None))
+    assert with_history["weight"] >= without["weight"] and with_history.asDict() != without.asDict()
