@@ -21,7 +21,7 @@ length are digested whole, in the JVM. Empty table: no nodes. Columns other than
 No conversation, node or parent is one group of one task: conversations are numbered by ranges of their turns, rows
 meet the values of their conversation by (conversation, range), nodes are sums that combine before the shuffle, and
 parents with more than a thousandth of all nodes, fewer than a thousand of them, are broadcast. The digest of all ids
-that end in a node is sequential by definition; ids are sorted and joined in parallel, and one task streams the pieces.
+that end in a node is sequential by definition; ids are sorted and joined by ranges, and one task streams the pieces.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailsieve.llm.positions import sorted_rows
@@ -40,7 +40,7 @@ from mailsieve.plans.session import materialize
 P = (1 << 127) - 1
 #: depths that one copy of a conversation's values serves
 STRETCH = 10_000
-#: ids joined in one piece
+#: range of the ids that are joined in one piece
 PIECE = 8_192
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -84,39 +84,54 @@ def _prefix_products(base: int) -> Callable:
 
 
 _TURNS = "conv_id long, digest string, chars long, _part long, n long, product string, total long"
+_EARLY = "array<struct<place: long, digest: string, chars: long, total: long, print: string>>"
+_RANGES = f"conv_id long, _part long, n_turns long, n0 long, product0 string, total0 long, early {_EARLY}"
 
 
-def _ranges(turns: DataFrame, base: int) -> DataFrame:
-    """For each conversation and range: turns, product and characters of the ranges before it."""
-    last = turns.groupBy("conv_id", "_part").agg(F.max(F.struct("n", "product", "total")).alias("e")).select("conv_id", "_part", "e.*")
-    last = materialize(last, "ranges")
-    several = last.groupBy("conv_id").agg(F.count("*").alias("k")).where("k > 1").select("conv_id")
-    plain = ("0L AS n0", f"'{shown(0)}' AS product0", "0L AS total0")
+def _ranges(turns: DataFrame, at_most: int, base: int) -> DataFrame:
+    """For each conversation and range: the turns, product and characters of the ranges before it, and those of its
+    turns that may be among the conversation's first ``at_most``, with the prefix product of the conversation."""
+    early = F.struct(F.col("n").alias("place"), "digest", "chars", "total", F.col("product").alias("print"))
+    ranges = turns.groupBy("conv_id", "_part").agg(
+        F.max(F.struct("n", "product", "total")).alias("e"), F.sort_array(F.collect_list(F.when(F.col("n") <= at_most, early))).alias("early"))
+    whole = Window.partitionBy("conv_id")
+    ranges = ranges.select("conv_id", "_part", "e.*", "early", F.sum("e.n").over(whole).alias("n_turns"), F.count("*").over(whole).alias("k"))
+    ranges = materialize(ranges, "ranges")
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_part")
-        n = product = total = 0
-        out = []
-        for part, k, p, t in zip(rows["_part"].tolist(), rows["n"].tolist(), rows["product"].tolist(), rows["total"].tolist()):
-            out.append((rows["conv_id"].iloc[0], part, n, shown(product), total))
-            n, product, total = n + k, (product * pow(base, k, P) + int(p, 16)) % P, total + t
-        return pd.DataFrame(out, columns=["conv_id", "_part", "n0", "product0", "total0"])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if not rows:
+            return
+        for _, of_conv in pd.concat(rows).sort_values(["conv_id", "_part"]).groupby("conv_id", sort=False):
+            n = product = total = 0
+            out = []
+            for row in of_conv.itertuples(index=False):
+                moved = [{**t, "place": n + t["place"], "total": total + t["total"],
+                          "print": shown((product * pow(base, int(t["place"]), P) + int(t["print"], 16)) % P)} for t in row.early]
+                out.append((row.conv_id, row._1, row.n_turns, n, shown(product), total, moved))
+                n, product, total = n + row.n, (product * pow(base, row.n, P) + int(row.product, 16)) % P, total + row.total
+            yield pd.DataFrame(out, columns=["conv_id", "_part", "n_turns", "n0", "product0", "total0", "early"])
 
-    # at most two conversations reach beyond a range, so few have more than one; a group is as many rows as ranges
-    crossing = last.join(several, "conv_id", "left_semi").groupBy("conv_id").applyInPandas(
-        run, "conv_id long, _part long, n0 long, product0 string, total0 long")
-    return last.join(several, "conv_id", "left_anti").selectExpr("conv_id", "_part", *plain).unionByName(crossing)
+    plain = ranges.where("k = 1").selectExpr(
+        "conv_id", "_part", "n_turns", "0L AS n0", f"'{shown(0)}' AS product0", "0L AS total0", "early")
+    # a range has at most two conversations that go on in another one, so these are at most two rows a range
+    return plain.unionByName(ranges.where("k > 1").drop("k").repartition(1).mapInPandas(run, _RANGES))
 
 
 def _composed(base: int) -> Callable:
-    """Rows with a coefficient g -> fingerprints of the rebuilt prefix and of the one before: g B^n + product."""
+    """Rows of own turns -> fingerprints of the rebuilt prefix and of the one before: the base's head in the place of the
+    own head, then the ranges before, then the prefix within the range."""
     inverse = pow(base, -1, P)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found, parents = [], []
-            for g, n, product, d in zip(batch["g"].tolist(), batch["n"].tolist(), batch["product"].tolist(), batch["digest"].tolist()):
-                here = (int(g, 16) * pow(base, n, P) + int(product, 16)) % P
+            last, known = None, 0
+            for head, own, product0, k, n, product, d in zip(*(batch[c].tolist() for c in ("head", "own", "product0", "k", "n", "product", "digest"))):
+                if last != (head, own, product0, k):
+                    last = head, own, product0, k
+                    known = ((int(head, 16) - int(own, 16)) * pow(base, k, P) + int(product0, 16)) % P
+                here = (known * pow(base, n, P) + int(product, 16)) % P
                 found.append(shown(here))
                 parents.append(shown((here - turn_value(d)) * inverse % P))
             yield batch[["conv_id", "depth", "digest", "chars", "total", "length"]].assign(print=found, parent=parents)
@@ -124,21 +139,6 @@ def _composed(base: int) -> Callable:
     return run
 
 
-def _coefficients(base: int) -> Callable:
-    """g for the own turns of a conversation in one range: its base's head in the place of its own head, then the
-    ranges before."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for head, own, product0, n0, h in zip(batch["head"].tolist(), batch["own"].tolist(), batch["product0"].tolist(),
-                                                  batch["n0"].tolist(), batch["h"].tolist()):
-                change = int(head, 16) - int(own, 16)
-                found.append(shown((change * pow(base, n0 - h, P) + int(product0, 16)) % P))
-            yield batch[["conv_id", "_part", "h", "n0", "rise", "chars0", "length"]].assign(g=found)
-
-    return run
-
-
 _PREFIXES = "conv_id long, depth long, digest string, chars long, total long, length long, print string, parent string"
 
 
@@ -151,19 +151,13 @@ def prefixes(conversations: DataFrame, group: int, at_most: int, base: int) -> D
         F.col("conv_id").cast("long").alias("conv_id"), "turn", named.alias("digest"), F.length(text).cast("long").alias("chars"))
     turns = sorted_rows(rows, ["conv_id", "turn", "digest"], "turns",
                         lambda s: s.select("conv_id", "digest", "chars", "_part").mapInPandas(_prefix_products(base), _TURNS))
-    ranges = materialize(_ranges(turns, base), "ranges")
-
-    # the first turns of every conversation, by place; they lie in its first ranges
-    early = turns.where(F.col("n") <= at_most).join(ranges.where(F.col("n0") < at_most), ["conv_id", "_part"])
-    lift = F.struct((F.col("n0") + F.col("n")).alias("place"), "digest", "chars", (F.col("total0") + F.col("total")).alias("total"), "n", "product", F.col("product0"))
-    early = early.withColumn("turn", lift).where(F.col("turn.place") <= at_most)
-    heads = early.groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
-    sizes = turns.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.sum("chars").alias("n_chars"))
-    known = materialize(heads.join(sizes, "conv_id").mapInPandas(_head_products(base), _HEADS), "heads")
-
-    own = known.withColumns({"h": head_length(F.col("conv_id"), at_most), "base_id": F.col("conv_id") - F.pmod("conv_id", F.lit(group))})
-    bases = known.select(F.col("conv_id").alias("base_id"), F.col("turns").alias("base_turns"))
-    own = own.join(bases, "base_id", "left").withColumn("base_turns", F.coalesce("base_turns", F.array().cast(bases.schema["base_turns"].dataType)))
+    ranges = _ranges(turns, at_most, base)
+
+    early = ranges.where(F.col("n0") < at_most).select("conv_id", "n_turns", F.explode("early").alias("turn")).where(F.col("turn.place") <= at_most)
+    heads = early.groupBy("conv_id").agg(F.max("n_turns").alias("n_turns"), F.sort_array(F.collect_list("turn")).alias("turns"))
+    own = heads.withColumns({"h": head_length(F.col("conv_id"), at_most), "base_id": F.col("conv_id") - F.pmod("conv_id", F.lit(group))})
+    bases = heads.select(F.col("conv_id").alias("base_id"), F.col("turns").alias("base_turns"))
+    own = own.join(bases, "base_id", "left").withColumn("base_turns", F.coalesce("base_turns", F.array().cast(_EARLY)))
     own = own.withColumn("kept", F.least(F.col("h"), F.size("base_turns")))
 
     def at(array: str, place: Column, field: str, otherwise: Column) -> Column:
@@ -177,61 +171,18 @@ def prefixes(conversations: DataFrame, group: int, at_most: int, base: int) -> D
         "length": F.col("kept") + F.greatest(F.lit(0), F.col("n_turns") - F.col("h"))})
     own = materialize(own.select("conv_id", "h", "kept", "head", "own", "rise", "chars0", "length", "n_turns", "base_turns"), "rebuilt")
 
-    taken = own.select("conv_id", "length", F.explode(F.slice("base_turns", F.lit(1), F.col("kept"))).alias("t"))
-    shared = taken.select("conv_id", F.col("t.place").alias("depth"), "t.digest", "t.chars", "t.total", "length", "t.print", "t.parent")
+    taken = own.select("conv_id", "length", "base_turns", F.explode(F.slice("base_turns", F.lit(1), F.col("kept"))).alias("t"))
+    shared = taken.select("conv_id", F.col("t.place").alias("depth"), "t.digest", "t.chars", "t.total", "length", "t.print",
+                          at("base_turns", F.col("t.place").cast("int") - 1, "print", zero).alias("parent"))
     roots = own.select("conv_id", F.lit(0).cast("long").alias("depth"), F.lit("").alias("digest"), F.lit(0).cast("long").alias("chars"),
                        F.lit(0).cast("long").alias("total"), "length", zero.alias("print"), F.lit("").alias("parent"))
-    values = own.where("n_turns > h").select("conv_id", "h", "head", "own", "rise", "chars0", "length").join(ranges, "conv_id")
-    values = values.select("conv_id", "_part", "h", "head", "own", "rise", F.expr("chars0 + total0").alias("chars0"), "length", "n0", "product0")
-    values = values.mapInPandas(_coefficients(base), "conv_id long, _part long, h int, n0 long, rise long, chars0 long, length long, g string")
-    rest = turns.join(values, ["conv_id", "_part"]).where("n0 + n > h").select(
-        "conv_id", F.expr("n0 + n + rise").alias("depth"), "digest", "chars", F.expr("chars0 + total").alias("total"), "length", "g", "n", "product")
+    values = own.where("n_turns > h").select("conv_id", "h", "head", "own", "rise", "chars0", "length").join(ranges.drop("n_turns", "early"), "conv_id")
+    rest = turns.join(values, ["conv_id", "_part"]).where("n0 + n > h").selectExpr(
+        "conv_id", "n0 + n + rise AS depth", "digest", "chars", "chars0 + total0 + total AS total", "length", "head", "own", "product0",
+        "n0 - h AS k", "n", "product")
     return roots.unionByName(shared).unionByName(rest.mapInPandas(_composed(base), _PREFIXES))
 
 
-_HEADS = ("conv_id long, n_turns long, n_chars long, turns array<struct<place: long, digest: string, chars: long, "
-          "total: long, print: string, parent: string>>")
-
-
-def _head_products(base: int) -> Callable:
-    inverse = pow(base, -1, P)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for turns in batch["turns"]:
-                row = []
-                for t in turns:
-                    here = (int(t["product0"], 16) * pow(base, int(t["n"]), P) + int(t["product"], 16)) % P
-                    row.append({"place": t["place"], "digest": t["digest"], "chars": t["chars"], "total": t["total"],
-                                "print": shown(here), "parent": shown((here - turn_value(t["digest"])) * inverse % P)})
-                out.append(row)
-            yield batch[["conv_id", "n_turns", "n_chars"]].assign(turns=out)
-
-    return run
-
-
-def _joined_ids(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted (depth, print, conv_id) -> the ids of a node in pieces, in order."""
-    node, ids = None, []
-
-    def piece():
-        return pd.DataFrame({"depth": [node[0]], "print": [node[1]], "first": [ids[0]], "ids": [",".join(map(str, ids))]})
-
-    for batch in batches:
-        done = []
-        for depth, mark, conv in zip(batch["depth"].tolist(), batch["print"].tolist(), batch["conv_id"].tolist()):
-            if ids and ((depth, mark) != node or len(ids) == PIECE):
-                done.append(piece())
-                ids = []
-            node = depth, mark
-            ids.append(conv)
-        if done:
-            yield pd.concat(done)
-    if ids:
-        yield piece()
-
-
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sorted pieces -> one digest for each node."""
     node, state = None, None
@@ -251,11 +202,11 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def end_digests(rows: DataFrame) -> DataFrame:
     """depth, print, ends_sha256 of the nodes in which a conversation ends."""
-    order = ["depth", "print", "conv_id"]
-    ends = rows.where("depth = length").select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
-    pieces = ends.mapInPandas(_joined_ids, "depth long, print string, first long, ids string")
-    pieces = pieces.repartition("depth", "print").sortWithinPartitions("depth", "print", "first")
-    return pieces.mapInPandas(_digests, "depth long, print string, ends_sha256 string")
+    ends = rows.where("depth = length").withColumn("bucket", F.floor(F.col("conv_id") / F.lit(PIECE)))
+    ids = F.array_join(F.transform(F.sort_array(F.collect_list("conv_id")), lambda c: c.cast("string")), ",")
+    pieces = ends.groupBy("depth", "print", "bucket").agg(ids.alias("ids"))  # a bucket has at most PIECE different ids
+    pieces = pieces.repartition("depth", "print").sortWithinPartitions("depth", "print", "bucket")
+    return pieces.select("depth", "print", "ids").mapInPandas(_digests, "depth long, print string, ends_sha256 string")
 
 
 def _stretched(values: DataFrame) -> DataFrame:
@@ -264,13 +215,9 @@ def _stretched(values: DataFrame) -> DataFrame:
 
 def nodes_of(rows: DataFrame) -> DataFrame:
     """The nodes of ``prefixes``. Raises ``Collision`` if a fingerprint stands for different turns."""
-    first = F.min(F.struct("conv_id", "total", "chars", "length")).alias("first")
-    nodes = rows.groupBy("depth", "print").agg(
-        first, F.min("digest").alias("low"), F.max("digest").alias("high"), F.max(F.col("length") > F.col("depth")).alias("inner"))
-    nodes = materialize(nodes, "nodes")
-    if not nodes.where("low <> high").isEmpty():
-        raise Collision
-    owned = nodes.groupBy(F.col("first.conv_id").alias("conv_id")).agg(
+    first = F.min(F.struct("conv_id", "total", "chars")).alias("first")
+    owners = rows.groupBy("depth", "print").agg(first, F.max(F.col("length") > F.col("depth")).alias("inner"))
+    owned = owners.groupBy(F.col("first.conv_id").alias("conv_id")).agg(
         F.min(F.struct("depth", (F.col("first.total") - F.col("first.chars")).alias("before"))).alias("a"),
         F.max((~F.col("inner")).cast("long")).alias("leaf"))
     # a conversation that owns nothing owns from beyond its end
@@ -284,8 +231,12 @@ def nodes_of(rows: DataFrame) -> DataFrame:
     saved = F.greatest(F.lit(0), F.col("before") - F.col("total") + F.col("chars"))
     found = at.groupBy("depth", "print").agg(
         F.min("conv_id").alias("conv_id"), F.min("parent").alias("parent"), F.count("*").alias("n_convs"),
-        F.sum(child.cast("long")).alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum(saved).alias("saved_tokens"))
-    return materialize(found, "nodes")
+        F.sum(child.cast("long")).alias("n_children"), F.sum("leaf").alias("n_leaves"), F.sum(saved).alias("saved_tokens"),
+        F.min("digest").alias("low"), F.max("digest").alias("high"))
+    found = materialize(found, "nodes")
+    if not found.where("low <> high").isEmpty():
+        raise Collision
+    return found.drop("low", "high")
 
 
 def _with_parents(nodes: DataFrame) -> DataFrame:
