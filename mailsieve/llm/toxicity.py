@@ -13,7 +13,11 @@ Only a bounded sample of labelled rows is learned from: the ``most_labelled`` ro
 hash of the doc_id. Everything else covers all rows and whole texts. The model is bounded by ``most_features`` and by
 the alphabet, whatever the size of the data, so it is sent to the tasks as it is.
 
-Missing or empty texts score as texts without toxic words. Without rows of both labels the score is the share of
+A word can score only if its lattice has a path to a feature, which a walk through a trie of the features finds before
+anything is decoded; only words that pass are.
+
+Missing or empty texts score as texts without toxic words. Texts of any length are scored whole; time is linear in the
+length of a word, memory grows with its square root where masks follow each other. Other columns stay as they are. Without rows of both labels the score is the share of
 toxic ones (one half without any). Repeated rows are scored each; a doc_id with several labels counts for each.
 """
 
@@ -62,7 +66,9 @@ _EDGES = ".,;:!?\"'()[]{}<>…%&#~^`«»„“”‚‘’|*=/\\"
 _MARKS = "".join(c for c in _EDGES if c not in LOOKS_LIKE and c != ANY_LETTER)
 #: Words with more than one path, or with marks inside: leet or masked characters, equal letters side by side.
 _ODD = re.compile(rf"[{re.escape(''.join(LOOKS_LIKE) + ANY_LETTER)}]|([^\W\d_])\1|[^\W_][\W_]+[^\W_]")
-_REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
+_REPEATED = re.compile(r"([^\W\d_])\1{3,}")
+#: Three masks with no letter between them: more states than a dictionary serves well.
+_MASKED_RUN = re.compile(r"\*(?:[^\w*]*\*){2}")
 _SPACED = re.compile(r"(?:(?<=\s)|^)\S(?:\s++\S){2,}(?=\s|$)", re.MULTILINE)
 
 
@@ -102,8 +108,9 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
 class Channel:
     """Restores written words: a source of letters (trigram model) seen through a channel of substitutions."""
 
-    SUBSTITUTED, DROPPED_MARK, DROPPED_LEET, DROPPED_REPEAT, MASKED = 0.7, 0.7, 9.0, 2.5, 2.0
-    BEAM = 48
+    SUBSTITUTED, DROPPED_MARK, DROPPED_LEET, DROPPED_REPEAT, MASKED, DROPPED_MASK = 0.7, 0.7, 9.0, 2.5, 2.0, 5.0
+    #: steps between two stored rows of costs where all states are kept in arrays
+    BLOCK = 256
 
     def __init__(self, counts: np.ndarray):
         cube = counts.reshape(_SIZE, _SIZE, _SIZE).astype(np.float64)
@@ -114,6 +121,11 @@ class Channel:
         self.flat = self.cost.ravel().tolist()
         self.known_readings: dict[tuple[str, bool], list[tuple[str, int, float]]] = {}
 
+    def lattice(self, written: str) -> list[list[tuple[str, int, float]]]:
+        """The readings of each character. More than three equal letters count as three; masks never do."""
+        written = _REPEATED.sub(r"\1\1\1", written)
+        return [self._coded(c, before) for before, c in zip(["", *written], written)]
+
     def _coded(self, c: str, before: str) -> list[tuple[str, int, float]]:
         """Readings with the letter's code, -1 for none."""
         out = self.known_readings.get(key := (c, c == before))
@@ -129,19 +141,18 @@ class Channel:
             out = [(x, self.SUBSTITUTED) for x in LOOKS_LIKE[c]]
             return [*out, ("", self.DROPPED_REPEAT if c == before else self.DROPPED_LEET)]
         if c == ANY_LETTER:
-            return [*((x, self.MASKED) for x in _LETTERS[:26]), ("", self.MASKED)]
+            return [*((x, self.MASKED) for x in _LETTERS[:26]), ("", self.DROPPED_MASK)]
         return [("", self.DROPPED_MARK)]
 
     def restore(self, written: str) -> str:
-        """The cheapest reading. A state is the last two letters; the ``BEAM`` cheapest go on, which matters only
-        where masked letters follow each other. Longer repetitions count as three, so time is linear in the length."""
-        written = _REPEATED.sub(r"\1\1\1", written)
+        """The cheapest reading. A state is the last two letters. All states go on: few without masks, up to 64 x 64
+        where masked letters follow each other, and then in arrays."""
+        steps = self.lattice(written)
+        if _MASKED_RUN.search(written):
+            return self._restore_masked(steps)
         cost = self.flat
         states: dict[int, tuple[float, tuple | None]] = {0: (0.0, None)}  # by both codes in one number
-        before = ""
-        for c in written:
-            readings = self._coded(c, before)
-            before = c
+        for readings in steps:
             after: dict[int, tuple[float, tuple | None]] = {}
             for state, (paid, path) in states.items():
                 for letter, k, price in readings:
@@ -152,7 +163,7 @@ class Channel:
                         to, total = state, paid + price
                     if to not in after or total < after[to][0]:
                         after[to] = total, (path, letter) if k >= 0 else path
-            states = after if len(after) <= self.BEAM else dict(heapq.nsmallest(self.BEAM, after.items(), key=lambda s: s[1][0]))
+            states = after
         path = min(states.items(), key=lambda s: s[1][0] + cost[s[0] << 6])[1][1]
         letters = []
         while path is not None:
@@ -160,6 +171,55 @@ class Channel:
             letters.append(letter)
         return "".join(reversed(letters))
 
+    def _step(self, paid: np.ndarray, readings: list[tuple[str, int, float]]) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of all states (letter before, last letter) after a character, and where each comes from: the letter
+        before the two, or -1 where nothing was read."""
+        after, back = np.full((_SIZE, _SIZE), np.inf), np.full((_SIZE, _SIZE), -1, np.int8)
+        letters = [(k, price) for _, k, price in readings if k >= 0]
+        for _, k, price in readings:
+            if k < 0:
+                after = paid + price
+        if letters:
+            codes, prices = np.array([k for k, _ in letters]), np.array([p for _, p in letters])
+            live = np.isfinite(paid)
+            one, two = np.flatnonzero(live.any(axis=1)), np.flatnonzero(live.any(axis=0))
+            ways = paid[np.ix_(one, two)][:, :, None] + self.cost[np.ix_(one, two, codes)]
+            best = ways.argmin(axis=0)
+            total = np.take_along_axis(ways, best[None], axis=0)[0] + prices
+            at = np.ix_(two, codes)
+            better = total < after[at]
+            after[at] = np.where(better, total, after[at])
+            back[at] = np.where(better, one[best], -1)
+        return after, back
+
+    def _restore_masked(self, steps: list[list[tuple[str, int, float]]]) -> str:
+        """Costs are stored every ``BLOCK`` steps; on the way back a block is computed again, so a long word needs
+        little memory."""
+        paid = np.full((_SIZE, _SIZE), np.inf)
+        paid[0, 0] = 0.0
+        stored, backs = [], []
+        for i, readings in enumerate(steps):
+            if i % self.BLOCK == 0:
+                stored.append(paid)
+                backs = []
+            paid, back = self._step(paid, readings)
+            backs.append(back)
+        before, last = divmod(int((paid + self.cost[:, :, 0]).argmin()), _SIZE)
+        letters = []
+        for block in reversed(range(len(stored))):
+            inside = steps[block * self.BLOCK:(block + 1) * self.BLOCK]
+            if block < len(stored) - 1:  # the last block's are still there
+                paid, backs = stored[block], []
+                for readings in inside:
+                    paid, back = self._step(paid, readings)
+                    backs.append(back)
+            for readings, back in zip(reversed(inside), reversed(backs)):
+                earlier = int(back[before, last])
+                if earlier >= 0:
+                    letters.append(next(x for x, k, _ in readings if k == last))
+                    before, last = earlier, before
+        return "".join(reversed(letters))
+
 
 def features_of(word: str) -> list[str]:
     """The whole word, marked by a closing blank, and its prefixes of 3 to 8 letters."""
@@ -171,13 +231,18 @@ class Reader:
     """The restored words of texts."""
     channel: Channel
 
-    def readings(self, token: str) -> tuple[str, ...]:
+    def written(self, token: str) -> tuple[tuple[str, ...], list[str]]:
+        """The word as it stands, if it is one, and the forms of the token that may hide one. Masks alone hide none."""
         plain = token.strip(_EDGES)
         found = (plain,) if plain and plain[0].isalpha() or plain[1:2].isalpha() else ()
-        for written in dict.fromkeys((plain, token.strip(_MARKS))):  # edges like "!" and "*" may be letters, too
-            if _ODD.search(written):
-                restored = self.channel.restore(written)
-                found = (*found, restored) if restored and restored not in found else found
+        forms = dict.fromkeys((plain, token.strip(_MARKS)))  # edges like "!" and "*" may be letters, too
+        return found, [f for f in forms if _ODD.search(f) and any(c.isalpha() or c in LOOKS_LIKE for c in f)]
+
+    def readings(self, token: str) -> tuple[str, ...]:
+        found, forms = self.written(token)
+        for form in forms:
+            restored = self.channel.restore(form)
+            found = (*found, restored) if restored and restored not in found else found
         return found
 
     def tokens(self, text: str | None) -> tuple[set[str], list[str]]:
@@ -209,27 +274,77 @@ def pooled(scores: list[float], n_tokens: int) -> list[float]:
     return [*top, *[0.0] * (3 - len(top)), math.log1p(len(scores)), len(scores) / (n_tokens + 20.0) * 10]
 
 
+class FeatureTrie:
+    """The features as a trie: which lattices have a path to one at all."""
+
+    def __init__(self, features):
+        self.children: list[dict[str, int]] = [{}]
+        self.prefix, self.whole = [False], [False]
+        for feature in features:
+            at = 0
+            for letter in feature.rstrip(" "):
+                nxt = self.children[at].get(letter)
+                if nxt is None:
+                    nxt = self.children[at][letter] = len(self.children)
+                    self.children.append({})
+                    self.prefix.append(False)
+                    self.whole.append(False)
+                at = nxt
+            (self.whole if feature.endswith(" ") else self.prefix)[at] = True
+
+    def reached(self, steps: list[list[tuple[str, int, float]]]) -> bool:
+        """Whether any path, cheapest or not, has a feature: without one the word's score is 0 whatever it restores to."""
+        nodes, children, prefix = {0}, self.children, self.prefix
+        for readings in steps:
+            after = set()
+            for letter, k, _ in readings:
+                if k < 0:
+                    after |= nodes
+                    continue
+                for node in nodes:
+                    to = children[node].get(letter)
+                    if to is not None:
+                        if prefix[to]:
+                            return True
+                        after.add(to)
+            if not after:
+                return False
+            nodes = after
+        return any(self.whole[n] for n in nodes)
+
+
 class Scorer:
+    """Scores of texts. Word scores are remembered in two generations of ``remembered`` / 2: when the young one is full
+    it becomes the old one, and what was not looked up since is forgotten."""
+
     def __init__(self, model: ToxicityModel, remembered: int = 250_000):
         self.reader, self.odds, self.weights = Reader(Channel(model.counts)), model.odds, model.weights
+        self.trie = FeatureTrie(model.odds)
         self.known: dict[str, float] = {}
-        self.remembered = remembered
+        self.old: dict[str, float] = {}
+        self.remembered = remembered // 2
 
     def word(self, word: str) -> float:
         get = self.odds.get
         return max((get(f, 0.0) for f in features_of(word)), default=0.0)
 
     def _token(self, token: str) -> float:
-        found = max(map(self.word, self.reader.readings(token)), default=0.0)
+        """Of a token without the marks around it."""
+        found = self.old.get(token)
+        if found is None:
+            plain, forms = self.reader.written(token)
+            channel = self.reader.channel
+            words = [*plain, *(channel.restore(f) for f in forms if self.trie.reached(channel.lattice(f)))]
+            found = max(map(self.word, words), default=0.0)
         if len(self.known) >= self.remembered:
-            self.known.clear()
+            self.old, self.known = self.known, {}
         self.known[token] = found
         return found
 
     def pooled(self, text: str | None) -> list[float]:
         tokens, runs = self.reader.tokens(text)
         known, new = self.known.get, self._token
-        scores = [s for t in tokens if (s := new(t) if (k := known(t)) is None else k)]
+        scores = [s for t in tokens if (s := new(c) if (k := known(c := t.strip(_MARKS))) is None else k)]
         for run in runs:
             best = max((self.word(run[i:i + 24]) for i in range(max(1, len(run) - 2))), default=0.0)
             if best:
@@ -325,8 +440,10 @@ def learn(docs: DataFrame, labels: DataFrame, may_learn: Column, rules: Toxicity
     return ToxicityModel(counts, found, weights)
 
 
-def score(docs: DataFrame, model: ToxicityModel, rules: ToxicityRules = ToxicityRules()) -> DataFrame:
-    """``docs`` with score (0 to 1) and predicted (1 from 0.5 on); only texts go to Python, one number comes back."""
+def score(docs: DataFrame, model: ToxicityModel, rules: ToxicityRules = ToxicityRules(), output: str = "score",
+          predicted: str = "predicted") -> DataFrame:
+    """``docs`` with the columns ``output`` (0 to 1) and ``predicted`` (1 from 0.5 on), which take the place of columns
+    of these names; only texts go to Python, one number comes back."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -336,5 +453,5 @@ def score(docs: DataFrame, model: ToxicityModel, rules: ToxicityRules = Toxicity
         for batch in batches:
             yield pd.Series([scorer.score(t) for t in batch], dtype="float64")
 
-    scored = docs.drop("score", "predicted").withColumn("score", run(F.col("text").cast("string")))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = docs.drop(output, predicted).withColumn(output, run(F.col("text").cast("string")))
+    return scored.withColumn(predicted, (F.col(output) >= 0.5).cast("int"))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from mailsieve.llm import bpe, components, lm, main_text, near, packing, quality, toxicity
 
@@ -136,6 +137,69 @@ def test_reader_and_score_decode_every_odd_word():
     assert {"clown"} <= reader.words("clown!") and reader.words("--- ...") == set()
 
 
+def _counts(text):
+    counts = np.zeros(64 ** 3, np.int64)
+    code = toxicity._TABLE[np.frombuffer(text.encode("utf-32-le"), np.uint32)].astype(int)
+    np.add.at(counts, (code[:-2] << 12) | (code[1:-1] << 6) | code[2:], 1)
+    return counts
+
+
+def test_masked_letters_all_come_back():
+    channel = toxicity.Channel(_counts(" the idiot is here " * 50))
+    for written in ("i***t", "i****", "*d***", "1****", "i*-*-*t"):
+        assert channel.restore(written) == "idiot", written
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(channel_counts := _counts(" the idiot is here " * 50), {"idiot ": 5.0}, np.array([-3.0, 1, 0, 0, 0, 0])))
+    assert channel_counts.sum() and all(scorer.score(f"so {w} here") > 0.5 for w in ("i****", "1d107", "i***t", "(i****)"))
+    assert all(scorer.score(t) < 0.5 for t in ("so **** here", "*****", "so it is *here* and ***there***"))
+
+
+def _cheapest(channel, written):
+    """The least cost over all paths, one by one."""
+    def walk(steps, one, two, paid):
+        if not steps:
+            return paid + channel.cost[one, two, 0]
+        return min(walk(steps[1:], two, k, paid + price + channel.cost[one, two, k]) if k >= 0 else walk(steps[1:], one, two, paid + price)
+                   for _, k, price in steps[0])
+    return walk(channel.lattice(written), 0, 0, 0.0)
+
+
+def _least_cost_of(channel, written, restored):
+    """The least cost among the paths that read ``restored``."""
+    def walk(steps, rest, one, two, paid):
+        if not steps:
+            return paid + channel.cost[one, two, 0] if not rest else np.inf
+        return min((walk(steps[1:], rest[1:], two, k, paid + price + channel.cost[one, two, k]) if k >= 0 else walk(steps[1:], rest, one, two, paid + price)
+                    for x, k, price in steps[0] if k < 0 or rest[:1] == x), default=np.inf)
+    return walk(channel.lattice(written), restored, 0, 0, 0.0)
+
+
+def test_decoding_finds_the_cheapest_of_all_paths():
+    channel = toxicity.Channel(_counts(" the idiot is stupid a moron and shit pathetic worthless clown is here all day for the loser " * 50))
+    rng = random.Random(8)
+    words = ["i***t", "***", "1d107", "st**id", "**1**", "a-b-*", "mm00rr", "$h!7", "1|1!"] + ["".join(rng.choices("abt1!*-s0", k=rng.randint(1, 6))) for _ in range(60)]
+    for written in words:
+        if written.count("*") <= 3:
+            best = _cheapest(channel, written)
+            assert _least_cost_of(channel, written, channel.restore(written)) == pytest.approx(best, abs=1e-3), written
+            assert _least_cost_of(channel, written, channel._restore_masked(channel.lattice(written))) == pytest.approx(best, abs=1e-3), written
+
+
+def test_long_masked_words_need_blocks_and_words_without_a_path_to_a_feature_score_nothing():
+    channel = toxicity.Channel(_counts(" the idiot is here " * 50))
+    written = "i***t" * 150  # 750 characters: three blocks
+    channel.BLOCK = 10_000
+    whole = channel.restore(written)
+    channel.BLOCK = 64
+    assert channel.restore(written) == whole and whole.startswith("idiot")
+    features = {"idiot ": 4.0, "stup": 3.0, "mor": 2.0}
+    scorer = toxicity.Scorer(toxicity.ToxicityModel(_counts(" the idiot is stupid a moron here letter " * 50), features, np.array([-3.0, 1, 0, 0, 0, 0])))
+    rng = random.Random(2)
+    words = ["letter", "1d10t", "stuupid", "mooron", "m0r", "id1ots", "1d10", "s*upid", "book", "100", "***"] + ["".join(rng.choices("idotsup1!0m", k=rng.randint(1, 7))) for _ in range(300)]
+    for word in words:
+        restored = [*scorer.reader.written(word)[0], *map(scorer.reader.channel.restore, scorer.reader.written(word)[1])]
+        assert scorer._token(word) == max(map(scorer.word, restored), default=0.0)
+
+
 def test_toxicity_learns_and_scores_held_out_rows(spark, sf):
     larger = sf.replace("sf0.001", "sf0.01")  # a few dozen toxic rows
     table, labels = (spark.read.parquet(f"{larger}/{n}.parquet") for n in ("documents", "labels"))
@@ -214,8 +278,8 @@ def test_packing_loses_and_repeats_nothing(spark, vocabulary):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["alpha", "Beta", "gamma,", "délta", "1234"], k=rng.choice([0, 1, 30, 200, 900]))) for _ in range(300)]
     rows = pieces_of(spark, vocabulary, docs(spark, *texts).repartition(5), size=256, open_windows=8, groups=3)
-    ids = packing.library_ids(vocabulary)
-    whole = {i: ids(t) + b"\0\0\0\0" for i, t in enumerate(texts)}
+    library = Tokenizer.from_file(vocabulary)
+    whole = {i: np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes() for i, t in enumerate(texts)}
     got, windows = collections.defaultdict(list), collections.defaultdict(list)
     for r in rows:
         got[r.doc_id].append((r.start, r.length))
@@ -231,6 +295,15 @@ def test_packing_loses_and_repeats_nothing(spark, vocabulary):
     assert sum(256 - sum(n for _, n in w) for w in windows.values()) <= 0.02 * sum(len(b) // 4 for b in whole.values()) + 256
 
 
+def test_packing_uses_the_librarys_ids(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)  # so that both generations are used up
+    rng = random.Random(6)
+    library, ids = Tokenizer.from_file(vocabulary), packing.LibraryIds(vocabulary)
+    letters = ["a", "the", "Ü", "\n", "\n\n", " ", "  ", "\t", ".", ",\n", "'s", "12", "…", "日本", "\u00a0", "\x1c", "👍", "end.\nNext", "can't", "<|endoftext|>"]
+    for text in [t for _, t in EDGES if t] + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(1500)]:
+        assert ids(text) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_edges(spark, vocabulary):
     rows = pieces_of(spark, vocabulary, docs(spark, *EDGES))
     ids = packing.library_ids(vocabulary)
