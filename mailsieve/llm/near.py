@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.components import components
@@ -270,8 +270,17 @@ def _windows_of(rules: JaccardRules):
     return run
 
 
-def near_classes(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataFrame:
-    """doc_id, class_id and n_links for each row of ``docs`` (doc_id, text)."""
+def node_of(text: Column) -> Column:
+    """The hash of the normal text that stands for all copies of it; null without words."""
+    @F.pandas_udf("long")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([_node(n) if (n := _normal(t)) else None for t in texts], dtype="Int64")
+
+    return run(text.cast("string"))
+
+
+def near_classes(docs: DataFrame, rules: JaccardRules = JaccardRules(), with_node: bool = False) -> DataFrame:
+    """doc_id, class_id and n_links for each row of ``docs`` (doc_id, text), on request also its ``node``."""
     signed = materialize(signatures(docs, rules), "signatures")
     texts = signed.where("node IS NOT NULL AND doc_id IS NOT NULL")
     nodes = texts.groupBy("node").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
@@ -303,5 +312,5 @@ def near_classes(docs: DataFrame, rules: JaccardRules = JaccardRules()) -> DataF
         "node", F.coalesce("class", "first").alias("class"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
     known = materialize(known, "classes")  # so that the join below is a plain one, which adaptive execution can split
     return signed.select("doc_id", "node").join(known, "node", "left").select(
-        "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"),
+        *(["node"] if with_node else []), "doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("class_id"),
         F.when(F.col("doc_id").isNotNull(), F.coalesce("n", F.lit(0))).otherwise(0).cast("long").alias("n_links"))

@@ -26,7 +26,7 @@ def test_queries_match_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - set(queries.ORACLES)))
 def test_queries_return_every_row(spark, sf, name):
     frame = queries.QUERIES[name](spark, sf)
-    key = "page_id" if "page_id" in frame.columns else "doc_id"
+    key = "page_id" if "page_id" in frame.columns else "doc_id"  # the others are compared with SQL
     source = "pages" if key == "page_id" else "documents"
     want = sorted(r[0] for r in spark.read.parquet(f"{sf}/{source}.parquet").select(key).collect())
     got = [r[0] for r in frame.select(key).collect()]
@@ -73,3 +73,20 @@ def test_stages_take_missing_values_and_empty_tables(spark, sf):
     assert set(counts["packing"]) == {1, None, 3, 4, 5, 6}
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame.limit(0), sf).collect() == []
+
+
+def test_stages_keep_own_columns_and_judge_shared_ids_by_text(spark, sf):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(5, a, 7.5, 1, "p"), (5, b, 7.5, 0, "q"), (3, b + " end", 7.5, 1, "r"), (5, a, 7.5, 1, "p"), (9, "", 7.5, 1, "s"), (9, b, 7.5, 1, "t")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, score double, predicted int, _score string").selectExpr(
+        "*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, frame, sf)
+    assert clean.columns == frame.columns and sorted(map(str, clean.collect())) == sorted(map(str, frame.collect()))
+    kept = stages["n-gram Jaccard join"](spark, frame, sf)
+    assert kept.columns == frame.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, a), (3, b + " end"), (9, "")])
+
+
+def test_stages_are_in_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "toxicity", "n-gram Jaccard join", "packing"]
