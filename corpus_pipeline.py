@@ -8,6 +8,7 @@ good: without an id they belong to no group of copies.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mailsieve.llm import near, quality, toxicity
 from mailsieve.llm.queries import may_learn, packed, small_batches, table
@@ -21,17 +22,25 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose restored text is not predicted to be toxic."""
+    """Documents whose restored text is not predicted to be toxic. Their own columns stay as they are, whatever their names."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), may_learn())
-    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+    names = {n: next(m for m in (f"_{n}{'_' * i}" for i in range(len(docs.columns) + 1)) if m not in docs.columns) for n in ("score", "toxic")}
+    judged = toxicity.score(docs, model, output=names["score"], predicted=names["toxic"])
+    return judged.where(F.col(names["toxic"]) == 0).select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id; of repeated rows of it one."""
+    """Of each class of near duplicates one row: that with the least doc_id. Where rows share a doc_id and not the
+    class, each is judged by its own text."""
     small_batches(spark)
-    classes = near.near_classes(docs)
-    stay = classes.where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    classes = materialize(near.near_classes(docs, with_node=True).where("doc_id IS NOT NULL"), "classes")
+    first = classes.where("doc_id = class_id").select("doc_id", F.col("node").alias("_node")).distinct()
+    shared = classes.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id")
+    plain = docs.join(first.select("doc_id").distinct().join(shared, "doc_id", "left_anti"), "doc_id", "left_semi")
+    rows = docs.join(shared, "doc_id", "left_semi").select(
+        F.struct(*docs.columns).alias("row"), "doc_id", near.node_of(F.col("text")).alias("node"))
+    judged = rows.join(first, (rows["doc_id"] == first["doc_id"]) & rows["node"].eqNullSafe(first["_node"]), "left_semi")
+    named = plain.unionByName(judged.select("row.*")).dropDuplicates(["doc_id"])
     return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
