@@ -17,15 +17,17 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.bpe import byte_letters, pieces
+from mailsieve.llm.bpe import PATTERN, byte_letters, pieces
 from mailsieve.llm.remember import kept
 from mailsieve.plans.session import materialize
 
@@ -54,20 +56,31 @@ class LibraryIds:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _word(self, word: str) -> bytes:
+        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        return array("I", [t.id for t in tokens]).tobytes()
+
     def _new(self, piece: str) -> bytes:
+        """The ids of a piece that is not in the young generation. A piece of several words, as lines joined by their
+        breaks are, is seldom seen again; only its words are remembered."""
         found = self.old.get(piece)
-        if found is not None:
-            pass
-        elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-            found = np.array(ids, "<u4").tobytes()
-        elif piece[-1] in ".,;:" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-            found = b"".join([self.known.get(p) or self._new(p) for p in (piece[:-1], piece[-1])])
-        else:
-            found = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        if found is None:
+            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                found = self._word(piece)
+            else:
+                marked = piece[-1] in ".,;:" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha())
+                words = [piece[:-1], piece[-1]] if marked else self.cut(piece)
+                if len(words) == 1:
+                    found = self._word(piece)
+                else:
+                    known = self.known
+                    found = b"".join([known.get(w) or self._new(w) for w in words])
+                    if len(words) > 2:
+                        return found
         if len(self.known) >= REMEMBERED:
             self.old, self.known = self.known, {}
         self.known[piece] = found
