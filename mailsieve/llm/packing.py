@@ -56,12 +56,17 @@ class LibraryIds:
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
+        self.blank = byte_letters()[32]
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))
+        if word[1:].isalpha() and word.isascii():  # letters stand for themselves
+            letters = self.blank + word[1:] if word[0] == " " else word
+        else:
+            letters = word.encode().decode("latin-1").translate(self.letters)
+        tokens = self.model.tokenize(letters)
         return array("I", [t.id for t in tokens]).tobytes()
 
     def _new(self, piece: str) -> bytes:
