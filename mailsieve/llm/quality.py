@@ -1,15 +1,18 @@
 """Quality rules: fixed limits, then robust multivariate outliers by language and source.
 
 ``text_statistics`` measures every whole text. ``with_verdict`` estimates, for each language and source, the centre and
-the scatter of the transformed statistics by the minimum covariance determinant: starting from medians, it repeatedly
-keeps the closest three quarters of the rows, re-estimates from them and measures anew. Rows whose Mahalanobis distance
-exceeds the limit are rejected.
+the scatter of the transformed statistics by the minimum covariance determinant. Three starts (medians and quartiles,
+all rows, rows drawn to the unit ellipsoid about the medians) are each followed by concentration steps: the closest
+three quarters of the rows are kept, centre and scatter are estimated from them and all rows are measured anew, until
+the determinant stops falling. The estimate of least determinant counts. Each step lowers the logarithm of the
+determinant by ``tolerance`` or is the last, and ``floors`` bound it from below, so the steps end. Rows whose Mahalanobis
+distance exceeds the limit are rejected.
 
 All sums and quantiles are aggregates over the narrow table of statistics with combining before the shuffle, so a
 source with a third of all rows reaches an exchange as one row a task. Only one row for each language and source is
 ever turned into a matrix, and these rows stay distributed.
 
-Missing text: no words, so the base rules fail it. Missing language or source: a group of its own. Groups smaller than
+Whole texts are measured, however long, a few rows at a time. Missing text: no words, so the base rules fail it. Missing language or source: a group of its own. Groups smaller than
 ``least_rows`` are judged by their language's estimate, small languages by that of all rows. Equal rows are judged
 equally. An empty table gives an empty result. Other columns are not carried.
 """
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,12 +42,16 @@ class QualityRules:
     most_repeat_percent: int = 50
     #: share of the closest rows that an estimate is made of
     kept_share: float = 0.75
-    steps: int = 4
+    #: variances of the closest three quarters of normal rows in five dimensions, times this, are those of all rows
+    widen: float = 1.412
+    #: fall of the logarithm of the determinant below which the steps end
+    tolerance: float = 0.001
     least_rows: int = 200
-    #: squared distance beyond which a row is an outlier; for five normal statistics 1 in 2,000
+    #: squared distance beyond which a row is an outlier: the 0.9995 quantile of chi-squared with five degrees
     limit: float = 22.1
-    #: least standard deviation of each transformed statistic
-    floors: tuple[float, ...] = (0.7, 0.12, 0.5, 1.0, 0.7)
+    #: least standard deviations, which smaller ones are raised to. Where a group has no repeated lines or words, a
+    #: text is rejected by those alone beyond 0.3 of its lines or 0.36 of its words.
+    floors: tuple[float, ...] = (0.7, 0.12, 0.5, 0.41, 0.45)
 
 
 def _repeat_words(texts: list[bytes]) -> np.ndarray:
@@ -125,9 +133,11 @@ def _distance():
     return sum(((1 if i == j else 2) * F.col(f"w{i}{j}") * gaps[i] * gaps[j] for i, j in _PAIRS), F.lit(0.0))
 
 
-def _inverted(rules: QualityRules):
-    names = [f"m{i}" for i in range(D)] + [f"w{i}{j}" for i, j in _PAIRS]
+_NAMES = [f"m{i}" for i in range(D)] + [f"w{i}{j}" for i, j in _PAIRS]
 
+
+def _estimated(rules: QualityRules):
+    """Sums of a key's rows -> centre, inverse scatter, logarithm of the determinant and whether that fell."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -137,13 +147,19 @@ def _inverted(rules: QualityRules):
                 cov = np.zeros((D, D))
                 for i, j in _PAIRS:
                     cov[i, j] = cov[j, i] = getattr(row, f"q{i}{j}") / n - mean[i] * mean[j]
-                # rows of the closest share spread less than all rows; the factor undoes that for normal data
-                cov = cov * 1.6 + np.diag(np.square(rules.floors))
-                inverse = np.linalg.inv(cov)
-                rows.append([row.key, *mean, *(inverse[i, j] for i, j in _PAIRS)])
-            yield pd.DataFrame(rows, columns=["key", *names])
+                cov *= rules.widen
+                cov[np.diag_indices(D)] = np.maximum(cov.diagonal(), np.square(rules.floors))
+                inverse, logdet = np.linalg.inv(cov), np.linalg.slogdet(cov)[1]
+                rows.append([row.key, row.start, logdet, logdet < row.before - rules.tolerance, *mean, *(inverse[i, j] for i, j in _PAIRS)])
+            yield pd.DataFrame(rows, columns=["key", "start", "logdet", "fell", *_NAMES])
+
+    return run, "key string, start int, logdet double, fell boolean, " + ", ".join(f"{n} double" for n in _NAMES)
+
 
-    return run, "key string, " + ", ".join(f"{n} double" for n in names)
+def _summed(rows: DataFrame, before: Column) -> DataFrame:
+    return rows.groupBy("key", "start").agg(
+        F.count("*").alias("n"), F.min(before).alias("before"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
+        *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
 
 
 SALTS = 64
@@ -154,24 +170,37 @@ def _salted(groups: DataFrame) -> DataFrame:
     return groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
+def _starts(rows: DataFrame, rules: QualityRules) -> DataFrame:
+    quartiles = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"p{i}") for i in range(D)])
+    # 1.349 standard deviations of a normal statistic lie between its quartiles
+    spread = [F.greatest((F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349, F.lit(rules.floors[i])) for i in range(D)]
+    middle = materialize(quartiles.select(
+        "key", F.lit(0).alias("start"), F.lit(float("inf")).alias("logdet"), F.lit(True).alias("fell"),
+        *[F.col(f"p{i}")[1].alias(f"m{i}") for i in range(D)],
+        *[(1 / (spread[i] * spread[i]) if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in _PAIRS]), "mcd")
+    placed = rows.join(_salted(middle), ["key", "salt"]).withColumn("reach", F.sqrt(F.greatest(_distance(), F.lit(1e-12)) / D))
+    drawn = placed.select("key", F.lit(2).alias("start"), *[(F.col(f"m{i}") + (F.col(f"x{i}") - F.col(f"m{i}")) / F.col("reach")).alias(f"x{i}") for i in range(D)])
+    whole = rows.select("key", F.lit(1).alias("start"), *[f"x{i}" for i in range(D)])
+    run, schema = _estimated(rules)
+    others = _summed(whole.unionByName(drawn), F.lit(float("inf"))).mapInPandas(run, schema)
+    return middle.unionByName(others.withColumns({"logdet": F.lit(float("inf")), "fell": F.lit(True)}))
+
+
 def group_estimates(rows: DataFrame, rules: QualityRules) -> DataFrame:
-    """Centre and inverse scatter for each ``key`` of rows(key, salt, x0..x4). Rows meet their group's values by key
-    and salt, so that a group with all rows is joined in many tasks and then combined before it is shuffled."""
-    middle = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", 0.5, 1000).alias(f"m{i}") for i in range(D)])
-    start = [F.lit(1.0 / f ** 2) for f in rules.floors]
-    at = middle.select("key", *[f"m{i}" for i in range(D)],
-                       *[(start[i] if i == j else F.lit(0.0)).alias(f"w{i}{j}") for i, j in _PAIRS])
-    at = materialize(at, "mcd")
-    run, schema = _inverted(rules)
-    for _ in range(rules.steps):
+    """Centre and inverse scatter of least determinant for each ``key`` of rows(key, salt, x0..x4). Rows meet their
+    group's values by key and salt, so that a group with all rows is joined in many tasks and then combined before it
+    is shuffled. A start whose determinant no longer falls takes no part in later steps."""
+    run, schema = _estimated(rules)
+    at = materialize(_starts(rows, rules), "mcd")
+    tried = []
+    while not tried or not at.isEmpty():
         far = rows.join(_salted(at), ["key", "salt"]).withColumn("d2", _distance())
-        cut = far.groupBy("key").agg(F.percentile_approx("d2", rules.kept_share, 1000).alias("cut"))
-        near = far.join(_salted(cut), ["key", "salt"]).where("d2 <= cut")
-        sums = near.groupBy("key").agg(
-            F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(D)],
-            *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in _PAIRS])
-        at = materialize(sums.mapInPandas(run, schema), "mcd")
-    return at
+        cut = far.groupBy("key", "start").agg(F.percentile_approx("d2", rules.kept_share, 1000).alias("cut"))
+        near = far.join(_salted(cut), ["key", "start", "salt"]).where("d2 <= cut")
+        tried.append(materialize(_summed(near, F.col("logdet")).mapInPandas(run, schema), "mcd"))
+        at = tried[-1].where("fell")
+    best = reduce(DataFrame.unionByName, tried).groupBy("key").agg(F.min(F.struct("logdet", "start", *_NAMES)).alias("e"))
+    return best.select("key", *[f"e.{n}" for n in _NAMES])
 
 
 _LEVELS = ("by_source", "by_lang", "by_all")

@@ -7,6 +7,9 @@ non-essential as long as all of them together cannot lift a candidate to the k-t
 the essential terms are traversed for all candidates; those that could still reach the k-th score are probed in the
 other terms, widest first, and dropped as soon as they cannot. Shard results are merged by a top-k over all shards.
 
+Search starts with a level: the k-th best score of a query among the other queries of its block, which are candidates,
+too. Queries with similar numbers of essential terms are scored together, in the terms essential for any of them.
+
 Queries are dealt out in blocks of bounded size, one copy for each shard, which is the stated query set against all
 rows. Vectors that are null or hold null or non-finite components take no part. Shorter vectors count as continued
 with zeros. Rows with the same id are candidates each for itself, but none is a candidate of a query with its id; a
@@ -24,8 +27,8 @@ from pyspark.sql import functions as F
 
 from mailsieve.plans.session import materialize
 
-_STRIP = 4096
 _PROBED_AT_ONCE = 4
+_SCORED_TOGETHER = 64
 
 
 def integer_vectors(table: DataFrame, vector_id: str, vector: str, scale: int) -> DataFrame:
@@ -54,22 +57,46 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -scores[near]))][:k]
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarray, ids: np.ndarray, k: int):
-    """For each query row the ids and scores of the best k of one shard. ``postings`` has a row for each term."""
+def first_levels(queries: np.ndarray, query_ids: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each query among the others of its block, -inf where there are fewer."""
+    level = np.full(len(queries), -np.inf)
+    if len(queries) > k:
+        for i in range(0, len(queries), _SCORED_TOGETHER):
+            scores = (queries[i:i + _SCORED_TOGETHER] @ queries.T).astype(float)
+            scores[query_ids[i:i + _SCORED_TOGETHER, None] == query_ids] = -np.inf
+            level[i:i + _SCORED_TOGETHER] = np.partition(scores, len(queries) - k, axis=1)[:, len(queries) - k]
+    return level
+
+
+def _traverse(queries: np.ndarray, essential: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Scores of all candidates in the essential terms of each query."""
+    partial = np.empty((len(queries), part.shape[1]), queries.dtype)
+    by_terms = np.argsort(essential.sum(axis=1), kind="stable")
+    for at in range(0, len(queries), _SCORED_TOGETHER):
+        some = by_terms[at:at + _SCORED_TOGETHER]
+        terms = essential[some].any(axis=0)
+        weights = np.where(essential[some], queries[some], 0)
+        partial[some] = weights @ part if terms.all() else weights[:, terms] @ part[terms]
+    return partial
+
+
+def search_shard(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarray, ids: np.ndarray, k: int, strip: int = 4096):
+    """For each query row the ids and scores of the candidates of one shard that can be among its best k, at most k.
+    ``postings`` has a row for each term; ``strip`` candidates are searched at a time, then the levels rise."""
     low, high = postings.min(axis=1), postings.max(axis=1)
     least, most = np.minimum(queries * low, queries * high), np.maximum(queries * low, queries * high)
     order = np.argsort(most - least, axis=1, kind="stable")
     found_ids = [np.zeros(0, ids.dtype)] * len(queries)
     found = [np.zeros(0, queries.dtype)] * len(queries)
-    level = np.full(len(queries), -np.inf)  # k-th best so far
-    for start in range(0, postings.shape[1], _STRIP):
-        part, part_ids = postings[:, start:start + _STRIP], ids[start:start + _STRIP]
+    level = first_levels(queries, query_ids, k)
+    for start in range(0, postings.shape[1], strip):
+        part, part_ids = postings[:, start:start + strip], ids[start:start + strip]
         # what all terms give at least, and what the narrowest j terms can add to that
         spread = np.cumsum(np.take_along_axis(most - least, order, 1), axis=1)
         can_wait = spread < (level - least.sum(axis=1))[:, None]
         essential = np.ones(queries.shape, bool)
         np.put_along_axis(essential, order, ~can_wait, 1)
-        partial = np.where(essential, queries, 0) @ part
+        partial = _traverse(queries, essential, part)
         open_most = np.where(essential, 0, most)
         rest = open_most.sum(axis=1)
         for i in range(len(queries)):
@@ -92,11 +119,11 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarra
             best = _best(both, both_ids, k)
             found[i], found_ids[i] = both[best], both_ids[best]
             if len(best) == k:
-                level[i] = found[i][-1]
+                level[i] = max(level[i], found[i][-1])
     return found_ids, found
 
 
-def _search_pairs(k: int):
+def _search_pairs(k: int, strip: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for shard, block in zip(batch["shard_rows"], batch["query_rows"]):
@@ -108,7 +135,7 @@ def _search_pairs(k: int):
                 queries, postings = exact[0].astype(kind), np.ascontiguousarray(exact[1].astype(kind))
                 ids = np.array([r["vec_id"] if r["vec_id"] is not None else -1 for r in shard], np.int64)
                 own = np.array([r["vec_id"] for r in block], np.int64)
-                got_ids, got = search_shard(queries, own, postings, ids, k)
+                got_ids, got = search_shard(queries, own, postings, ids, k, strip)
                 yield pd.DataFrame({
                     "query_row": np.repeat([r["row"] for r in block], [len(g) for g in got]).astype(np.int64),
                     "query_id": np.repeat(own, [len(g) for g in got]),
@@ -117,7 +144,7 @@ def _search_pairs(k: int):
 
 
 def top_k(table: DataFrame, is_query: Column, k: int = 20, vector_id: str = "vec_id", vector: str = "embedding",
-          scale: int = 64, shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+          scale: int = 64, shard_rows: int = 8192, block_rows: int = 1024, strip: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query row, over all other rows.
     ``is_query`` is a condition on vec_id. Rows without id are no queries, and candidates under the id -1."""
     rows = materialize(integer_vectors(table, vector_id, vector, scale), "vectors")
@@ -134,7 +161,7 @@ def top_k(table: DataFrame, is_query: Column, k: int = 20, vector_id: str = "vec
         .groupBy("block").agg(F.collect_list("it").alias("query_rows"))
         .select("query_rows", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")))
     pairs = block_table.join(shard_table, "shard")
-    found = pairs.select("query_rows", "shard_rows").mapInPandas(_search_pairs(k), "query_row long, query_id long, vec_id long, score long")
+    found = pairs.select("query_rows", "shard_rows").mapInPandas(_search_pairs(k, strip), "query_row long, query_id long, vec_id long, score long")
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

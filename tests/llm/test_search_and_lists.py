@@ -37,6 +37,32 @@ def test_top_k_equals_brute_force_over_small_shards(spark):
     assert found(spark, rows, k=20, shard_rows=150, block_rows=16) == brute(rows, 20)
 
 
+@pytest.mark.parametrize("strip", [16, 64])
+def test_top_k_with_pruned_terms_equals_brute_force(spark, strip):
+    """Many strips a shard, and few wide terms: most terms become non-essential."""
+    rng = np.random.default_rng(7)
+    rows = [(int(i), (rng.normal(0, 1, 12) * ([3, 2, 1] + [0.05] * 9)).tolist(), "x") for i in range(1200)]
+    rows += [(2000 + i, rows[40][1], "copy") for i in range(100)]
+    assert found(spark, rows, k=5, shard_rows=500, block_rows=30, strip=strip) == brute(rows, 5)
+
+
+def test_pruning_skips_terms_and_keeps_the_best():
+    rng = np.random.default_rng(3)
+    scale = np.array([40, 30, 20] + [2] * 20)
+    vectors = np.floor(rng.normal(0, 1, (2000, 23)) * scale).astype(np.int64)
+    ids, queries = np.arange(2000), vectors[::20]
+    work, plain = [], topk._traverse
+    try:
+        topk._traverse = lambda q, essential, part: work.append(essential.sum() / essential.size) or plain(q, essential, part)
+        got_ids, got = topk.search_shard(queries, ids[::20], vectors.T.copy(), ids, 10, strip=64)
+    finally:
+        topk._traverse = plain
+    assert work[-1] < 0.5
+    for i, q in enumerate(queries):
+        want = sorted((-int(q @ v), j) for j, v in enumerate(vectors) if j != 20 * i)[:10]
+        assert [(-int(s), int(j)) for s, j in zip(got[i], got_ids[i])] == want
+
+
 def test_top_k_edges(spark):
     rows = [(0, [0.5, -0.5], "a"), (1, None, "a"), (2, [0.1, None], "a"), (3, [float("nan"), 1.0], "a"), (4, [float("inf"), 1.0], "a"),
             (5, [1.0], "short"), (6, [0.5, -0.5], "a"), (20, [0.5, -0.5], "a")]

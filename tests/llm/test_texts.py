@@ -1,6 +1,7 @@
 """Near duplicates, toxicity, main text, packing, BPE, quality and language-model scoring."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -352,6 +353,31 @@ def test_outliers_go_and_groups_differ(spark):
     assert quality.with_verdict(docs(spark)).collect() == [] and quality.keep_good(docs(spark)).collect() == []
 
 
+def test_estimate_is_the_least_determinant_of_all_subsets(spark):
+    """Twelve rows a group, four of them far off together: the nine closest of all 220 choices, by trying each."""
+    rng, rules = np.random.default_rng(11), quality.QualityRules(floors=(1e-6,) * 5)
+    groups = {f"g{g}": np.concatenate([rng.normal(g, 1, (9, 5)), rng.normal(30 * (-1) ** g, 1, (3, 5))]) for g in range(4)}
+    rows = spark.createDataFrame(
+        [(k, i % 3, *map(float, x)) for k, v in groups.items() for i, x in enumerate(v)], "key string, salt int, " + ", ".join(f"x{i} double" for i in range(5)))
+    got = {r.key: r for r in quality.group_estimates(rows, rules).collect()}
+    for key, points in groups.items():
+        best = min((points[list(c)] for c in itertools.combinations(range(12), 9)), key=lambda p: np.linalg.det(np.cov(p.T, bias=True)))
+        assert [got[key][f"m{i}"] for i in range(5)] == pytest.approx(best.mean(axis=0))
+        inverse = np.linalg.inv(np.cov(best.T, bias=True) * rules.widen)
+        assert [got[key][f"w{i}{j}"] for i in range(5) for j in range(i, 5)] == pytest.approx([inverse[i, j] for i in range(5) for j in range(i, 5)])
+
+
+def test_repeated_lines_alone_reject(spark):
+    rng = random.Random(8)
+    def lines(n):
+        return [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(12)) for _ in range(n)]
+    rows = [(i, "\n".join(lines(20))) for i in range(250)]
+    again = ["\n".join(x + [x[0]] * 3 + x[1:6]) for x in (lines(12) for _ in range(5))]
+    got = {r.doc_id: r for r in quality.with_verdict(docs(spark, *rows, *((1000 + i, t) for i, t in enumerate(again)))).collect()}
+    assert all(got[i].kept for i in range(250))
+    assert all(not got[1000 + i].kept for i in range(5))
+
+
 # language model
 
 def tokens_of(text):
