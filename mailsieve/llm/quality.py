@@ -50,8 +50,8 @@ class QualityRules:
     #: squared distance beyond which a row is an outlier: the 0.9995 quantile of chi-squared with five degrees
     limit: float = 22.1
     #: least standard deviations, which smaller ones are raised to. Where a group has no repeated lines or words, a
-    #: text is rejected by those alone beyond 0.3 of its lines or 0.36 of its words.
-    floors: tuple[float, ...] = (0.7, 0.12, 0.5, 0.41, 0.45)
+    #: text is rejected by those alone beyond 0.3 of its lines and words together (repeated lines repeat words).
+    floors: tuple[float, ...] = (0.7, 0.12, 0.5, 0.58, 0.58)
 
 
 def _repeat_words(texts: list[bytes]) -> np.ndarray:

@@ -372,10 +372,10 @@ def test_repeated_lines_alone_reject(spark):
     def lines(n):
         return [" ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(12)) for _ in range(n)]
     rows = [(i, "\n".join(lines(20))) for i in range(250)]
-    again = ["\n".join(x + [x[0]] * 3 + x[1:6]) for x in (lines(12) for _ in range(5))]
+    again = ["\n".join(lines(12) + ["read more"] * 30) for _ in range(5)]
     got = {r.doc_id: r for r in quality.with_verdict(docs(spark, *rows, *((1000 + i, t) for i, t in enumerate(again)))).collect()}
     assert all(got[i].kept for i in range(250))
-    assert all(not got[1000 + i].kept for i in range(5))
+    assert all(not got[1000 + i].kept and not got[1000 + i].base_failed and got[1000 + i].n_symbols == 0 for i in range(5))
 
 
 # language model
