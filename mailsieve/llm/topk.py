@@ -80,9 +80,10 @@ def _traverse(queries: np.ndarray, essential: np.ndarray, part: np.ndarray) -> n
     return partial
 
 
-def search_shard(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarray, ids: np.ndarray, k: int, strip: int = 4096):
+def search_shard(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarray, ids: np.ndarray, k: int, strip: int = 4096, room: float = 0.1):
     """For each query row the ids and scores of the candidates of one shard that can be among its best k, at most k.
-    ``postings`` has a row for each term; ``strip`` candidates are searched at a time, then the levels rise."""
+    ``postings`` has a row for each term; ``strip`` candidates are searched at a time, then the levels rise. Non-essential
+    terms fill the part ``room`` of what they could without reaching the level: less leaves fewer candidates to probe."""
     low, high = postings.min(axis=1), postings.max(axis=1)
     least, most = np.minimum(queries * low, queries * high), np.maximum(queries * low, queries * high)
     order = np.argsort(most - least, axis=1, kind="stable")
@@ -93,7 +94,7 @@ def search_shard(queries: np.ndarray, query_ids: np.ndarray, postings: np.ndarra
         part, part_ids = postings[:, start:start + strip], ids[start:start + strip]
         # what all terms give at least, and what the narrowest j terms can add to that
         spread = np.cumsum(np.take_along_axis(most - least, order, 1), axis=1)
-        can_wait = spread < (level - least.sum(axis=1))[:, None]
+        can_wait = spread < room * (level - least.sum(axis=1))[:, None]
         essential = np.ones(queries.shape, bool)
         np.put_along_axis(essential, order, ~can_wait, 1)
         partial = _traverse(queries, essential, part)

@@ -46,7 +46,8 @@ def test_top_k_with_pruned_terms_equals_brute_force(spark, strip):
     assert found(spark, rows, k=5, shard_rows=500, block_rows=30, strip=strip) == brute(rows, 5)
 
 
-def test_pruning_skips_terms_and_keeps_the_best():
+@pytest.mark.parametrize("room, most", [(0.1, 0.95), (1.0, 0.5)])
+def test_pruning_skips_terms_and_keeps_the_best(room, most):
     rng = np.random.default_rng(3)
     scale = np.array([40, 30, 20] + [2] * 20)
     vectors = np.floor(rng.normal(0, 1, (2000, 23)) * scale).astype(np.int64)
@@ -54,10 +55,10 @@ def test_pruning_skips_terms_and_keeps_the_best():
     work, plain = [], topk._traverse
     try:
         topk._traverse = lambda q, essential, part: work.append(essential.sum() / essential.size) or plain(q, essential, part)
-        got_ids, got = topk.search_shard(queries, ids[::20], vectors.T.copy(), ids, 10, strip=64)
+        got_ids, got = topk.search_shard(queries, ids[::20], vectors.T.copy(), ids, 10, strip=64, room=room)
     finally:
         topk._traverse = plain
-    assert work[-1] < 0.5
+    assert work[-1] < most
     for i, q in enumerate(queries):
         want = sorted((-int(q @ v), j) for j, v in enumerate(vectors) if j != 20 * i)[:10]
         assert [(-int(s), int(j)) for s, j in zip(got[i], got_ids[i])] == want
