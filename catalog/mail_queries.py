@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.feature_queries import AS_OF, as_of, feature_ctes, marketing_sql_expr, q
@@ -15,7 +15,7 @@ from mailsieve.functions import scoring as sc
 from mailsieve.operators import cascade, lists, maintenance, verdicts
 from mailsieve.plans.jobs import decision_facts
 from mailsieve.plans.session import new_path
-from mailsieve.sources import mail, tables
+from mailsieve.sources import mail, mailbox, tables
 
 QUERIES = {}
 ORACLES = {}
@@ -44,6 +44,11 @@ def with_fingerprint(messages: DataFrame) -> DataFrame:
   strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received, CAST(hdr_received_hops AS BIGINT) AS hops FROM messages""")
 def ingest_mail(spark: SparkSession, sf: str) -> DataFrame:
     """Write every message out as mail bytes and read it back."""
+    raw = _mail_texts(spark, sf).select(F.col("msg_id").alias("id"), F.encode("mail_text", "UTF-8").alias("content"))
+    return _ingested(mail.parse_mail(raw), "id")
+
+
+def _mail_texts(spark: SparkSession, sf: str) -> DataFrame:
     m = view(spark, sf, "messages")
     day = F.element_at(F.array(*[F.lit(d) for d in ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")]),
                        F.month("received_at"))
@@ -57,11 +62,29 @@ def ingest_mail(spark: SparkSession, sf: str) -> DataFrame:
     multi = F.concat(
         head, F.lit('Content-Type: multipart/alternative; boundary="=-cut-here-="\n\n--=-cut-here-=\n'), plain, F.col("body"),
         F.lit("\n--=-cut-here-=\nContent-Type: text/html\n\n<p>other</p>\n--=-cut-here-=--\n"))
-    raw = m.select(F.col("msg_id").alias("id"), F.encode(F.when(F.col("was_unread"), simple).otherwise(multi), "UTF-8").alias("content"))
-    return mail.good_mail(mail.parse_mail(raw)).select(
+    return m.withColumn("mail_text", F.when(F.col("was_unread"), simple).otherwise(multi))
+
+
+def _ingested(parsed: DataFrame, message_id: str | Column, *more: str) -> DataFrame:
+    return mail.good_mail(parsed).withColumn("id", F.col(message_id) if isinstance(message_id, str) else message_id).select(
         "id", "sender", "sender_email", "sender_domain", "subject", F.md5("body").alias("body_md5"),
         F.date_format("received_at", "yyyy-MM-dd HH:mm:ss").alias("received"),
-        F.coalesce(F.size(F.col("raw_headers")["Received"]), F.lit(0)).cast("bigint").alias("hops"))
+        F.coalesce(F.size(F.col("raw_headers")["Received"]), F.lit(0)).cast("bigint").alias("hops"), *more)
+
+
+@query(with_views("messages") + """SELECT CAST(msg_id AS VARCHAR) AS id, 'Sender ' || account || ' <' || sender_email || '>' AS sender,
+  sender_email, sender_domain, 'Message ' || CAST(msg_id AS VARCHAR) AS subject,
+  md5(CASE WHEN was_unread THEN body || chr(10) ELSE body END) AS body_md5,
+  strftime(received_at, '%Y-%m-%d %H:%M:%S') AS received, CAST(hdr_received_hops AS BIGINT) AS hops, was_unread FROM messages""")
+def ingest_mailboxes(spark: SparkSession, sf: str) -> DataFrame:
+    """Write all messages into mailboxes, quoting lines that look like separators, and read them by byte ranges."""
+    day = F.date_format("received_at", "EEE MMM d HH:mm:ss yyyy")
+    status = F.when(F.col("was_unread"), "Status: O\n").otherwise("Status: RO\n")
+    quoted = F.regexp_replace(F.concat(status, "mail_text"), "(?m)^(>*From )", ">$1")
+    path = new_path(spark, "mailboxes")
+    _mail_texts(spark, sf).select(F.concat(F.lit("From sender@list "), day, F.lit("\n"), quoted, F.lit("\n"))).write.text(path)
+    raw = mailbox.read_mailboxes(spark, path, partition_bytes=4 << 20)
+    return _ingested(mailbox.ingest_mailboxes(raw), F.element_at(F.split("subject", " "), 2), "was_unread")
 
 
 _SENDERS = """senders AS (SELECT msg_id, CASE msg_id % 5 WHEN 0 THEN 'A. User <' || sender_email || '>' WHEN 1 THEN '  ' || sender_email || ' '

@@ -31,13 +31,21 @@ def ingest_mail(spark: SparkSession, path: str) -> DataFrame:
     return parse_mail(files.select(F.col("path").alias("id"), "content"))
 
 
-def parse_mail(raw: DataFrame) -> DataFrame:
-    """(id, content BINARY) -> messages. A mail that cannot be read gives a row with ``error``."""
-    parsed = raw.select(F.col("id").cast("string").alias("id"), "content").mapInPandas(_parse_batches, _PARSED)
+def parse_mail(raw: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, content BINARY) -> messages. A mail that cannot be read gives a row with ``error``. The columns named in
+    ``carried`` come along."""
+    beside = [f for f in raw.schema.fields if f.name in carried]
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield _parse_batch(batch).assign(**{name: batch[name] for name in carried})
+
+    schema = ", ".join([_PARSED, *(f"`{f.name}` {f.dataType.simpleString()}" for f in beside)])
+    parsed = raw.select(F.col("id").cast("string").alias("id"), "content", *[f.name for f in beside]).mapInPandas(parse, schema)
     address = ad.extract_address(F.col("sender"))
     return parsed.select(
         "id", "sender", address.alias("sender_email"), ad.sender_domain(address).alias("sender_domain"),
-        "subject", "date", received_at(F.col("date")).alias("received_at"), "to", "cc", "body", "raw_headers", "error")
+        "subject", "date", received_at(F.col("date")).alias("received_at"), "to", "cc", "body", "raw_headers", "error", *carried)
 
 
 def good_mail(messages: DataFrame) -> DataFrame:
@@ -78,10 +86,9 @@ def valid_ids(messages: DataFrame, column: str = "id") -> DataFrame:
     return messages.filter(F.rlike(F.col(column), F.lit("^[0-9]+$")))
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = [_read_one(i, c) for i, c in zip(batch["id"], batch["content"])]
-        yield pd.DataFrame(rows, columns=["id", "sender", "subject", "date", "to", "cc", "body", "raw_headers", "error"])
+def _parse_batch(batch: pd.DataFrame) -> pd.DataFrame:
+    rows = [_read_one(i, c) for i, c in zip(batch["id"], batch["content"])]
+    return pd.DataFrame(rows, columns=["id", "sender", "subject", "date", "to", "cc", "body", "raw_headers", "error"], index=batch.index)
 
 
 def _read_one(mail_id: str, content: bytes) -> tuple:
