@@ -8,9 +8,8 @@ the rows nothing else could decide, one call per distinct fingerprint.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,12 +18,10 @@ from mailsieve.functions import features as ft
 from mailsieve.functions import identity
 from mailsieve.functions import scoring as sc
 from mailsieve.functions import text as tx
-from mailsieve.operators import lists, verdicts
+from mailsieve.operators import lists, scorer_calls, verdicts
+from mailsieve.operators.scorer_calls import CallRules, Scorer
 from mailsieve.plans.session import materialize
 
-# A scorer takes a batch of prompts and returns one raw reply per prompt.
-Scorer = Callable[[Sequence[str]], Sequence[str]]
-
 DECISION_COLUMNS = ("action", "reason", "confidence", "method")
 
 
@@ -87,52 +84,25 @@ def accept_if_confident(ml: Column, config: EngineConfig) -> Column:
     return ml["confidence"] > config.ml_confidence_threshold
 
 
-CALL_SIZE = 50
-
-
-def ask(scorer: Scorer, prompts: list[str]) -> list[tuple[str | None, str | None]]:
-    """(reply, error) for each prompt."""
-    try:
-        replies = list(scorer(prompts))
-        if len(replies) != len(prompts):
-            raise ValueError("scorer gave a wrong number of replies")
-        return [(r, None) for r in replies]
-    except Exception as problem:  # the mail is kept, the run goes on
-        if len(prompts) == 1:
-            return [(None, str(problem))]
-        half = len(prompts) // 2
-        return ask(scorer, prompts[:half]) + ask(scorer, prompts[half:])
-
-
-def external_score(pending: DataFrame, scorer: Scorer | None, provider: str = "openai", concurrency: int | None = None) -> DataFrame:
+def external_score(pending: DataFrame, scorer: Scorer | None, provider: str = "openai", concurrency: int | None = None,
+                   calls: CallRules = CallRules()) -> DataFrame:
     """(fingerprint, prompt) rows -> one verdict per distinct fingerprint.
 
-    ``concurrency`` is the number of partitions, hence of calls at a time. The scorer gets at most CALL_SIZE
-    prompts at once. A call that fails is made again with halves of its prompts, so that only the prompts that
-    fail by themselves get error verdicts; the job never fails.
+    ``calls`` tells how calls are cut, spaced, repeated and kept; ``concurrency`` overrides its number of partitions.
+    A call that fails for good is made again with halves of its prompts, so that only the prompts that fail by
+    themselves get error verdicts; the job never fails.
     """
-    unavailable = sc.verdict(*sc.UNAVAILABLE)
-    distinct = pending.groupBy("fingerprint").agg(F.min("prompt").alias("prompt"))
     if scorer is None:
-        return distinct.select("fingerprint", unavailable.alias("decision"))
-    if concurrency:
-        distinct = distinct.repartition(concurrency)
-
-    def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            prompts = batch["prompt"].tolist()
-            found = [answer for at in range(0, len(prompts), CALL_SIZE) for answer in ask(scorer, prompts[at:at + CALL_SIZE])]
-            yield pd.DataFrame({"fingerprint": batch["fingerprint"].tolist(), "reply": [f[0] for f in found], "error": [f[1] for f in found]})
-
-    replies = distinct.mapInPandas(call, "fingerprint string, reply string, error string")
+        return pending.groupBy("fingerprint").agg(F.first(sc.verdict(*sc.UNAVAILABLE)).alias("decision"))
+    found = scorer_calls.replies(pending, scorer, replace(calls, concurrency=concurrency or calls.concurrency))
     decision = F.when(F.col("reply").isNull(), sc.scorer_error(provider, F.coalesce("error", F.lit("no reply")))).otherwise(
         sc.parse_verdict(F.col("reply"), provider))
-    return replies.select("fingerprint", decision.alias("decision"))
+    return found.select("fingerprint", decision.alias("decision"))
 
 
 def classify(frame: DataFrame, sender_list: DataFrame, cache: DataFrame | None = None, *,
              config: EngineConfig = EngineConfig(), scorer: Scorer | None = None, provider: str = "openai",
-             replies: DataFrame | None = None, concurrency: int | None = None) -> DataFrame:
+             replies: DataFrame | None = None, concurrency: int | None = None, calls: CallRules = CallRules()) -> DataFrame:
     """One decision per row of ``frame``.
 
     The open rows are scored by ``scorer``, or from ``replies`` (fingerprint, reply) collected elsewhere.
@@ -151,7 +121,7 @@ def classify(frame: DataFrame, sender_list: DataFrame, cache: DataFrame | None =
         return _flatten(staged.withColumn("decision", F.coalesce("decision", sc.verdict(*sc.UNAVAILABLE))))
     staged = materialize(staged.withColumn("prompt", F.when(F.col("decision").isNull(), F.col("prompt"))), "staged")
     scored = materialize(
-        external_score(staged.filter("decision IS NULL").select("fingerprint", "prompt"), scorer, provider, concurrency), "scored")
+        external_score(staged.filter("decision IS NULL").select("fingerprint", "prompt"), scorer, provider, concurrency, calls), "scored")
     side = scored.select(F.col("fingerprint").alias("_rfp"), F.col("decision").alias("_scored"))
     joined = staged.join(side, F.col("fingerprint") == F.col("_rfp"), "left").drop("_rfp")
     return _flatten(joined.withColumn("decision", F.coalesce("decision", "_scored")).drop("_scored"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailsieve.config import EngineConfig
 from mailsieve.functions import identity
 from mailsieve.operators import cascade, feedback as fb, maintenance, training, verdicts
+from mailsieve.operators.scorer_calls import CallRules
 from mailsieve.sources import tables
 
 
@@ -39,7 +40,8 @@ def with_fingerprint(messages: DataFrame) -> DataFrame:
 def run_detection(messages: DataFrame, sender_list: DataFrame, cache: DataFrame | None, model: PipelineModel | None,
                   history: DataFrame | None, accounts: DataFrame, *, as_of: Column, config: EngineConfig = EngineConfig(),
                   scorer: cascade.Scorer | None = None, provider: str = "openai", concurrency: int | None = None,
-                  folder: str | None = None, failed: DataFrame | None = None) -> DetectionRun:
+                  folder: str | None = None, failed: DataFrame | None = None,
+                  calls: CallRules = CallRules()) -> DetectionRun:
     """Purge, classify the unread mail of one folder (the inbox unless named), route it. Nothing is written but
     intermediate tables: a dry run is a run whose results are not passed to the sinks. ``failed`` holds one row per
     message that could not be read, with its account, for the summary."""
@@ -49,7 +51,7 @@ def run_detection(messages: DataFrame, sender_list: DataFrame, cache: DataFrame
     frame = score_messages(unread, model, history, config=config, as_of=as_of, keep=keep)
     live = None if cache is None else verdicts.live_cache(cache, config.cache_max_age_days, as_of)
     decided = cascade.classify(
-        frame, sender_list, live, config=config, scorer=scorer, provider=provider, concurrency=concurrency)
+        frame, sender_list, live, config=config, scorer=scorer, provider=provider, concurrency=concurrency, calls=calls)
     routed = cascade.route(decided, accounts, config)
     return DetectionRun(routed, cascade.run_summary(routed, failed, gone), cascade.scorer_cache_entries(routed, as_of), kept)
 
