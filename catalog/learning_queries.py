@@ -389,6 +389,23 @@ def stats_report(spark: SparkSession, sf: str) -> DataFrame:
                         F.lit(_DAY_OF).cast("timestamp"))
 
 
+_RAW = """detection: STRUCT<total: BIGINT, spam: BIGINT, ham: BIGINT, methods: ARRAY<STRUCT<method: STRING, detections: BIGINT>>>,
+  feedback: STRUCT<total_feedback: BIGINT, feedback_whitelist: BIGINT, feedback_blacklist: BIGINT, feedback_not_spam: BIGINT, feedback_is_spam: BIGINT>,
+  learning: STRUCT<ml_retraining_count: BIGINT>, errors: STRUCT<errors_count: BIGINT>"""
+
+
+@query(_D + f""", {_TOTALS}, {_FBT}, {_RETRAINS}, {_ERRORS}, per_method AS (SELECT method, count(*) AS detections FROM d WHERE method IS NOT NULL GROUP BY 1)
+SELECT method, detections, total, spam, ham, total_feedback, feedback_whitelist, feedback_blacklist, feedback_not_spam, feedback_is_spam,
+  ml_retraining_count, errors_count FROM per_method, totals, fbt, rt, er""")
+def stats_report_raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The counters of the exported document, read back from its JSON: one row for each method."""
+    raw = F.from_json("report", f"raw_stats STRUCT<{_RAW}>")
+    parts = stats_report(spark, sf).select(raw["raw_stats"].alias("raw")).select("raw.*")
+    return parts.select(F.explode("detection.methods").alias("m"), "detection", "feedback.*", "learning.*", "errors.*").select(
+        "m.*", "detection.total", "detection.spam", "detection.ham", "total_feedback", "feedback_whitelist", "feedback_blacklist",
+        "feedback_not_spam", "feedback_is_spam", "ml_retraining_count", "errors_count")
+
+
 @query(_D.replace("FROM decisions)", "FROM decisions WHERE decided_at > TIMESTAMP '2024-01-15 00:00:00')") + f", {_TOTALS} SELECT * FROM totals")
 def totals_since_reset(spark: SparkSession, sf: str) -> DataFrame:
     reset = stats.reset_event(F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"), confirm=True)

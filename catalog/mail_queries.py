@@ -13,6 +13,7 @@ from mailsieve.functions import fixed_values as fv
 from mailsieve.functions import identity
 from mailsieve.functions import scoring as sc
 from mailsieve.operators import cascade, lists, maintenance, verdicts
+from mailsieve.operators.scorer_calls import CallRules
 from mailsieve.plans.jobs import decision_facts
 from mailsieve.plans.session import new_path
 from mailsieve.sources import mail, mailbox, tables
@@ -458,15 +459,33 @@ _STUB = """scored AS (SELECT msg_id, CASE WHEN contains(lower(prompt), 'prize')
   CASE WHEN contains(lower(prompt), 'prize') THEN 0.9 WHEN contains(lower(prompt), 'password') THEN 0.7 ELSE 0.6 END AS s_confidence FROM prompts)"""
 
 
-@query(with_views("messages") + f""", {_PROMPTS}, {_STUB}, fps AS (SELECT {FP} AS fingerprint, msg_id FROM messages),
+_SCORED_SQL = with_views("messages") + f""", {_PROMPTS}, {_STUB}, fps AS (SELECT {FP} AS fingerprint, msg_id FROM messages),
   firsts AS (SELECT f.fingerprint, min(p.prompt) AS prompt FROM fps f JOIN prompts p ON p.msg_id = f.msg_id GROUP BY 1),
   back AS (SELECT f.fingerprint, min(f.msg_id) AS msg_id FROM fps f JOIN prompts p ON p.msg_id = f.msg_id JOIN firsts x ON x.fingerprint = f.fingerprint AND x.prompt = p.prompt GROUP BY 1)
   SELECT b.fingerprint, s.s_action AS action, s.s_reason AS reason, CAST(s.s_confidence AS DOUBLE) AS confidence, 'llm_openai' AS method
-  FROM back b JOIN scored s ON s.msg_id = b.msg_id""")
+  FROM back b JOIN scored s ON s.msg_id = b.msg_id"""
+
+
+@query(_SCORED_SQL)
 def external_score(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = with_fingerprint(view(spark, sf, "messages")).select(
+    return cascade.external_score(_prompts(spark, sf), stub_scorer, "openai").select("fingerprint", "decision.*")
+
+
+def _prompts(spark: SparkSession, sf: str) -> DataFrame:
+    return with_fingerprint(view(spark, sf, "messages")).select(
         "fingerprint", sc.scorer_prompt(F.col("sender_email"), F.col("subject"), F.col("body")).alias("prompt"))
-    return cascade.external_score(prompts, stub_scorer, "openai").select("fingerprint", "decision.*")
+
+
+def absent_scorer(prompts):
+    raise RuntimeError("asked although the ledger has every reply")
+
+
+@query(_SCORED_SQL)
+def external_score_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """All prompts are scored with a ledger; the rows are those of a later run that has the ledger and no scorer."""
+    calls = CallRules(ledger=new_path(spark, "ledger"))
+    cascade.external_score(_prompts(spark, sf), stub_scorer, "openai", calls=calls).write.format("noop").mode("overwrite").save()
+    return cascade.external_score(_prompts(spark, sf), absent_scorer, "openai", calls=calls).select("fingerprint", "decision.*")
 
 
 _FLOW = f"""listed AS (SELECT m.msg_id, {_list_reason('whitelist', 'whitelisted')} AS wl, {_list_reason('blacklist', 'blacklisted')} AS bl FROM messages m),

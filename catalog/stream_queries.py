@@ -159,6 +159,19 @@ def running_counters_stream(spark: SparkSession, sf: str) -> DataFrame:
     return tables.read_committed(spark, f"{root}/running").select("seq", *fb.COUNTERS.values())
 
 
+@query(with_views("decisions") + """SELECT coalesce(round(avg(processing_time), 3), 0.0) AS avg_processing_time
+  FROM (SELECT processing_time FROM decisions WHERE processing_time > 0 ORDER BY seq DESC LIMIT 1000)""")
+def avg_processing_time_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The mean of the last 1,000 times, kept over micro-batches of mixed numbers."""
+    path, root = new_path(spark, "decisions"), new_path(spark, "times")
+    rows = view(spark, sf, "decisions")
+    rows.repartition(_RUNS * _FILES).write.parquet(path)
+    live = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", _FILES).parquet(path)
+    writer = live.writeStream.foreachBatch(state.recent_times_round(root))
+    _finish(writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    return state.recent_average(spark, root)
+
+
 _COUNTED_METHODS = ", ".join(f"'{m}'" for m in fv.COUNTED_METHODS)
 
 

@@ -162,8 +162,9 @@ def merge_stats(stored: DataFrame, defaults: dict[str, object]) -> DataFrame:
 
 def report(decisions: DataFrame, feedback: DataFrame, retrains: DataFrame, errors: DataFrame, as_of: Column,
            days: int = 30) -> DataFrame:
-    """One JSON document: summary, daily statistics, effectiveness. Sized by days and methods, not by mail. The
-    decisions are computed once and read again as a narrow table."""
+    """One JSON document: summary, daily statistics, effectiveness and, in ``raw_stats``, the counters themselves with
+    all methods and all kinds of feedback. Sized by days and methods, not by mail. The decisions are computed once and
+    read again as a narrow table."""
     names = ("seq", "decided_at", "action", "confidence", "method", "processing_time")
     decisions = materialize(decisions.select(*[n for n in names if n in decisions.columns]), "decisions")
     one = summary(decisions, feedback, retrains, errors).select(F.struct("*").alias("summary"))
@@ -172,6 +173,13 @@ def report(decisions: DataFrame, feedback: DataFrame, retrains: DataFrame, error
         F.sort_array(F.collect_list(F.struct("day", *DAILY_COUNTS, "methods_used"))).alias("daily_stats"))
     shares = effectiveness(decisions).agg(
         F.sort_array(F.collect_list(F.struct("method", "detections", "percentage"))).alias("effectiveness"))
-    whole = one.crossJoin(daily).crossJoin(shares)
+    methods = method_counts(decisions, all_methods=True).where("method IS NOT NULL").agg(
+        F.sort_array(F.collect_list(F.struct("method", "detections"))).alias("methods"))
+    detection = detection_totals(decisions).crossJoin(methods).select(F.struct("total", "spam", "ham", "methods").alias("detection"))
+    counters = [(feedback_totals(feedback), "feedback"), (retrain_stats(retrains), "learning"), (error_stats(errors), "errors")]
+    for part, name in counters:
+        detection = detection.crossJoin(part.select(F.struct("*").alias(name)))
+    raw = detection.select(F.struct("*").alias("raw_stats"))
+    whole = one.crossJoin(daily).crossJoin(shares).crossJoin(raw)
     return whole.select(F.to_json(F.struct(
-        as_of.cast("string").alias("exported_at"), "summary", "daily_stats", "effectiveness")).alias("report"))
+        as_of.cast("string").alias("exported_at"), "summary", "daily_stats", "effectiveness", "raw_stats")).alias("report"))

@@ -18,6 +18,7 @@ from mailsieve.config import EngineConfig
 from mailsieve.functions import fixed_values as fv
 from mailsieve.functions import text as tx
 from mailsieve.operators import feedback as fb
+from mailsieve.operators import stats
 from mailsieve.sources import tables
 
 _COUNTS = tuple(fb.COUNTERS.values())
@@ -146,6 +147,28 @@ def running_counter_round(root: str, config: EngineConfig = EngineConfig()) -> C
     return round
 
 
+RECENT_SCHEMA = "seq long, processing_time double"
+
+
+def recent_times_round(root: str, last: int = 1000) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: the ``last`` positive processing times by number, over all batches so far, as versions of a
+    table of at most ``last`` rows under ``root``. A task passes on no more than ``last`` rows. A repeated batch starts
+    from the version before it and writes its own again; rows without a number or a time take no part."""
+    def round(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        before = tables.read_latest(spark, root, RECENT_SCHEMA, number) if number else spark.createDataFrame([], RECENT_SCHEMA)
+        fresh = batch.where("processing_time > 0 AND seq IS NOT NULL").select(F.col("seq").cast("long"), F.col("processing_time").cast("double"))
+        rows = before.unionByName(fresh).orderBy(F.desc("seq"), F.desc("processing_time")).limit(last)
+        tables.write_version(rows, root, number + 1)
+
+    return round
+
+
+def recent_average(spark: SparkSession, root: str) -> DataFrame:
+    """The mean of the newest version of ``recent_times_round``, 0 without any."""
+    return stats.avg_processing_time(tables.read_latest(spark, root, RECENT_SCHEMA))
+
+
 _FACT = "at timestamp, method string, n long, spam long, fed long, failed long"
 
 

@@ -255,3 +255,18 @@ def test_training_knows_the_senders_history(spark, tmp_path):
     at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
     with_history, without = (training.weighted_features(samples, h, as_of=at).first() for h in (history, None))
     assert with_history["weight"] >= without["weight"] and with_history.asDict() != without.asDict()
+
+
+def test_recent_times_equal_the_batch_mean_after_any_batching(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id AS seq", "IF(id % 7 = 0, -1.0, id % 113 + 0.5) AS processing_time").union(
+        spark.createDataFrame([(None, 5.0), (5000, None)], "seq long, processing_time double"))
+    want = stats.avg_processing_time(rows.where("seq IS NOT NULL")).collect()
+    for parts in (1, 4):
+        root = str(tmp_path / f"r{parts}")
+        step = state.recent_times_round(root)
+        for number, part in enumerate(rows.randomSplit([1.0] * parts, 3)):
+            step(part, number)
+            step(part, number)  # a repeated batch changes nothing
+        assert state.recent_average(spark, root).collect() == want
+        assert tables.read_latest(spark, root).count() == 1000
+    assert state.recent_average(spark, str(tmp_path / "none")).first()[0] == 0.0
