@@ -16,6 +16,7 @@ from mailsieve.functions import addresses as ad
 from mailsieve.functions import fixed_values as fv
 from mailsieve.functions import text as tx
 from mailsieve.operators import lists
+from mailsieve.plans.session import materialize
 from mailsieve.plans.skew import running_position
 
 COUNTERS = {"is_spam": "spam_count", "not_spam": "ham_count", "whitelist": "whitelist_count", "blacklist": "blacklist_count"}
@@ -156,10 +157,13 @@ def explicit_targets(feedback: DataFrame) -> DataFrame:
 def apply_explicit_feedback(feedback: DataFrame, current: DataFrame) -> DataFrame:
     """List with the items of explicit feedback inserted; invalid ones are in ``rejected_targets``.
 
-    Requests are reduced to distinct items before they are checked, so the check runs once per item and
-    not once per feedback.
+    Requests are reduced to distinct senders, then to distinct items before they are checked, so targets are made
+    once per sender and the check runs once per item, not once per feedback. Columns that are made by long
+    expressions are so computed once, before the branches of the target use them.
     """
-    asked = _asked(feedback).groupBy("list_type", "item_type", F.lower("raw_item").alias("_l")).agg(
+    senders = feedback.select("feedback_type", "sender_email", "sender_domain").filter(
+        F.col("feedback_type").isin("whitelist", "blacklist")).distinct()
+    asked = _asked(senders).groupBy("list_type", "item_type", F.lower("raw_item").alias("_l")).agg(
         F.min("raw_item").alias("raw_item"))
     fresh = asked.withColumn("item", ad.normalize_item(F.col("raw_item"), F.col("item_type"))).filter(
         F.col("item").isNotNull()).select(*lists.LIST_COLUMNS)
@@ -178,7 +182,7 @@ def auto_list_items(feedback: DataFrame, current: DataFrame, prior: DataFrame |
     very same item. So whether a sender passes a threshold during the run is decided by its totals at the
     last correction, and one aggregate per sender replaces the row-by-row walk.
     """
-    return _automatic(feedback, apply_explicit_feedback(feedback, current), prior, config)
+    return _automatic(feedback, materialize(apply_explicit_feedback(feedback, current), "listed"), prior, config)
 
 
 def _automatic(feedback: DataFrame, listed: DataFrame, prior: DataFrame | None, config: EngineConfig) -> DataFrame:
@@ -199,8 +203,9 @@ def _automatic(feedback: DataFrame, listed: DataFrame, prior: DataFrame | None,
 
 def apply_feedback(feedback: DataFrame, current: DataFrame, prior: DataFrame | None = None,
                    config: EngineConfig = EngineConfig()) -> DataFrame:
-    """The sender list after a whole feedback run: explicit items, then automatic ones."""
-    listed = apply_explicit_feedback(feedback, current)
+    """The sender list after a whole feedback run: explicit items, then automatic ones. The list between the two is
+    written, as both read it, and so that no condition on its items is pushed back into the feedback's expressions."""
+    listed = materialize(apply_explicit_feedback(feedback, current), "listed")
     return listed.unionByName(_automatic(feedback, listed, prior, config)).dropDuplicates(list(lists.LIST_COLUMNS))
 
 

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from catalog.fixtures import view
 from mailsieve.functions import features as ft
 from mailsieve.operators import cascade, feedback as fb, lists, training, verdicts
 from mailsieve.plans import session
@@ -141,3 +142,9 @@ def test_shared_folder_is_the_configured_one(spark):
 def test_every_message_gets_one_decision(spark, stored_mail):
     out = cascade.classify(scored(stored_mail), empty(spark, lists.LIST_SCHEMA), None, scorer=lambda p: ["ok"] * len(p))
     assert out.count() == 30_000 and out.select("msg_id").distinct().count() == 30_000
+
+
+def test_conditions_on_list_items_stay_out_of_the_feedback_scan(spark, sf):
+    """Pushed back, they repeat the senders' expressions until the generated code no longer compiles."""
+    out = fb.apply_feedback(view(spark, sf, "feedback"), view(spark, sf, "sender_list"))
+    assert max(len(line) for line in plan(out, "formatted").splitlines()) < 8000
