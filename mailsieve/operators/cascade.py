@@ -3,7 +3,7 @@
 Whitelist, blacklist, user override, forest with marketing score, cached verdict, external scorer,
 default: in this order, the first stage with an answer decides. Everything up to the scorer is a chain
 of conditions over one row, so no stage rescans the messages. Only the scorer runs in Python; it sees
-the rows nothing else could decide, one call per distinct fingerprint.
+the rows nothing else could decide, each distinct prompt once.
 """
 
 from __future__ import annotations
@@ -105,7 +105,9 @@ def classify(frame: DataFrame, sender_list: DataFrame, cache: DataFrame | None =
              replies: DataFrame | None = None, concurrency: int | None = None, calls: CallRules = CallRules()) -> DataFrame:
     """One decision per row of ``frame``.
 
-    The open rows are scored by ``scorer``, or from ``replies`` (fingerprint, reply) collected elsewhere.
+    The open rows are scored by ``scorer``, or from ``replies`` (fingerprint, reply) collected elsewhere. A fingerprint
+    covers the start of a text only, so rows that share one can differ in their prompts; the scorer is asked by prompt, and
+    a row gets the verdict on its own. In a ledger such replies stand under the digest of the prompt.
     With a scorer the staged rows are written to the shared folder first, so that scans and features run
     once and an executor lost during scoring costs no recomputation of them.
     """
@@ -120,10 +122,11 @@ def classify(frame: DataFrame, sender_list: DataFrame, cache: DataFrame | None =
     if scorer is None:
         return _flatten(staged.withColumn("decision", F.coalesce("decision", sc.verdict(*sc.UNAVAILABLE))))
     staged = materialize(staged.withColumn("prompt", F.when(F.col("decision").isNull(), F.col("prompt"))), "staged")
+    asked = F.when(F.col("decision").isNull(), F.md5(tx.or_empty(F.col("prompt"))))
     scored = materialize(
-        external_score(staged.filter("decision IS NULL").select("fingerprint", "prompt"), scorer, provider, concurrency, calls), "scored")
-    side = scored.select(F.col("fingerprint").alias("_rfp"), F.col("decision").alias("_scored"))
-    joined = staged.join(side, F.col("fingerprint") == F.col("_rfp"), "left").drop("_rfp")
+        external_score(staged.filter("decision IS NULL").select(asked.alias("fingerprint"), "prompt"), scorer, provider, concurrency, calls), "scored")
+    side = scored.select(F.col("fingerprint").alias("_asked"), F.col("decision").alias("_scored"))
+    joined = staged.join(side, asked == F.col("_asked"), "left").drop("_asked")
     return _flatten(joined.withColumn("decision", F.coalesce("decision", "_scored")).drop("_scored"))
 
 

@@ -123,6 +123,19 @@ def test_stage_order(spark, frame):
     assert len(got) == 12 and calls == []
 
 
+def test_rows_of_one_fingerprint_are_judged_by_their_own_prompts(spark, frame):
+    rows = frame(*[("a@x.de", "x.de", "same", 0.3, 0.0, p) for p in ("a plain one", "prize", "prize", "z plain one", None)])
+    log = spark.sparkContext.accumulator(0)
+
+    def scorer(prompts):
+        log.add(len(prompts))
+        return ['{"is_spam":true}' if p == "prize" else '{"is_spam":false}' for p in prompts]
+
+    out = cascade.classify(rows, spark.createDataFrame([], lists.LIST_SCHEMA), None, scorer=scorer)
+    assert {r.msg_id: r.action for r in out.collect()} == {0: "KEEP", 1: "SPAM", 2: "SPAM", 3: "KEEP", 4: "KEEP"}
+    assert log.value == 4  # each prompt once
+
+
 def test_scorer_failures(spark):
     prompts = spark.createDataFrame([("a", "x"), ("a", "x"), ("b", "y")], "fingerprint string, prompt string")
 
