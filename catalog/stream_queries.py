@@ -31,10 +31,10 @@ def query(sql: str | None = None):
 
 
 def stream_view(spark: SparkSession, sf: str, source: str, name: str) -> DataFrame:
-    """A fixture view over a table that is read as a stream."""
+    """A fixture view over a table that is read as a stream, whether it is one file or a folder of files."""
     load_tables(spark, sf)
     static = spark.read.parquet(f"{sf}/{source}.parquet")
-    live = spark.readStream.schema(static.schema).option("pathGlobFilter", f"{source}.parquet").parquet(sf)
+    live = spark.readStream.schema(static.schema).parquet(f"{sf}/{source}.parque[t]")  # a stream takes one file only by a pattern
     live.createOrReplaceTempView(f"{source}_live")
     needs, sql = VIEWS[name]
     texts = [(n, VIEWS[n][1]) for n in needs] + [(name, sql)]

@@ -270,3 +270,14 @@ def test_recent_times_equal_the_batch_mean_after_any_batching(spark, tmp_path):
         assert state.recent_average(spark, root).collect() == want
         assert tables.read_latest(spark, root).count() == 1000
     assert state.recent_average(spark, str(tmp_path / "none")).first()[0] == 0.0
+
+
+def test_streams_read_a_table_of_many_files(spark, sf, tmp_path):
+    from catalog.fixtures import TABLES
+    from catalog.stream_queries import classify_stream, dedup_stream
+    for name in TABLES:
+        os.symlink(f"{sf}/{name}.parquet", tmp_path / f"{name}.parquet") if name not in ("documents", "events") else (
+            spark.read.parquet(f"{sf}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet")))
+    got = classify_stream(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, classify_stream(spark, sf).collect())) != []
+    assert dedup_stream(spark, str(tmp_path)).count() == dedup_stream(spark, sf).count() > 0
