@@ -126,9 +126,10 @@ def _feedback_runs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _totals_log(spark: SparkSession, sf: str) -> DataFrame:
-    path = new_path(spark, "totals")
-    _finish(sj.start_to_table(state.sender_totals_stream(_feedback_runs(spark, sf)), path, available_now=True))
-    return spark.read.parquet(path)
+    root = new_path(spark, "totals")
+    writer = _feedback_runs(spark, sf).writeStream.foreachBatch(state.sender_totals_round(root))
+    _finish(writer.option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start())
+    return state.totals_log(spark, root)
 
 
 @query(_FB + f", {_HISTORY} SELECT sender_email, sender_domain, spam_count, ham_count, whitelist_count, blacklist_count FROM history")

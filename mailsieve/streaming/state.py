@@ -108,6 +108,51 @@ def sender_totals_stream(feedback: DataFrame, config: EngineConfig = EngineConfi
         timeMode="None" if ttl_days is None else "ProcessingTime")
 
 
+_KEPT = f"sender_email string, {_STATE}"
+
+
+def sender_totals_round(root: str, config: EngineConfig = EngineConfig()) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: what ``sender_totals_stream`` gives without a time to live, by joins and aggregations only,
+    for streams of many senders, as the state operator calls Python for each. The totals are a table of change rows under
+    ``root``/totals, of which a batch reads its senders; its log rows go to ``root``/log (``totals_log``). A repeated
+    batch reads the totals it started from and writes the same versions again."""
+    root = root.rstrip("/")
+
+    def round(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kind, moment = F.col("feedback_type"), F.coalesce(F.unix_micros(F.col("at").cast("timestamp")), F.lit(0))
+        run = F.max("run").cast("long") if "run" in batch.columns else F.lit(0).cast("long")
+        new = batch.groupBy(F.lower(tx.or_empty(F.col("sender_email"))).alias("sender_email")).agg(
+            F.min(F.lower("sender_domain")).alias("_domain"), *[F.count_if(kind == name).alias(f"_{c}") for name, c in fb.COUNTERS.items()],
+            F.min(moment).alias("_first"), F.max(moment).alias("_last"), F.coalesce(run, F.lit(0)).alias("run"))
+        senders = batch.select(F.lower(tx.or_empty(F.col("sender_email"))).alias("sender_email")).distinct()
+        prior = tables.read_state(spark, f"{root}/totals", _KEPT, number, only=senders)
+        rows = new.join(prior, "sender_email", "left").select(
+            "sender_email", F.least("_domain", "domain").alias("sender_domain"),
+            *[(F.coalesce(c, F.lit(0)) + F.col(f"_{c}")).alias(c) for c in _COUNTS],
+            F.least("_first", "first_us").alias("first_us"), F.greatest("_last", "last_us").alias("last_us"), "run",
+            (F.col("_spam_count") > 0).alias("_spam"), (F.col("_ham_count") > 0).alias("_ham"),
+            *[F.coalesce(c, F.lit(False)).alias(c) for c in ("blacklisted", "whitelisted")])
+        black = F.col("_spam") & ~F.col("blacklisted") & (F.col("spam_count") + F.col("blacklist_count") >= config.auto_blacklist_threshold)
+        white = F.col("_ham") & ~F.col("whitelisted") & (F.col("ham_count") + F.col("whitelist_count") >= config.auto_whitelist_threshold)
+        crossed = F.array_compact(F.array(F.when(black, F.lit("blacklist")), F.when(white, F.lit("whitelist"))))
+        log = rows.withColumns({
+            "crossed": crossed, "blacklisted": F.col("blacklisted") | black, "whitelisted": F.col("whitelisted") | white}).drop("_spam", "_ham")
+        tables.write_version(log, f"{root}/log", number + 1)
+        written = tables.read_latest(spark, f"{root}/log", log.schema, number + 1)
+        kept = written.select("sender_email", F.col("sender_domain").alias("domain"), *_COUNTS, "first_us", "last_us", "blacklisted", "whitelisted")
+        tables.write_changes(kept, f"{root}/totals", number + 1, ["sender_email"])
+        tables.compact(spark, f"{root}/totals")
+
+    return round
+
+
+def totals_log(spark: SparkSession, root: str) -> DataFrame:
+    """The log of all committed batches of ``sender_totals_round``."""
+    names = [part.split()[0] for part in _TOTALS.split(", ")]
+    return tables.read_committed(spark, f"{root.rstrip('/')}/log").select(*names)
+
+
 def latest_totals(log: DataFrame) -> DataFrame:
     """The history that a log of ``sender_totals_stream`` leaves: the newest totals of each sender."""
     size = sum((F.col(c) for c in _COUNTS[1:]), F.col(_COUNTS[0]))

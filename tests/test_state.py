@@ -281,3 +281,27 @@ def test_streams_read_a_table_of_many_files(spark, sf, tmp_path):
     got = classify_stream(spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, classify_stream(spark, sf).collect())) != []
     assert dedup_stream(spark, str(tmp_path)).count() == dedup_stream(spark, sf).count() > 0
+
+
+def test_totals_by_rounds_equal_the_state_operator_and_repeat(spark, tmp_path):
+    rows, root = feedback_rows(), str(tmp_path / "rounds")
+    one = state.sender_totals_round(root)
+    for run in range(8):
+        batch = spark.createDataFrame([r for r in rows if r[6] == run], FEEDBACK)
+        one(batch, run)
+        if run in (0, 5):
+            one(batch, run)  # repeated after a failure
+    log = state.totals_log(spark, root)
+    assert sorted((r.run, r.sender_email, r.list_type) for r in state.list_events(log).collect()) == walked(rows)
+    want = fb.sender_counters(spark.createDataFrame(rows, FEEDBACK))
+    assert sorted(map(str, state.latest_totals(log).collect())) == sorted(map(str, want.select(*state.latest_totals(log).columns).collect()))
+
+
+def test_the_totals_of_many_senders_call_no_python(spark, tmp_path):
+    from catalog import stream_queries
+    assert "sender_totals_round" in stream_queries._totals_log.__code__.co_names
+    rows = spark.range(40_000).selectExpr(
+        "id AS seq", "timestamp_ntz'2024-01-01' AS at", "'p' AS account", "concat('u', id DIV 4, '@x.de') AS sender_email",
+        "'x.de' AS sender_domain", "'is_spam' AS feedback_type", "0L AS run")
+    state.sender_totals_round(str(tmp_path / "t"))(rows, 0)
+    assert state.list_events(state.totals_log(spark, str(tmp_path / "t"))).count() == 10_000
