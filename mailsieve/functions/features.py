@@ -22,12 +22,12 @@ _S = fv.WHITESPACE
 _LINK_CHARS = rf'[^{_S}<>"{{}}|\\^`\[\]]+'
 URL = rf"https?://{_LINK_CHARS}|www\.{_LINK_CHARS}"
 WEB_LINK = rf"https?://{_LINK_CHARS}"
-_TLDS = "|".join(t.replace(".", r"\.") for t in fv.FEATURE_TLDS)
+_TLDS = rf"\.(?:{'|'.join(t.removeprefix('.') for t in fv.FEATURE_TLDS)})"  # one first character to look for
 _LINK_CHAR = _LINK_CHARS[:-1]
 _LINK_START = rf"(?:https?://|www\.){_LINK_CHAR}"
 _NOT_LINK = rf'[{_S}<>"{{}}|\\^`\[\]]+'
 # A link start and, after it, one of the suspicious endings. The first possessive part stops at the first link start.
-_LINKED_TLD = rf"(?s)^(?:(?!{_LINK_START}).)*+(?={_LINK_START}).*?(?:{_TLDS})"
+_LINKED_TLD = rf"(?s)^(?:(?!{_LINK_START}).)*+(?={_LINK_START}).*?{_TLDS}"
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Tried once per run of local-part characters, at its first word boundary.
 EMAIL = rf"(?:\G|(?<!{_LOCAL}))(?:(?!{_B}){_LOCAL})*+{_B}{_LOCAL}++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_B}"
@@ -78,7 +78,7 @@ def prepare(messages: DataFrame) -> DataFrame:
 
 def group_columns(group: str, columns: Sequence[str], lexicons: dict | None = None,
                   as_of: Column | None = None) -> dict[str, Column]:
-    """name -> expression for one message-only group, over the columns of ``prepare``."""
+    """name -> expression for one message-only group, over the columns of ``prepare``, ``_near`` and ``_wstat``."""
     lexicons = lexicons or fv.LEXICONS
     if group == "metadata":
         return _metadata()
@@ -124,6 +124,9 @@ def extract_features(
     for group in MESSAGE_GROUPS:
         if group in needed:
             built.update(group_columns(group, messages.columns, lexicons, as_of))
+    phrases = _body_phrases(needed, lexicons or fv.LEXICONS)
+    if phrases:
+        frame = frame.withColumn("_near", tx.around_phrases(F.col("_lbody"), phrases))
     if "text" in needed:
         frame = frame.withColumn("_wstat", tx.word_statistics(F.col("_words")))
     frame = frame.select(
@@ -197,13 +200,25 @@ def _subject(lexicons: dict) -> dict[str, Column]:
 
 def _suspicious_links(low: Column) -> Column:
     """Runs of link characters whose part from the first link start on has a suspicious ending anywhere inside. The
-    text is cut once at the other characters, and only runs with such an ending are looked at."""
-    runs = F.filter(F.split(low, _NOT_LINK), lambda run: F.rlike(run, F.lit(_TLDS)))
+    text is cut once at the other characters, and only runs that can start a link and have such an ending are looked at."""
+    runs = F.filter(F.split(low, _NOT_LINK), lambda run: (
+        (F.contains(run, F.lit("://")) | F.contains(run, F.lit("www."))) & F.rlike(run, F.lit(_TLDS))))
     return F.size(F.filter(runs, lambda run: F.rlike(run, F.lit(_LINKED_TLD))))
 
 
+def _body_phrases(groups: set[str], lexicons: dict) -> list[str]:
+    """Every phrase that the columns of ``groups`` count in the lowercase body."""
+    lists: list[Sequence[str]] = []
+    if "content" in groups:
+        lists += [lexicons[category] for category in fv.LEXICONS]
+    if "newsletter" in groups:
+        lists += [fv.TRACKING_TOKENS, fv.NEWSLETTER_PHRASES, fv.IMAGE_PLACEHOLDERS, fv.SOCIAL_PHRASES, fv.CTA_PHRASES, fv.PRICE_WORDS]
+    return [phrase for phrases in lists for phrase in phrases]
+
+
 def _content(lexicons: dict) -> dict[str, Column]:
     body, low, blen, linked = F.col("_body"), F.col("_lbody"), F.col("_blen"), F.col("_linked")
+    near = F.col("_near")
     newlines = tx.occurrences(body, "\n")
     filled = blen > 0
     out = {
@@ -219,26 +234,26 @@ def _content(lexicons: dict) -> dict[str, Column]:
         "content_avg_line_length": F.when(filled, (blen - newlines) / (newlines + 1)).otherwise(0.0),
     }
     for category in fv.LEXICONS:
-        out[f"content_{category}_keywords"] = tx.total_occurrences(low, lexicons[category])
+        out[f"content_{category}_keywords"] = tx.total_occurrences(low, lexicons[category], near)
     out["content_html_tag_count"] = F.size("_between") - 1
     return out
 
 
 def _newsletter() -> dict[str, Column]:
-    low = F.col("_lbody")
+    low, near = F.col("_lbody"), F.col("_near")
     images = (
         F.when(F.size("_between") > 1, tx.matches(F.lower("_markup"), IMAGE_TAG)).otherwise(0)
         + tx.matches(low, QUOTED_SRC, "src=") + tx.matches(low, QUOTED_ALT, "alt=")
-        + tx.total_occurrences(low, fv.IMAGE_PLACEHOLDERS))
-    prices = tx.matches(low, PERCENT_OFF, "%") + tx.total_occurrences(low, fv.PRICE_WORDS)
+        + tx.total_occurrences(low, fv.IMAGE_PLACEHOLDERS, near))
+    prices = tx.matches(low, PERCENT_OFF, "%") + tx.total_occurrences(low, fv.PRICE_WORDS, near)
     for sign, pattern in AMOUNTS.items():
         prices = prices + tx.matches(low, pattern, sign)
     return {
-        "content_tracking_urls": tx.total_occurrences(low, fv.TRACKING_TOKENS),
-        "content_newsletter_phrases": tx.total_occurrences(low, fv.NEWSLETTER_PHRASES),
+        "content_tracking_urls": tx.total_occurrences(low, fv.TRACKING_TOKENS, near),
+        "content_newsletter_phrases": tx.total_occurrences(low, fv.NEWSLETTER_PHRASES, near),
         "content_image_count": images,
-        "content_social_links": tx.total_occurrences(low, fv.SOCIAL_PHRASES),
-        "content_cta_count": tx.total_occurrences(low, fv.CTA_PHRASES),
+        "content_social_links": tx.total_occurrences(low, fv.SOCIAL_PHRASES, near),
+        "content_cta_count": tx.total_occurrences(low, fv.CTA_PHRASES, near),
         "content_price_indicators": prices,
     }
 
@@ -307,7 +322,7 @@ def _temporal(as_of: Column | None) -> dict[str, Column]:
 
 def _text() -> dict[str, Column]:
     total, stat = F.size("_words"), F.col("_wstat")
-    unique = tx.ratio(F.size(F.array_distinct("_words")), total)
+    unique = tx.ratio(stat["distinct"], total)
     return {
         "text_entropy": F.when(total > 0, F.greatest(F.log2(total) - stat["clogc"] / total, F.lit(0.0))).otherwise(0.0),
         "text_unique_word_ratio": unique,

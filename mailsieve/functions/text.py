@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from mailsieve.functions import fixed_values as fv
 
 _BLANKS = " " * len(fv.WHITESPACE_CHARS)
+_RARE_ASCII_BLANKS = r"[\x09\x0b\x0c\x0d\x1c\x1d\x1e\x1f]"
+_BY_RARITY = "qzxjkvbpgwyfm.culdrhsnioate "  # of characters in prose; those left out count as rarer
+_SEPARATOR = "\x1f"
 
 
 def or_empty(col: Column) -> Column:
@@ -20,9 +23,11 @@ def words(col: Column) -> Column:
     """Whitespace-separated words; no empty entries.
 
     Mapping every kind of whitespace to a blank first allows a split at one character, which is several
-    times faster than a split at a character class.
+    times faster than a split at a character class. Most ASCII texts have blanks and line breaks only.
     """
-    return F.array_remove(F.split(F.translate(col, fv.WHITESPACE_CHARS, _BLANKS), " ", -1), "")
+    plain = (F.octet_length(col) == F.length(col)) & ~F.rlike(col, F.lit(_RARE_ASCII_BLANKS))
+    blanked = F.when(plain, F.replace(col, F.lit("\n"), F.lit(" "))).otherwise(F.translate(col, fv.WHITESPACE_CHARS, _BLANKS))
+    return F.array_remove(F.split(blanked, " ", -1), "")
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -46,13 +51,68 @@ def occurrences(col: Column, needle: str | Column) -> Column:
     replace for texts without the needle, which are most of them.
     """
     needle = F.lit(needle) if isinstance(needle, str) else needle
+    return F.when(F.contains(col, needle), _occurrences(col, needle)).otherwise(0)
+
+
+def _occurrences(col: Column, needle: Column) -> Column:
     removed = F.octet_length(col) - F.octet_length(F.replace(col, needle, F.lit("")))
-    return F.when(F.contains(col, needle), (removed / F.octet_length(needle)).cast("int")).otherwise(0)
+    return (removed / F.octet_length(needle)).cast("int")
+
+
+def total_occurrences(col: Column, phrases: Sequence[str], near: Column | None = None) -> Column:
+    """Sum of occurrences over all phrases; one fold over a literal array keeps the plan small.
+
+    ``near`` is ``around_phrases(col, ...)`` of these phrases and any others: only what it holds is counted in the text.
+    """
+    if near is None:
+        return F.aggregate(_literals(phrases), F.lit(0), lambda acc, p: acc + occurrences(col, p))
+    present = F.filter(_literals(phrases), lambda p: F.contains(near, p))
+    return F.aggregate(present, F.lit(0), lambda acc, p: acc + _occurrences(col, p))
+
+
+def around_phrases(col: Column, phrases: Sequence[str], most_bytes: int = 1_000_000) -> Column:
+    """The pieces of the text around the phrases: a short text that holds every one of ``phrases`` that the text holds.
+
+    One scan for all of them, where a search for each takes a hundred. A phrase is looked for at its rarest character,
+    so most characters are passed by one test. The piece reaches back from the phrase's end twice as far as the longest
+    phrase, so it holds the others at this character, too. Longer texts stay whole, as pieces may add up.
+    """
+    phrases = sorted({p for p in phrases if p})
+    if not phrases:
+        return F.lit("")
+    pieces = F.regexp_extract_all(col, F.lit(_phrase_ends(phrases)), F.lit(1))
+    return F.when(F.octet_length(col) <= most_bytes, F.array_join(pieces, _SEPARATOR)).otherwise(col)
+
+
+def _phrase_ends(phrases: Sequence[str], together: int = 5) -> str:
+    """A pattern that finds the rarest character of a phrase; its group is the text up to the end of that phrase."""
+    rarest: dict[str, list[tuple[str, str]]] = {}
+    for phrase in phrases:
+        at = min(range(len(phrase)), key=lambda i: _BY_RARITY.find(phrase[i]))
+        rarest.setdefault(phrase[at], []).append((phrase[at + 1:], phrase))
+    common_first = sorted(rarest, key=_BY_RARITY.find, reverse=True)
+    groups = [common_first[i:i + together] for i in range(0, len(common_first), together)]
+    tests = "|".join(f"(?={_any(group)})(?:{'|'.join(_quoted(c) + _rest(rarest[c]) for c in group)})" for group in groups)
+    # lengths are characters, but the search back goes by UTF-16 units, two for some characters
+    back = 2 * max(map(len, phrases))
+    piece = f"^.{{0,{back - 1}}}?|.{{{back},{2 * back}}}?"
+    return f"(?s)(?={_any(common_first)})(?=(?:{tests})(?<=({piece})))."
+
+
+def _rest(ends: Sequence[tuple[str, str]]) -> str:
+    """One of the ends, the longest that fits, if the whole phrase stands before its last character."""
+    longer = [_quoted(c) + _rest([(end[1:], phrase) for end, phrase in ends if end[:1] == c])
+              for c in sorted({end[0] for end, _ in ends if end})]
+    done = [f"(?<={''.join(map(_quoted, phrase))})" for end, phrase in ends if not end]
+    return f"(?:{'|'.join(longer + done)})"
 
 
-def total_occurrences(col: Column, phrases: Sequence[str]) -> Column:
-    """Sum of occurrences over all phrases; one fold over a literal array keeps the plan small."""
-    return F.aggregate(_literals(phrases), F.lit(0), lambda acc, p: acc + occurrences(col, p))
+def _any(chars: Sequence[str]) -> str:
+    return f"[{''.join(map(_quoted, chars))}]"
+
+
+def _quoted(char: str) -> str:
+    return char if char.isalnum() or char == " " else "\\" + char
 
 
 def phrases_present(col: Column, phrases: Sequence[str]) -> Column:
@@ -89,36 +149,24 @@ def flag(condition: Column) -> Column:
 
 
 def word_statistics(word_list: Column) -> Column:
-    """struct(last, run, repeated, clogc) from a *sorted* word array.
+    """struct(distinct, repeated, clogc) from a *sorted* word array.
 
-    Equal words are neighbours after sorting, so one pass over the array finds every run. No shuffle is
-    needed, and the whole text is used whatever its length. repeated: distinct words with more than
-    three occurrences; clogc: sum of c * log2(c) over distinct words.
+    Equal words are neighbours after sorting, so the places where words begin give the length of every run. No shuffle
+    is needed, and the whole text is used whatever its length. repeated: distinct words with more than three
+    occurrences; clogc: sum of c * log2(c) over distinct words. Only runs of two or more are added up.
     """
-    start = F.struct(
-        F.lit(None).cast("string").alias("last"),
-        F.lit(0).alias("run"),
-        F.lit(0).alias("repeated"),
-        F.lit(0.0).alias("clogc"),
-    )
-
-    def step(acc: Column, word: Column) -> Column:
-        same = word.eqNullSafe(acc["last"])
-        run = F.when(same, acc["run"] + 1).otherwise(1)
-        # c*log2(c) is raised by the step from c-1 to c, so no closing of runs is needed
-        gain = F.when(
-            same, (acc["run"] + 1) * F.log2(acc["run"] + 1) - acc["run"] * F.log2(acc["run"])
-        ).otherwise(0.0)
-        return F.struct(
-            word.alias("last"),
-            run.alias("run"),
-            (acc["repeated"] + F.when(same & (acc["run"] == 3), 1).otherwise(0)).alias("repeated"),
-            (acc["clogc"] + gain).alias("clogc"),
-        )
-
-    return F.aggregate(word_list, start, step)
+    marked = F.transform(word_list, lambda word, i: F.when(word == F.get(word_list, i - 1), -1).otherwise(i))
+
+    def runs(starts: Column) -> Column:
+        lengths = F.transform(starts, lambda start, i: F.coalesce(F.get(starts, i + 1), F.size(word_list)) - start)
+        return let(F.filter(lengths, lambda c: c > 1), lambda many: F.struct(
+            F.size(starts).alias("distinct"),
+            F.size(F.filter(many, lambda c: c > 3)).alias("repeated"),
+            F.aggregate(many, F.lit(0.0), lambda acc, c: acc + c * F.log2(c)).alias("clogc")))
+
+    return let(F.filter(marked, lambda i: i >= 0), runs)
 
 
 def _literals(values: Sequence[str]) -> Column:
     """Constant string array, from one literal: the optimiser folds the split away."""
-    return F.split(F.lit("\x1f".join(values)), "\x1f", -1)
+    return F.split(F.lit(_SEPARATOR.join(values)), _SEPARATOR, -1)

@@ -172,6 +172,26 @@ def test_random_texts(spark, texts):
         assert r.u == sum(any(x in u for x in fv.FEATURE_TLDS) for u in links(low))
 
 
+def test_phrases_are_counted_where_one_scan_finds_them(spark):
+    """Counts by way of the pieces around phrases equal plain counts: overlaps, wide characters, quoting, long texts."""
+    phrases = ("limited", "limited time", "time limit", "ee", "free", "a.b", "$5", "[x]", "\U0001f600go", "é", "go \U0001f600", "z", "e t")
+    texts = ["", "limited time limit", "\U0001f600" * 40 + "free" + "\U0001f600go \U0001f600" * 30, "freeee a.b axb [x] $5\n$5", "étéz" * 50,
+             "free the time", "\U0001f600" * 9 + "limited time", "x" * 1_000_001 + "free"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").withColumn("near", tx.around_phrases(F.col("t"), phrases))
+    out = rows.select("i", tx.total_occurrences(F.col("t"), phrases, F.col("near")).alias("n"), F.length("near").alias("size"),
+                      *[F.contains("near", F.lit(p)).alias(f"p{k}") for k, p in enumerate(phrases)]).collect()
+    for r in out:
+        assert r.n == sum(texts[r.i].count(p) for p in phrases)
+        assert [r[f"p{k}"] for k in range(len(phrases))] == [p in texts[r.i] for p in phrases]
+    assert rows.filter("t = ''").first()["near"] == ""
+
+
+def test_word_statistics_from_runs(spark):
+    row = spark.range(1).select(F.sort_array(F.split(F.lit("a a a a b b c"), " ")).alias("w")).select(
+        tx.word_statistics(F.col("w")).alias("s")).first()["s"]
+    assert (row["distinct"], row["repeated"]) == (3, 1) and row["clogc"] == pytest.approx(4 * 2 + 2 * 1)
+
+
 def test_long_text_is_read_whole(messages):
     body = "plain words here " * 200_000 + "unsubscribe"
     row = ft.extract_features(messages({"body": body, "subject": ""}), as_of=as_of(), groups=("metadata", "newsletter", "text")).first()
