@@ -23,11 +23,6 @@ _LINK_CHARS = rf'[^{_S}<>"{{}}|\\^`\[\]]+'
 URL = rf"https?://{_LINK_CHARS}|www\.{_LINK_CHARS}"
 WEB_LINK = rf"https?://{_LINK_CHARS}"
 _TLDS = rf"\.(?:{'|'.join(t.removeprefix('.') for t in fv.FEATURE_TLDS)})"  # one first character to look for
-_LINK_CHAR = _LINK_CHARS[:-1]
-_LINK_START = rf"(?:https?://|www\.){_LINK_CHAR}"
-_NOT_LINK = rf'[{_S}<>"{{}}|\\^`\[\]]+'
-# A link start and, after it, one of the suspicious endings. The first possessive part stops at the first link start.
-_LINKED_TLD = rf"(?s)^(?:(?!{_LINK_START}).)*+(?={_LINK_START}).*?{_TLDS}"
 _LOCAL = "[A-Za-z0-9._%+-]"
 # Tried once per run of local-part characters, at its first word boundary.
 EMAIL = rf"(?:\G|(?<!{_LOCAL}))(?:(?!{_B}){_LOCAL})*+{_B}{_LOCAL}++@[A-Za-z0-9.-]+\.[A-Z|a-z]{{2,}}{_B}"
@@ -73,6 +68,7 @@ def prepare(messages: DataFrame) -> DataFrame:
     return listed.withColumns({
         "_words": F.sort_array(F.concat("_swords", "_bwords")),
         "_markup": F.substring(F.col("_body"), F.lit(1), F.col("_blen") - F.col("_tail")),
+        "_links": F.when(F.col("_linked"), _links(F.col("_lbody"))).otherwise(F.array().cast("array<string>")),
     }).withColumn("_between", F.split("_markup", TAG, -1))  # one piece more than there are tags
 
 
@@ -198,12 +194,19 @@ def _subject(lexicons: dict) -> dict[str, Column]:
     return out
 
 
-def _suspicious_links(low: Column) -> Column:
-    """Runs of link characters whose part from the first link start on has a suspicious ending anywhere inside. The
-    text is cut once at the other characters, and only runs that can start a link and have such an ending are looked at."""
-    runs = F.filter(F.split(low, _NOT_LINK), lambda run: (
-        (F.contains(run, F.lit("://")) | F.contains(run, F.lit("www."))) & F.rlike(run, F.lit(_TLDS))))
-    return F.size(F.filter(runs, lambda run: F.rlike(run, F.lit(_LINKED_TLD))))
+def _links(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(URL), F.lit(0))
+
+
+def _suspicious_links(low: Column, links: Column | None = None) -> Column:
+    """Links of the lowercase text that have a suspicious ending anywhere inside."""
+    return F.size(F.filter(_links(low) if links is None else links, lambda link: F.rlike(link, F.lit(_TLDS))))
+
+
+def _email_addresses(body: Column) -> Column:
+    """Number of addresses. None holds a blank, so only the pieces between blanks that have an @ are searched."""
+    pieces = F.filter(F.split(body, " ", -1), lambda piece: F.contains(piece, F.lit("@")))
+    return F.when(F.contains(body, F.lit("@")), tx.matches(F.array_join(pieces, " "), EMAIL)).otherwise(0)
 
 
 def _body_phrases(groups: set[str], lexicons: dict) -> list[str]:
@@ -217,7 +220,7 @@ def _body_phrases(groups: set[str], lexicons: dict) -> list[str]:
 
 
 def _content(lexicons: dict) -> dict[str, Column]:
-    body, low, blen, linked = F.col("_body"), F.col("_lbody"), F.col("_blen"), F.col("_linked")
+    body, low, blen, links = F.col("_body"), F.col("_lbody"), F.col("_blen"), F.col("_links")
     near = F.col("_near")
     newlines = tx.occurrences(body, "\n")
     filled = blen > 0
@@ -225,9 +228,9 @@ def _content(lexicons: dict) -> dict[str, Column]:
         "content_caps_ratio": tx.ratio(tx.matches(body, UPPERCASE), blen),
         "content_exclamation_count": tx.occurrences(body, "!"),
         "content_question_count": tx.occurrences(body, "?"),
-        "content_url_count": F.when(linked, tx.matches(low, URL)).otherwise(0),
-        "content_suspicious_tld_count": F.when(linked & F.rlike(low, F.lit(_TLDS)), _suspicious_links(low)).otherwise(0),
-        "content_email_count": tx.matches(body, EMAIL, "@"),
+        "content_url_count": F.size(links),
+        "content_suspicious_tld_count": _suspicious_links(low, links),
+        "content_email_count": _email_addresses(body),
         "content_phone_count": F.when(F.rlike(body, F.lit(PHONE_TAIL)), tx.matches(body, PHONE)).otherwise(0),
         "content_number_count": tx.matches(body, NUMBER),
         "content_line_count": F.when(filled, newlines + 1).otherwise(0),

@@ -10,11 +10,21 @@ from pyspark.sql import functions as F
 from mailsieve.functions import fixed_values as fv
 
 _BLANKS = " " * len(fv.WHITESPACE_CHARS)
-_RARE_ASCII_BLANKS = r"[\x09\x0b\x0c\x0d\x1c\x1d\x1e\x1f]"
 _BY_RARITY = "qzxjkvbpgwyfm.culdrhsnioate "  # of characters in prose; those left out count as rarer
+_COMMON = frozenset("rhsnioate ")
 _SEPARATOR = "\x1f"
 
 
+def _rare_blanks() -> str:
+    """Every whitespace character but blank and line break. Those beyond Latin-1 are asked for only inside their range."""
+    rare = [c for c in fv.WHITESPACE_CHARS if c not in " \n"]
+    low, high = [c for c in rare if c < "\u0100"], [c for c in rare if c >= "\u0100"]
+    return f"[{''.join(low)}[{min(high)}-{max(high)}&&[{''.join(high)}]]]"
+
+
+_RARE_BLANKS = _rare_blanks()
+
+
 def or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
@@ -23,9 +33,9 @@ def words(col: Column) -> Column:
     """Whitespace-separated words; no empty entries.
 
     Mapping every kind of whitespace to a blank first allows a split at one character, which is several
-    times faster than a split at a character class. Most ASCII texts have blanks and line breaks only.
+    times faster than a split at a character class. Most texts have blanks and line breaks only.
     """
-    plain = (F.octet_length(col) == F.length(col)) & ~F.rlike(col, F.lit(_RARE_ASCII_BLANKS))
+    plain = ~F.rlike(col, F.lit(_RARE_BLANKS))
     blanked = F.when(plain, F.replace(col, F.lit("\n"), F.lit(" "))).otherwise(F.translate(col, fv.WHITESPACE_CHARS, _BLANKS))
     return F.array_remove(F.split(blanked, " ", -1), "")
 
@@ -80,23 +90,34 @@ def around_phrases(col: Column, phrases: Sequence[str], most_bytes: int = 1_000_
     phrases = sorted({p for p in phrases if p})
     if not phrases:
         return F.lit("")
-    pieces = F.regexp_extract_all(col, F.lit(_phrase_ends(phrases)), F.lit(1))
+    apart = [p for p in phrases if _COMMON.issuperset(p)]  # their rarest character would stop the scan too often
+    scanned = [p for p in phrases if p not in apart]
+    if len(apart) > 3 or not scanned:
+        apart, scanned = [], phrases
+    pieces = F.regexp_extract_all(col, F.lit(_phrase_ends(scanned, 2 * max(map(len, phrases)))), F.lit(1))
+    if apart:
+        pieces = F.concat(pieces, F.array(*[F.when(F.contains(col, F.lit(p)), F.lit(p)) for p in apart]))
     return F.when(F.octet_length(col) <= most_bytes, F.array_join(pieces, _SEPARATOR)).otherwise(col)
 
 
-def _phrase_ends(phrases: Sequence[str], together: int = 5) -> str:
-    """A pattern that finds the rarest character of a phrase; its group is the text up to the end of that phrase."""
+def _phrase_ends(phrases: Sequence[str], back: int, together: int = 8) -> str:
+    """A pattern that finds the rarest character of a phrase; its group is the text up to the end of that phrase.
+
+    ``back`` is twice the longest length: lengths are characters, but the search back goes by UTF-16 units.
+    """
     rarest: dict[str, list[tuple[str, str]]] = {}
     for phrase in phrases:
         at = min(range(len(phrase)), key=lambda i: _BY_RARITY.find(phrase[i]))
         rarest.setdefault(phrase[at], []).append((phrase[at + 1:], phrase))
     common_first = sorted(rarest, key=_BY_RARITY.find, reverse=True)
-    groups = [common_first[i:i + together] for i in range(0, len(common_first), together)]
-    tests = "|".join(f"(?={_any(group)})(?:{'|'.join(_quoted(c) + _rest(rarest[c]) for c in group)})" for group in groups)
-    # lengths are characters, but the search back goes by UTF-16 units, two for some characters
-    back = 2 * max(map(len, phrases))
+    tests = []
+    for last in (False, True):  # characters that go on in every phrase are tested together with the next one
+        chars = [c for c in common_first if any(not end for end, _ in rarest[c]) is last]
+        for group in (chars[i:i + together] for i in range(0, len(chars), together)):
+            after = "" if last else _any(sorted({end[0] for c in group for end, _ in rarest[c]}))
+            tests.append(f"(?={_any(group)}{after})(?:{'|'.join(_quoted(c) + _rest(rarest[c]) for c in group)})")
     piece = f"^.{{0,{back - 1}}}?|.{{{back},{2 * back}}}?"
-    return f"(?s)(?={_any(common_first)})(?=(?:{tests})(?<=({piece})))."
+    return f"(?s)(?={_any(common_first)})(?=(?:{'|'.join(tests)})(?<=({piece})))."
 
 
 def _rest(ends: Sequence[tuple[str, str]]) -> str:
@@ -151,20 +172,22 @@ def flag(condition: Column) -> Column:
 def word_statistics(word_list: Column) -> Column:
     """struct(distinct, repeated, clogc) from a *sorted* word array.
 
-    Equal words are neighbours after sorting, so the places where words begin give the length of every run. No shuffle
-    is needed, and the whole text is used whatever its length. repeated: distinct words with more than three
-    occurrences; clogc: sum of c * log2(c) over distinct words. Only runs of two or more are added up.
+    Equal words are neighbours after sorting. A word is marked 1 if the next one equals it, else 0, so in the joined marks
+    every run ends with a 0 and a run of c words gives c - 1 ones before it. No shuffle is needed, and the whole text is
+    used whatever its length. repeated: distinct words with more than three occurrences; clogc: sum of c * log2(c) over
+    distinct words. Only runs of two or more are added up.
     """
-    marked = F.transform(word_list, lambda word, i: F.when(word == F.get(word_list, i - 1), -1).otherwise(i))
+    marks = F.zip_with(word_list, F.slice(word_list, F.lit(2), F.size(word_list)),
+                       lambda word, after: F.when(word == after, "1").otherwise("0"))
 
-    def runs(starts: Column) -> Column:
-        lengths = F.transform(starts, lambda start, i: F.coalesce(F.get(starts, i + 1), F.size(word_list)) - start)
-        return let(F.filter(lengths, lambda c: c > 1), lambda many: F.struct(
-            F.size(starts).alias("distinct"),
-            F.size(F.filter(many, lambda c: c > 3)).alias("repeated"),
-            F.aggregate(many, F.lit(0.0), lambda acc, c: acc + c * F.log2(c)).alias("clogc")))
+    def runs(ones: Column) -> Column:
+        return let(F.array_remove(ones, ""), lambda many: F.struct(
+            (F.size(ones) - 1).alias("distinct"),
+            F.size(F.filter(many, lambda one: F.length(one) >= 3)).alias("repeated"),
+            F.aggregate(F.transform(many, lambda one: F.length(one) + 1), F.lit(0.0),
+                        lambda acc, c: acc + c * F.log2(c)).alias("clogc")))
 
-    return let(F.filter(marked, lambda i: i >= 0), runs)
+    return let(F.split(F.array_join(marks, ""), "0", -1), runs)
 
 
 def _literals(values: Sequence[str]) -> Column:

@@ -192,6 +192,54 @@ def test_word_statistics_from_runs(spark):
     assert (row["distinct"], row["repeated"]) == (3, 1) and row["clogc"] == pytest.approx(4 * 2 + 2 * 1)
 
 
+def test_word_statistics_of_any_run(spark):
+    texts = ["", "a", "a a", "a b c", "b a b a b", "x " * 2000 + "y", "a aa aaa aa a a a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    out = rows.select("i", tx.word_statistics(F.sort_array(tx.words(F.col("t")))).alias("s")).collect()
+    for r in out:
+        runs = Counter(texts[r.i].split()).values()
+        assert (r.s["distinct"], r.s["repeated"]) == (len(runs), sum(c > 3 for c in runs))
+        assert r.s["clogc"] == pytest.approx(sum(c * math.log2(c) for c in runs))
+
+
+def test_links_are_looked_for_once(spark, messages):
+    """Their number and their endings come from one scan of the text."""
+    jvm, name = spark._jvm, "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1000")
+    try:
+        frame = ft.extract_features(messages({}), groups=("content",))
+        mode = jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+        text = frame._jdf.queryExecution().explainString(mode)
+    finally:
+        spark.conf.set(name, before)
+    assert text.count("https?://") == 1
+
+
+def test_addresses_are_counted_between_blanks(spark):
+    texts = ["a@b.cc", " a@b.cc  c@d.ee ", "x a@b.cc,c@d.ee\nf@g.hh y", "@ a @b.cc a@ b.cc", "a@b.cc.d@e.ff g@h.ii", "é@b.cc a.é@c.dd", "no", "",
+             "\u212a@b.cc \u0130i@c.dd", "a@b.cc\u00a0c@d.ee", "-a@b.cc a-@b.cc %@b.cc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    out = rows.select("i", ft._email_addresses(F.col("t")).alias("n"), tx.matches(F.col("t"), ft.EMAIL).alias("plain")).collect()
+    for r in out:
+        assert r.n == r.plain == found(r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", texts[r.i]), texts[r.i]
+
+
+def test_words_are_cut_at_every_kind_of_whitespace(spark):
+    texts = [f"\u00e9{blank}b{blank}{blank}c d\ne" for blank in fv.WHITESPACE_CHARS] + ["\u00e9 b\nc", "\u2010a\u20ac \u3001b", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string")
+    for r in rows.select("i", tx.words(F.col("t")).alias("w")).collect():
+        assert r.w == texts[r.i].split(), repr(texts[r.i])
+
+
+def test_phrases_of_common_letters_are_counted(spark):
+    phrases = ("share this", "noon", "free", "refer a friend to this")
+    texts = ["share this share this", "no on noon", "afternoon freedom", "refer a friend to this share thi", "", "share\nthis"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, t string").withColumn("near", tx.around_phrases(F.col("t"), phrases))
+    for r in rows.select("i", tx.total_occurrences(F.col("t"), phrases, F.col("near")).alias("n")).collect():
+        assert r.n == sum(texts[r.i].count(p) for p in phrases), texts[r.i]
+
+
 def test_long_text_is_read_whole(messages):
     body = "plain words here " * 200_000 + "unsubscribe"
     row = ft.extract_features(messages({"body": body, "subject": ""}), as_of=as_of(), groups=("metadata", "newsletter", "text")).first()
