@@ -18,6 +18,7 @@ from mailsieve.functions import fixed_values as fv
 from mailsieve.functions import identity
 from mailsieve.functions import text as tx
 from mailsieve.operators import verdicts
+from mailsieve.plans.session import small_splits
 from mailsieve.plans.skew import running_position
 
 SAMPLE_COLUMNS = ("sample_id", "sender_email", "sender_domain", "subject", "body", "is_spam", "source")
@@ -182,13 +183,14 @@ def train_forest(weighted: DataFrame, config: EngineConfig = EngineConfig()) ->
         "sample_id", "is_spam", "weight", F.col("is_spam").cast("double").alias("label"), "features")
     parts = stratified_split(vectors, config=config).persist()
     try:
+        with small_splits(weighted.sparkSession):
+            report = training_report(parts).first().asDict()  # reads all rows, so the features are kept from here on
         train = parts.filter(F.col("part").isin("train", "both"))
         train = train.join(F.broadcast(class_balance(train)), "is_spam").withColumn(  # two rows at most
             "train_weight", F.col("weight") * F.col("balance"))
         model = forest_pipeline(config).fit(train)
         scored = model.transform(parts.filter(F.col("part").isin("test", "both")))
         accuracy = MulticlassClassificationEvaluator(metricName="accuracy").evaluate(scored)
-        report = training_report(parts).first().asDict()
     finally:
         parts.unpersist()
     return TrainingResult(True, model, accuracy, report)

@@ -163,3 +163,29 @@ def test_results_of_a_run_read_no_texts_again(spark, stored_mail):
 def test_forest_scores_take_the_features_from_one_table(spark, sf):
     from catalog import learning_queries
     assert "body" not in plan(learning_queries.forest_score(spark, sf))
+
+
+def test_training_cuts_its_scan_into_small_splits(spark, monkeypatch):
+    """While the features are extracted; a size that the session names itself stays."""
+    key, seen = session.SPLIT_KEY, []
+
+    class Stop(Exception):
+        pass
+
+    def report(parts):
+        seen.append(spark.conf.get(key))
+        raise Stop
+
+    monkeypatch.setattr(training, "training_report", report)
+    rows = spark.range(30).select(
+        F.col("id").cast("string").alias("sample_id"), (F.col("id") < 9).alias("is_spam"), F.lit(1.0).alias("weight"))
+    for own, during in ((None, "32m"), ("64m", "64m")):
+        if own:
+            spark.conf.set(key, own)
+        before = spark.conf.get(key)
+        try:
+            with pytest.raises(Stop):
+                training.train_forest(rows)
+            assert seen.pop() == during and spark.conf.get(key) == before
+        finally:
+            spark.conf.unset(key)
