@@ -367,6 +367,26 @@ def test_estimate_is_the_least_determinant_of_all_subsets(spark):
         assert [got[key][f"w{i}{j}"] for i in range(5) for j in range(i, 5)] == pytest.approx([inverse[i, j] for i in range(5) for j in range(i, 5)])
 
 
+def test_a_step_of_the_estimate_costs_few_jobs(spark, monkeypatch):
+    """Each job costs the driver memory; a step takes two rounds of broadcast, combining and writing."""
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame(
+        [(f"g{i % 3}", i % 64, *map(float, x)) for i, x in enumerate(rng.standard_t(2, (3000, 5)))], "key string, salt int, " + ", ".join(f"x{i} double" for i in range(5)))
+    rows = quality.materialize(rows)
+    steps, summed = [], quality._summed
+    monkeypatch.setattr(quality, "_summed", lambda *a: (steps.append(1), summed(*a))[1])
+
+    def next_job(name):
+        spark.sparkContext.setJobGroup(name, name)
+        spark.sparkContext.parallelize([1], 1).count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return spark.sparkContext.statusTracker().getJobIdsForGroup(name)[0]
+
+    first = next_job("before the estimate")
+    assert quality.group_estimates(rows, quality.QualityRules()).count() == 3
+    assert len(steps) > 4 and next_job("after the estimate") - first <= 6 * len(steps) + 8
+
+
 def test_repeated_lines_alone_reject(spark):
     rng = random.Random(8)
     def lines(n):
