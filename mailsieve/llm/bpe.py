@@ -162,10 +162,16 @@ _before_word = regex.compile(r" (?=[^\p{White_Space}\x1c-\x1f])")
 
 
 def pieces(text: str) -> list[str]:
-    """The text cut before each blank that a visible character follows; a piece keeps its leading blank."""
-    if "  " in text or " \n" in text or not text.isprintable() and _odd_white(text):
+    """The text cut before each blank that a visible character follows; a piece keeps its leading blank. A line break
+    that has no white space beside it, but for the blank of the next word, is a word of its own and so a piece."""
+    plain = text.isprintable() or text.replace("\n", "").isprintable()
+    if "  " in text or " \n" in text or not plain and _odd_white(text):
         found = _before_word.split(text)
         found = [found[0], *[f" {p}" for p in found[1:]]]
+    elif plain and "\n" in text and "\n\n" not in text and text[-1] != " ":
+        found = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if "\n " in text or text[0] == "\n" or text[-1] == "\n":
+            return [p for p in found if p]
     else:
         found = text.replace(" ", "\0 ").split("\0")
     return found if found[0] else found[1:]

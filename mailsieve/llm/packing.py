@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailsieve.llm.bpe import PATTERN, byte_letters, pieces
-from mailsieve.llm.remember import kept
+from mailsieve.llm.remember import Pieces, kept
 from mailsieve.plans.session import materialize
 
-#: pieces kept in each of two generations
-REMEMBERED = 250_000
+#: pieces kept
+REMEMBERED = 500_000
 WIDTH = 4
 PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 # doc_id is text in the tasks: pandas would turn numbers beside a missing one into floats
@@ -42,10 +42,7 @@ _OUT = f"{PIECES}, task int, ids binary"
 class LibraryIds:
     """Token ids by the tokenizers library, as bytes of little-endian 32-bit numbers. Words recur, so the ids of up to
     ``REMEMBERED`` pieces are kept; a piece is cut before a blank that a visible character follows, where no token can
-    reach across.
-
-    New pieces go to the young generation. When it is full it becomes the old one, and what was old and not looked up
-    since is forgotten.
+    reach across. A full table is kept while it serves (``remember.Pieces``).
     """
 
     def __init__(self, path: str):
@@ -58,8 +55,7 @@ class LibraryIds:
         self.letters = str.maketrans({chr(b): c for b, c in enumerate(byte_letters())})
         self.blank = byte_letters()[32]
         self.cut = regex.compile(PATTERN).findall
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: Pieces = Pieces(REMEMBERED)
 
     def _word(self, word: str) -> bytes:
         if word[1:].isalpha() and word.isascii():  # letters stand for themselves
@@ -70,25 +66,21 @@ class LibraryIds:
         return array("I", [t.id for t in tokens]).tobytes()
 
     def _new(self, piece: str) -> bytes:
-        """The ids of a piece that is not in the young generation. A piece of several words, as lines joined by their
-        breaks are, is seldom seen again; only its words are remembered."""
-        found = self.old.get(piece)
-        if found is None:
-            if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+        """The ids of a piece that is not remembered. A piece of several words, as lines joined by their breaks are, is
+        seldom seen again; only its words are remembered."""
+        if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+            found = self._word(piece)
+        else:
+            marked = piece[-1] in ".,;:" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha())
+            words = [piece[:-1], piece[-1]] if marked else self.cut(piece)
+            if len(words) == 1:
                 found = self._word(piece)
             else:
-                marked = piece[-1] in ".,;:" and piece[1:-1].isalpha() and (piece[0] == " " or piece[0].isalpha())
-                words = [piece[:-1], piece[-1]] if marked else self.cut(piece)
-                if len(words) == 1:
-                    found = self._word(piece)
-                else:
-                    known = self.known
-                    found = b"".join([known.get(w) or self._new(w) for w in words])
-                    if len(words) > 2:
-                        return found
-        if len(self.known) >= REMEMBERED:
-            self.old, self.known = self.known, {}
-        self.known[piece] = found
+                known = self.known
+                found = b"".join([known.get(w) or self._new(w) for w in words])
+                if len(words) > 2:
+                    return found
+        self.known.add(piece, found)
         return found
 
     def __call__(self, text: str | None) -> bytes:
@@ -97,10 +89,11 @@ class LibraryIds:
         if any(s in text for s in self.special):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         found = pieces(text)
-        known, new = self.known.get, self._new
-        out = [known(p) for p in found]
-        if None in out:
-            out = [new(p) if ids is None else ids for p, ids in zip(found, out)]
+        new = self._new
+        out = list(map(self.known.get, found))
+        if not all(out):
+            out = [ids or new(p) for p, ids in zip(found, out)]
+        self.known.looked_up(len(out))
         return b"".join(out)
 
 

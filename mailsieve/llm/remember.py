@@ -23,3 +23,26 @@ def kept(owner: Hashable, make: Callable[[], T]) -> T:
 
 def forget() -> None:
     _kept.clear()
+
+
+class Pieces(dict):
+    """What has been found for up to ``most`` pieces of texts. Frequent pieces come early, so a full table is kept as it
+    is and rare pieces do not push others out; when more than a quarter of ``window`` pieces were not in a full
+    table, the texts have changed and it starts afresh."""
+
+    def __init__(self, most: int, window: int = 1_000_000):
+        self.most, self.window = most, window
+        self.looked = self.missed = 0
+
+    def add(self, piece: str, found: object) -> None:
+        if len(self) < self.most:
+            self[piece] = found
+        else:
+            self.missed += 1
+
+    def looked_up(self, number: int) -> None:
+        self.looked += number
+        if self.looked >= self.window:
+            if 4 * self.missed > self.looked:
+                self.clear()
+            self.looked = self.missed = 0

@@ -275,6 +275,17 @@ def pieces_of(spark, vocabulary, frame, **kw):
     return packing.pack(frame, lambda: packing.library_ids(vocabulary), **kw).collect()
 
 
+def test_pieces_are_cut_at_line_breaks_where_words_end(vocabulary):
+    assert bpe.pieces("a b.\nC d\n") == ["a", " b.", "\n", "C", " d", "\n"]
+    rng, library = random.Random(3), Tokenizer.from_file(vocabulary)
+    codec, ids = bpe.Codec(vocabulary), packing.LibraryIds(vocabulary)
+    for _ in range(3000):
+        text = "".join(rng.choices(["a", "Äb", " ", "\n", ".", "'s", "1", "\xa0", "\x85", "\x1c", "\0", "\t", "$"], [6, 3, 5, 3, 2, 1, 1, .2, .2, .2, .2, .2, 1], k=rng.randint(1, 12)))
+        want = library.encode(text, add_special_tokens=False).ids
+        assert "".join(bpe.pieces(text)) == text and all(bpe.pieces(text))
+        assert codec.encode(text).ids == want and np.frombuffer(ids(text), "<u4").tolist() == want
+
+
 def test_packing_loses_and_repeats_nothing(spark, vocabulary):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["alpha", "Beta", "gamma,", "délta", "1234"], k=rng.choice([0, 1, 30, 200, 900]))) for _ in range(300)]
