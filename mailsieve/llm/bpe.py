@@ -5,8 +5,8 @@ by concatenating vocabulary strings.
 ids that library gives without special tokens of its own: the special strings of the file that stand in a text become
 their single ids, everything else is cut by the file's kind of pattern and merged. ``coded`` applies it to whole texts.
 
-Bounded memory: texts stream through in Arrow batches; each worker remembers the ids of at most ``REMEMBERED`` pieces
-and starts afresh beyond, which changes speed only. Missing and empty texts have no ids and decode to an empty text.
+Bounded memory: texts stream through in Arrow batches; each worker remembers the ids of the first ``REMEMBERED`` pieces
+and starts afresh when too many others come, which changes speed only. Missing and empty texts have no ids and decode to an empty text.
 Long words cost n log n, not n^2. Repeated rows are coded again. Columns of the input are kept under their names
 except ``ids`` and ``decoded``.
 """
@@ -22,9 +22,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailsieve.llm.remember import kept
+from mailsieve.llm.remember import Pieces, kept
 
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 #: Fixed value: the cutting pattern of byte-level vocabularies of this kind. White space is meant as Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -72,48 +72,52 @@ class Codec:
         self.special = {t["content"]: t["id"] for t in known["added_tokens"]}
         self.strings |= {i: s.encode() for s, i in self.special.items()}
         self.first = [vocabulary[c] for c in letters]
-        self.ranks: dict[int, int] = {}
+        #: by left id, then right id: the rank of their merge
+        self.ranks: dict[int, dict[int, int]] = {}
         self.into: list[int] = []
         for rank, pair in enumerate(known["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[vocabulary[a] << 32 | vocabulary[b]] = rank
+            self.ranks.setdefault(vocabulary[a], {})[vocabulary[b]] = rank
             self.into.append(vocabulary[a + b])
+        byte_of = {i: b for b, i in enumerate(self.first)}
+        self.byte_ranks = {(byte_of[a], byte_of[b]): rank for a, of in self.ranks.items() if a in byte_of for b, rank in of.items() if b in byte_of}
         self.cut = regex.compile(PATTERN).findall
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: Pieces = Pieces(REMEMBERED)
         alternatives = "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.at_special = regex.compile(f"({alternatives})").split if alternatives else None
 
     def merged(self, word: bytes) -> list[int]:
-        """The ids of one word: always the merge of lowest rank, leftmost first. A queue entry is rank * n + place."""
-        first, rank_of = self.first, self.ranks.get
+        """The ids of one word: always the merge of lowest rank, leftmost first. A queue entry is rank * n + place; it
+        is stale when the pair at that place has another rank by now."""
+        first = self.first
         symbols = [first[b] for b in word]
         n = len(symbols)
         if n < 2:
             return symbols
-        queue = []
-        for i in range(n - 1):
-            rank = rank_of(symbols[i] << 32 | symbols[i + 1])
-            if rank is not None:
-                queue.append(rank * n + i)
+        rank_at = [*map(self.byte_ranks.get, zip(word, word[1:])), None]
+        queue = [rank * n + i for i, rank in enumerate(rank_at) if rank is not None]
         heapq.heapify(queue)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        pop, push = heapq.heappop, heapq.heappush
+        pop, push, ranks, none = heapq.heappop, heapq.heappush, self.ranks, {}
         while queue:
             rank, i = divmod(pop(queue), n)
+            if rank_at[i] != rank:
+                continue
             j = after[i]
-            if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
-                continue  # stale: one of the two has been merged since
             into = symbols[i] = self.into[rank]
             symbols[j] = -1
+            rank_at[j] = None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                rank = rank_of(into << 32 | symbols[k])
+                rank = rank_at[i] = ranks.get(into, none).get(symbols[k])
                 if rank is not None:
                     push(queue, rank * n + i)
+            else:
+                rank_at[i] = None
             h = before[i]
             if h >= 0:
-                rank = rank_of(symbols[h] << 32 | into)
+                rank = rank_at[h] = ranks.get(symbols[h], none).get(into)
                 if rank is not None:
                     push(queue, rank * n + h)
         return [s for s in symbols if s >= 0]
@@ -132,9 +136,9 @@ class Codec:
             else:
                 parts = Coded([self.known.get(w) or self._new(w) for w in words])
                 found = parts.n_tokens, parts.decimals, b"".join([p[2] for p in parts.parts])
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        self.known[piece] = found
+                if len(words) > 2:  # seldom seen again
+                    return found
+        self.known.add(piece, found)
         return found
 
     def decode_bytes(self, ids) -> bytes:
@@ -154,7 +158,12 @@ class Codec:
                 i = self.special[plain]
                 parts.append((1, str(i), plain.encode()))
             elif plain:
-                parts += [known(p) or new(p) for p in pieces(plain)]
+                cut = pieces(plain)
+                found = list(map(known, cut))
+                if not all(found):
+                    found = [f or new(p) for p, f in zip(cut, found)]
+                self.known.looked_up(len(found))
+                parts += found
         return Coded(parts)
 
 

@@ -286,6 +286,23 @@ def test_pieces_are_cut_at_line_breaks_where_words_end(vocabulary):
         assert codec.encode(text).ids == want and np.frombuffer(ids(text), "<u4").tolist() == want
 
 
+def test_a_full_table_keeps_its_pieces_until_the_texts_change(vocabulary, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    rng, library = random.Random(4), Tokenizer.from_file(vocabulary)
+    common = " " + " ".join(f"{a}{b}" for a in "abcd" for b in "efghi")
+    rare = ["".join(rng.choices("klmnopqrstuv", k=9)) for _ in range(4000)]
+    for codec, ids_of in ((coder := bpe.Codec(vocabulary), lambda t: coder.encode(t).ids), (bytes_of := packing.LibraryIds(vocabulary), lambda t: np.frombuffer(bytes_of(t), "<u4").tolist())):
+        codec.known.window = 2000
+        for i in range(1000):
+            text = f"{common} {rare[i]}"
+            assert ids_of(text) == library.encode(text, add_special_tokens=False).ids
+        assert len(codec.known) == 100 and all(f" {w}" in codec.known for w in common.split())
+        for i in range(1000, 4000):
+            assert ids_of(f" {rare[i]}") == library.encode(f" {rare[i]}", add_special_tokens=False).ids
+        assert len(codec.known) <= 100 and " ae" not in codec.known
+
+
 def test_packing_loses_and_repeats_nothing(spark, vocabulary):
     rng = random.Random(4)
     texts = [" ".join(rng.choices(["alpha", "Beta", "gamma,", "délta", "1234"], k=rng.choice([0, 1, 30, 200, 900]))) for _ in range(300)]
