@@ -5,6 +5,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +75,56 @@ def test_top_k_edges(spark):
     assert len(found(spark, [(0, [1.0], "q"), (0, [1.0], "q"), (1, [1.0], "c")], k=5)) == 2  # the query row twice
 
 
+def test_top_k_of_many_cells_broadcasts_nothing(spark):
+    """Each query block was joined with every shard, and Spark sent those copies through the driver."""
+    rng = np.random.default_rng(11)
+    rows = [(int(i), rng.normal(0, 0.3, 6).tolist(), "x") for i in range(700)]
+    table = spark.createDataFrame(rows, VECTORS)
+    out = topk.top_k(table, F.col("vec_id") % 20 == 0, k=3, shard_rows=64, block_rows=8, strip=32)
+    plan = out._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "collect_list" not in plan and "Join" not in plan
+    assert sorted(map(tuple, out.collect())) == brute(rows, 3)
+
+
+def test_top_k_of_odd_vectors_in_many_cells(spark):
+    """Lengths and sizes differ within a shard and between shards, so numbers count in different types; ids are null or shared."""
+    rng = np.random.default_rng(12)
+    sizes = [0.2, 0.2, 0.2, 2.0, 2.0 ** 14, 2.0 ** 21]
+    rows = [(int(i), (rng.normal(0, 1, int(rng.integers(0, 9))) * sizes[int(rng.integers(0, 2 + i // 150))]).tolist(), "x") for i in range(600)]
+    rows += [(None, rows[3][1], "no id"), (-40, rows[5][1], "below"), (7, rows[8][1], "shared"), (7, rows[9][1], "shared"), (9, [], "empty")]
+    exact = [(i, v + [0.0] * (9 - len(v)), x) for i, v, x in rows]
+    want = brute([(-1 if i is None else i, v, x) for i, v, x in exact], 6)
+    assert found(spark, rows, k=6, shard_rows=50, block_rows=7, strip=16) == want
+
+
+def test_a_stream_of_cells_is_cut_anywhere():
+    rng = np.random.default_rng(13)
+    vectors = [rng.integers(-20, 21, 5).astype(np.int8) for _ in range(90)]
+    rows = [(0, False, j, j, vectors[j]) for j in range(7)] + [(0, True, -1, j, vectors[j]) for j in range(50)]
+    rows += [(1, False, 7, 7, vectors[7])]  # queries without candidates
+    rows += [(2, True, -1, j, vectors[j]) for j in range(20)]  # candidates without queries
+    rows += [(3, False, 8, 8, vectors[8])] + [(3, True, -1, j, vectors[j]) for j in range(90)]
+    want = sorted((q, -s, j) for q, n in [*((q, 50) for q in range(7)), (8, 90)]
+                  for s, j in sorted((-int(vectors[q].astype(int) @ vectors[j].astype(int)), j) for j in range(n) if j != q)[:4])
+    for size in (1, 13, 500):
+        batches = [pd.DataFrame(rows[i:i + size], columns=["cell", "candidate", "row", "vec_id", "terms"]) for i in range(0, len(rows), size)]
+        got = pd.concat(topk._search_cells(4, 8, 16, 3)(iter(batches)))
+        assert (got["query_row"] == got["query_id"]).all()
+        assert sorted(zip(got["query_id"], got["score"], got["vec_id"])) == want
+
+
+@pytest.mark.parametrize("queries, rows, width, cores", [
+    (0, 0, 0, 8), (1, 1, 3, 8), (5, 100, 64, 2), (2565, 51282, 64, 6), (30770, 615384, 64, 12), (154_000, 3_080_000, 64, 12),
+    (1, 10 ** 8, 64, 12), (10 ** 6, 10 ** 6, 1024, 100), (10 ** 6, 10, 64, 100)])
+def test_grid_keeps_cells_small_and_many(queries, rows, width, cores):
+    groups, parts = topk.grid(queries, rows, width, cores, 20, 8192, 1024)
+    most_groups, most_parts = max(1, -(-queries // 1024)), max(1, -(-rows // 8192))
+    assert 1 <= groups <= most_groups and 1 <= parts <= most_parts
+    assert groups * parts >= min(3 * cores, most_groups * most_parts)
+    assert queries * rows / (groups * parts) <= max(2 ** 31, 1024 * 8192)
+    assert -(-queries // groups) * width <= max(2 ** 21, 1024 * width) * 1.01
+
+
 def day(n):
     return dt.date(2024, 1, 1) + dt.timedelta(days=n)
 
